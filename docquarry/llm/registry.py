@@ -6,7 +6,10 @@ import importlib
 
 #: query name -> module of this subpackage with query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op3_licences": "licences",
     "op5_packing": "packing",
+    "op9_sharding": "sharding",
+    "op10_quality": "quality",
 }
 
 
