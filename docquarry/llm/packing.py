@@ -37,7 +37,6 @@ SCHEMA = (
 _ARROW = pa.schema(
     [(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")]
 )
-_ENDS = (".", "!", "?", ".\n", "!\n", "?\n")
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, max_len: int) -> list[int]:
@@ -64,27 +63,23 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, max_len: int) -> list[int]:
     return out[::-1]
 
 
-def encode(text: str | None, table, eos_id: int, stride: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+def encode(text: str | None, table, tables, eos_id: int, stride: int) -> tuple[bytes, np.ndarray, np.ndarray]:
     """(ids, candidate cuts within the document, whether each is a sentence end); the last cut is the document's end."""
     end = int(eos_id).to_bytes(4, "little")
     if not text:
         return end, np.array([1]), np.array([True])
-    pieces, ids = table.pieces(text)
-    joined = b"".join(ids) + end
-    n = len(joined) // 4
-    if pieces is None:
-        ends = np.empty(0, np.int64)
-    else:
-        sizes = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-        ends = sizes[np.fromiter((i for i, w in enumerate(pieces) if w.endswith(_ENDS)), np.int64)]
-    cuts = np.unique(np.concatenate(([0], ends, [n])))
-    gaps = np.diff(cuts)
-    if (gaps > stride).any():
-        inner = np.concatenate([np.arange(a + stride, b, stride) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > stride])
-        merged = np.sort(np.concatenate((cuts, inner)))
-        sentence = ~np.isin(merged, inner)
-        return joined, merged[1:], sentence[1:]
-    return joined, cuts[1:], np.ones(len(cuts) - 1, bool)
+    joined = table.encode(text) + end
+    ids = np.frombuffer(joined, "<u4")
+    ends, begins = tables
+    at = np.flatnonzero(ends[ids[:-2]] & begins[ids[1:-1]]) + 1
+    cuts = np.append(at, len(ids))
+    start = np.concatenate(([0], at))
+    inner = (cuts - start - 1) // stride
+    if inner.any():  # every stride-th token of the longer gaps
+        more = np.repeat(start, inner) + stride * (np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner) + 1)
+        order = np.argsort(np.concatenate((cuts, more)), kind="stable")
+        return joined, np.concatenate((cuts, more))[order], order < len(cuts)
+    return joined, cuts, np.ones(len(cuts), bool)
 
 
 class _Stream:
@@ -159,6 +154,7 @@ def pack(
         from pyspark import TaskContext
 
         table = subwords(tokenizer_path)
+        tables = table.sentence_tables()
         stream = _Stream(TaskContext.get().partitionId(), max_len, sentence_penalty, inner_penalty)
         stride_ = min(stride, max_len)
 
@@ -166,8 +162,8 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                stream.add(doc_id, *encode(text.as_py(), table, eos_id, stride_))
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                stream.add(doc_id, *encode(text, table, tables, eos_id, stride_))
                 if stream.tokens >= block_tokens and (rows := stream.pack(False)):
                     yield batch(rows)
         if rows := stream.pack(True):
