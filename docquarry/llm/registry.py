@@ -9,6 +9,7 @@ MODULES = {
     "op1_language": "language",
     "op3_licences": "licences",
     "op5_packing": "packing",
+    "op7_neardup": "neardup",
     "op9_sharding": "sharding",
     "op10_quality": "quality",
 }
