@@ -9,6 +9,7 @@ MODULES = {
     "op1_language": "language",
     "op3_licences": "licences",
     "op5_packing": "packing",
+    "op6_substrings": "recompression",
     "op7_neardup": "neardup",
     "op9_sharding": "sharding",
     "op10_quality": "quality",
