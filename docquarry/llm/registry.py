@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this subpackage with query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op2_suffix_dedup": "columnwise",
     "op1_language": "language",
     "op3_licences": "licences",
     "op5_packing": "packing",
