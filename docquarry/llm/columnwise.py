@@ -229,15 +229,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-s AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 49)) AS p, unnest([x[2 * i + 1 : 2 * i + 100] for i in range(0, len(x) // 2 - 49)]) AS g FROM b WHERE len(x) >= 100),
+s AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 49)) AS p, unnest([md5(substr(x, 2 * i + 1, 100)) for i in range(0, len(x) // 2 - 49)]) AS g FROM b WHERE len(x) >= 100),
 f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
 r AS (SELECT DISTINCT doc_id, p FROM s JOIN f USING (g) WHERE doc_id > first),
 o AS (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 < p, true) AS head FROM r),
 n AS (SELECT doc_id, p, sum(head::int) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM o),
 u AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS z FROM n GROUP BY doc_id, span),
 l AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM u),
-k AS (SELECT l.doc_id, string_agg(x[2 * before + 1 : 2 * a], '' ORDER BY a) AS kept, max(z) AS tail, sum(z - a)::bigint AS n_removed, count(*) AS n_spans
+k AS (SELECT l.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(z) AS tail, sum(z - a)::bigint AS n_removed, count(*) AS n_spans
       FROM l JOIN b USING (doc_id) GROUP BY l.doc_id)
 SELECT b.doc_id, (len(x) // 2)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
-       sha256(unhex(CASE WHEN kept IS NULL THEN x ELSE kept || x[2 * tail + 1 :] END)) AS kept_sha256
+       sha256(unhex(CASE WHEN kept IS NULL THEN x ELSE kept || substr(x, 2 * tail + 1) END)) AS kept_sha256
 FROM b LEFT JOIN k USING (doc_id)"""
