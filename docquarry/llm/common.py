@@ -69,12 +69,17 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each maximal run without ASCII white space; runs end with their row."""
+#: Bytes that part words where punctuation does not count: ASCII other than letters and digits.
+PUNCTUATED = np.zeros(256, bool)
+PUNCTUATED[:128] = [not chr(i).isalnum() for i in range(128)]
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each maximal run without ASCII white space (or other bytes); runs end with their row."""
     if not len(data):
         e = np.empty(0, np.int64)
         return e, e, e
-    word = ~_SPACE[data]
+    word = ~apart[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     first = first[:-1]

@@ -12,6 +12,7 @@ MODULES = {
     "op5_packing": "packing",
     "op6_substrings": "recompression",
     "op7_neardup": "neardup",
+    "op8_decontamination": "decontaminate",
     "op9_sharding": "sharding",
     "op10_quality": "quality",
 }
