@@ -9,6 +9,7 @@ MODULES = {
     "op2_suffix_dedup": "columnwise",
     "op1_language": "language",
     "op3_licences": "licences",
+    "op4_lm_score": "scoring",
     "op5_packing": "packing",
     "op6_substrings": "recompression",
     "op7_neardup": "neardup",
