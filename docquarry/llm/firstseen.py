@@ -28,10 +28,11 @@ PIECES = "a long, h long, th long, doc long, p long, n long, dup boolean, by lon
 _PIECES = pa.schema([("a", pa.int64()), ("h", pa.int64()), ("th", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()), ("n", pa.int64()), ("dup", pa.bool_()), ("by", pa.int64())])
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, th); a null text is empty."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, th[, carried: a struct of other columns]); a null text is empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *more).withColumn("th", F.xxhash64("text"))
 
 
 class Copies:
@@ -107,8 +108,9 @@ def settle(texts: DataFrame, pieces: DataFrame, single_windows, finish, schema:
     info = narrow.join(first, "th").join(lists, "th", "left").select("doc_id", F.col("th").alias("ith"), (F.col("doc_id") > F.col("lead")).alias("twin"), "runs")
     # a twin needs no runs: all its windows go
     info = info.withColumn("runs", F.when(~F.col("twin"), F.col("runs")))
-    out = known.join(info, "doc_id").filter("th = ith").select("doc_id", "text", "twin", "runs").mapInArrow(finish, schema)
-    alone = texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(False).alias("twin"), F.lit(None).cast("array<struct<p:bigint,n:bigint>>").alias("runs"))
+    more = ["carried"] if "carried" in texts.columns else []
+    out = known.join(info, "doc_id").filter("th = ith").select("doc_id", "text", "twin", "runs", *more).mapInArrow(finish, schema)
+    alone = texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(False).alias("twin"), F.lit(None).cast("array<struct<p:bigint,n:bigint>>").alias("runs"), *more)
     return out.unionByName(alone.mapInArrow(finish, schema))
 
 

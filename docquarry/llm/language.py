@@ -208,7 +208,7 @@ _parsers: dict[int, Parser] = {}
 
 
 def identify(docs: DataFrame, samples: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
-    """Language of every whole text.  extra: columns to carry along unchanged."""
+    """Language of every whole text.  extra: columns to carry along unchanged, in a struct `extra`."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(samples)
     keep = list(extra or [])
@@ -227,10 +227,11 @@ def identify(docs: DataFrame, samples: dict[str, str], *, id_col: str = "doc_id"
                 got += parser.predict(texts[i:j])
             lang, score, bits = zip(*got) if got else ((), (), ())
             own = [b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
-            yield pa.RecordBatch.from_arrays(own + [b.column(i + 2) for i in range(len(keep))], names=[*_ARROW.names, *keep])
+            yield pa.RecordBatch.from_arrays(own + [b.column(2)] * bool(keep), names=[*_ARROW.names, *["extra"] * bool(keep)])
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *keep)
-    schema = SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else SCHEMA
+    carried = [F.struct(*keep).alias("extra")] if keep else []
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
+    schema = SCHEMA + (f", extra {d.schema['extra'].dataType.simpleString()}" if keep else "")
     return d.mapInArrow(run, schema)
 
 

@@ -164,11 +164,11 @@ def pieces_of(docs: np.ndarray, ths: np.ndarray, data: np.ndarray, offsets: np.n
     return a, piece, ths[owner], docs[owner], p - first[owner], n
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, rounds: int = 3, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row."""
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, rounds: int = 3, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept_text][, carried columns]) of every row."""
     if not 2 <= length < GAP // 2:
         raise ValueError(f"length must lie between 2 and {GAP // 2 - 1}")
-    texts = keyed(docs, id_col, text_col)
+    texts = keyed(docs, id_col, text_col, carry)
 
     def scan(batches):
         copies = Copies()
@@ -221,11 +221,16 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 arrays, names = [*arrays, pa.array(cols[3], pa.string())], [*names, "kept_text"]
+            if carry:
+                arrays, names = [*arrays, b.column(4)], [*names, "carried"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     made = texts.filter(F.col("doc_id").isNotNull()).select("doc_id", "th", "text").mapInArrow(scan, PIECES)
-    return settle(texts, made, single, finish, schema, length)
+    if carry:
+        schema += f", carried {texts.schema['carried'].dataType.simpleString()}"
+    out = settle(texts, made, single, finish, schema, length)
+    return out.select(*[c for c in out.columns if c != "carried"], "carried.*") if carry else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
