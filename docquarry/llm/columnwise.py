@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import BYTE_HASH, U64, mix, read_documents, slices, text_buffer
-from .firstseen import PIECES, Copies, covered, keyed, piece_batch, prefix_hash, runs_of, settle, window_runs
+from .firstseen import PIECES, REMOVALS, Copies, covered, keyed, piece_batch, prefix_hash, removal_runs, runs_of, settle
 from .neardup import runs
 
 SEGMENT = 1 << 21
@@ -185,17 +185,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             owner, at, by = earlier_windows(np.frombuffer(b"".join(raw), np.uint8), sizes, doc, length)
             if not len(owner):
                 continue
-            order = np.lexsort((at, owner))
-            owner, at, by = owner[order], at[order], by[order]
-            # neighbouring windows due to one document are one run
-            start, n = window_runs(np.cumsum(np.concatenate(([0], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1) | (by[1:] != by[:-1])))))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (th[owner[start]], p[owner[start]] + at[start], n, by[start])], names=["th", "p", "n", "by"])
+            yield removal_runs(th, p, owner, at, by)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def single(looked: DataFrame) -> DataFrame:
         cutout = looked.mapInArrow(strings, "a long, doc long, th long, p long, s binary")
-        return cutout.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(compare, "th long, p long, n long, by long")
+        return cutout.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(compare, REMOVALS)
 
     def finish(batches):
         for b in batches:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import U64, materialise
 
@@ -88,9 +89,9 @@ def settle(texts: DataFrame, pieces: DataFrame, single_windows, finish, schema:
     removals (th, p, n, by).  finish(list of texts, list of kept masks' runs) makes the final Arrow rows.
     """
     pieces = materialise(pieces, "pieces")
-    open_ = pieces.filter("NOT dup")
-    shared = open_.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
-    open_ = open_.join(shared, "a").select("a", "h", "th", "doc", "p", "n")
+    by_anchor = F.count("*").over(W.partitionBy("a"))
+    open_ = pieces.filter("NOT dup").select("a", "h", "th", "doc", "p", "n").withColumn("c", by_anchor).filter("c > 1").drop("c")
+    open_ = materialise(open_, "shared")
     each = open_.groupBy("a", "h").agg(F.min(F.struct("doc", "th", "p", "n")).alias("r"))
     each = materialise(each.select("a", "h", "r.*"), "each")
     whole = open_.join(each.select("a", "h", F.col("doc").alias("by")), ["a", "h"]).filter("doc > by").select("th", "p", "n", "by")
@@ -114,6 +115,18 @@ def settle(texts: DataFrame, pieces: DataFrame, single_windows, finish, schema:
     return out.unionByName(alone.mapInArrow(finish, schema))
 
 
+REMOVALS = "th long, p long, n long, by long"
+
+
+def removal_runs(th, p, owner, at, by) -> pa.RecordBatch:
+    """Rows of REMOVALS: windows `at` of pieces `owner`, due to documents `by`; neighbours due to one document are one run."""
+    order = np.lexsort((at, owner))
+    owner, at, by = owner[order], at[order], by[order]
+    border = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1) | (by[1:] != by[:-1])
+    start, n = window_runs(np.cumsum(np.concatenate(([0], border))) if len(owner) else owner)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (th[owner[start]], p[owner[start]] + at[start], n, by[start])], names=["th", "p", "n", "by"])
+
+
 def covered(count: int, length: int, twin: bool, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Mask of the symbols that removed windows cover; (starts, sizes) are runs of window starts."""
     edge = np.zeros(count + 1, np.int64)

@@ -227,7 +227,9 @@ def identify(docs: DataFrame, samples: dict[str, str], *, id_col: str = "doc_id"
                 got += parser.predict(texts[i:j])
             lang, score, bits = zip(*got) if got else ((), (), ())
             own = [b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
-            yield pa.RecordBatch.from_arrays(own + [b.column(2)] * bool(keep), names=[*_ARROW.names, *["extra"] * bool(keep)])
+            if keep:
+                own.append(b.column(2))
+            yield pa.RecordBatch.from_arrays(own, names=[*_ARROW.names, "extra"][: len(own)])
 
     carried = [F.struct(*keep).alias("extra")] if keep else []
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)

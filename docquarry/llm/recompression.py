@@ -22,11 +22,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, mix, read_documents, slices, text_buffer, word_hashes, words_of
-from .firstseen import PIECES, Copies, covered, keyed, piece_batch, prefix_hash, runs_of, settle, window_runs
+from .firstseen import PIECES, REMOVALS, Copies, covered, keyed, piece_batch, prefix_hash, removal_runs, runs_of, settle, window_runs
+from .neardup import runs
 
 GAP = 1 << 8
 
@@ -186,23 +188,47 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     def windows(batches):
         for b in batches:
             data, offsets = text_buffer(b.column(1))
-            wants = b.column(3).to_pylist()
+            wants = b.column(3)
+            sizes = np.array(pa.compute.list_value_length(wants).to_pylist(), np.int64)
+            flat = wants.flatten()
+            a, p, n = (flat.field(k).to_numpy() for k in range(3))
+            ends = np.cumsum(sizes)
+            doc, th = b.column(0).to_numpy(), b.column(2).to_numpy()
             for i, j in slices(offsets, 1 << 20):
                 start, end, row = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 s, inverse = prefix_hash(word_hashes(data[offsets[i] : offsets[j]], start, end))
                 count = np.bincount(row, minlength=j - i)
                 first = np.cumsum(count) - count
-                p = np.concatenate([np.arange(x["p"], x["p"] + x["n"]) + first[k] for k in range(j - i) for x in wants[i + k]] or [first[:0]])
-                owner = np.repeat(np.arange(i, j), [sum(x["n"] for x in wants[k]) for k in range(i, j)])
+                own = slice(ends[i] - sizes[i], ends[j - 1])
+                piece = np.repeat(np.arange(i, j), sizes[i:j])
+                m = n[own]
+                at = np.repeat(p[own] + first[piece - i], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
                 with np.errstate(over="ignore"):
-                    name = mix((s[p + length] - s[p]) * inverse[p]).view(np.int64)
-                doc, th = b.column(0).to_numpy()[owner], b.column(2).to_numpy()[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, doc, th, p - first[owner - i])], names=["w", "doc", "th", "p"])
+                    name = mix((s[at + length] - s[at]) * inverse[at])
+                names = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.concatenate(([0], 8 * np.cumsum(m))).astype(np.int32)), pa.py_buffer(name.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(doc[piece]), pa.array(th[piece]), pa.array(p[own]), names], names=["a", "doc", "th", "p", "s"])
+
+    def compare(batches):
+        for t, _ in runs(batches, 1):
+            raw = t.column("s").to_pylist()
+            doc, th, p = (t.column(c).to_numpy() for c in ("doc", "th", "p"))
+            n = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+            name = np.frombuffer(b"".join(raw), U64)
+            owner = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(name)) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((doc[owner], name))
+            start, size = window_runs(name[order])
+            least = np.empty(len(name), np.int64)
+            least[order] = np.repeat(doc[owner[order[start]]], size)
+            hit = doc[owner] > least
+            if hit.any():
+                yield removal_runs(th, p, owner[hit], at[hit], least[hit])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def single(looked: DataFrame) -> DataFrame:
-        each = looked.mapInArrow(windows, "w long, doc long, th long, p long")
-        least = each.groupBy("w").agg(F.min("doc").alias("by"), F.max("doc").alias("last")).filter("by < last").select("w", "by")
-        return each.join(least, "w").filter("doc > by").select("th", "p", F.lit(1).cast("long").alias("n"), "by")
+        named = looked.mapInArrow(windows, "a long, doc long, th long, p long, s binary")
+        return named.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(compare, REMOVALS)
 
     def finish(batches):
         for b in batches:
