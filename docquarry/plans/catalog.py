@@ -1,14 +1,488 @@
-"""The registered queries of the retrieval engine and their SQL twins."""
+"""The registered queries of the retrieval engine and their SQL twins.
+
+Stand-ins over the test tables: `documents` is the document table (a row without a label counts as pending), a document is
+its own single chunk, and row n of `embeddings` is the vector of document n.  The two tables are not related, so the pairing
+means nothing beyond testing; ids without a partner drop out at the metadata join, as they must.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
+
+from docquarry.functions import text as X
+from docquarry.operators import access, breadcrumbs, chunking, fts, fusion, pdf_spans, search, store, vectors
+from docquarry.sources import corpora, parsers
+
+QUERY_WORDS, QUERY_ONE, QUERY_PHRASE, QUERY_TWICE = "the and", "worthless", "of-the", "that that"
+
 _QUERIES: dict = {}
 _ORACLE: dict = {}
 
 
+def register(sql: str | None = None):
+    def put(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _ORACLE[fn.__name__] = sql
+        return fn
+
+    return put
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
     return dict(_ORACLE)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf) -> DataFrame:
+    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id").distinct().withColumn("is_indexed", F.lit(True))
+    path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    d = d.join(labels, "doc_id", "left")
+    return d.select(F.col("doc_id").alias("id"), path.alias("document_path"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), F.coalesce("is_indexed", F.lit(False)).alias("is_indexed"))
+
+
+def chunk_rows(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.array("lang", "source").alias("breadcrumbs"), F.col("text").alias("raw_text"))
+
+
+_DOCS_SQL = """docs AS (SELECT d.doc_id AS id, '/corpus/' || source || '/' || d.doc_id || '.txt' AS document_path, 'doc ' || d.doc_id AS name,
+  l.doc_id IS NOT NULL AS is_indexed FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id)"""
+_TOKENS_SQL = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+# -- scans and mutations
+
+
+@register(f"WITH {_DOCS_SQL} SELECT * FROM docs WHERE id = 17")
+def doc_by_id(spark, sf):
+    return store.by_id(documents(spark, sf), 17)
+
+
+@register(f"WITH {_DOCS_SQL} SELECT * FROM docs WHERE document_path = '/corpus/src3/3.txt' ORDER BY id LIMIT 1")
+def doc_by_path(spark, sf):
+    return store.by_path(documents(spark, sf), "/corpus/src3/3.txt")
+
+
+@register(f"WITH {_DOCS_SQL} SELECT * FROM docs ORDER BY id LIMIT 50 OFFSET 100")
+def doc_page(spark, sf):
+    return store.page(documents(spark, sf), 100, 50)
+
+
+@register(f"WITH {_DOCS_SQL} SELECT * FROM docs WHERE NOT is_indexed")
+def pending_docs(spark, sf):
+    return store.pending(documents(spark, sf))
+
+
+@register(f"WITH {_DOCS_SQL} SELECT count(*) FILTER (NOT is_indexed) AS pending FROM docs")
+def pending_count(spark, sf):
+    return store.pending_count(documents(spark, sf))
+
+
+@register(f"""WITH {_DOCS_SQL}, n AS (SELECT count(*) FILTER (NOT is_indexed) AS p FROM docs)
+SELECT p >= 10 AS indexed_now, p AS pending_before, CASE WHEN p >= 10 THEN 0 ELSE p END::bigint AS pending_after, 10::bigint AS threshold,
+       CASE WHEN p >= 10 THEN p ELSE 0 END::bigint AS reindexed_count FROM n""")
+def reindex_decision(spark, sf):
+    return store.reindex_decision(documents(spark, sf), 10)
+
+
+@register("""SELECT d.doc_id AS id, coalesce(l.quality = 1, true) AS is_indexed FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def repair_index_state(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return store.repair_index_state(d.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("is_indexed")))
+
+
+@register(f"WITH {_DOCS_SQL} SELECT id, CASE WHEN id = 5 THEN 'renamed' ELSE name END AS name FROM docs")
+def update_name(spark, sf):
+    return store.rename(documents(spark, sf), 5, "renamed").select("id", "name")
+
+
+@register("SELECT md5(text) AS key, max(doc_id) AS doc_id FROM documents GROUP BY md5(text)")
+def upsert_latest(spark, sf):
+    rows = table(spark, sf, "documents").select(F.md5("text").alias("key"), "doc_id")
+    return store.newest(rows, "key", "doc_id")
+
+
+def _store(spark, sf) -> store.Store:
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"))
+    return store.Store(documents(spark, sf), chunk_rows(spark, sf), v)
+
+
+_GONE = "SELECT doc_id FROM labels WHERE toxic = 1"
+
+
+@register(f"""SELECT 'documents' AS tab, count(*) AS n FROM documents WHERE doc_id NOT IN ({_GONE}) UNION ALL
+SELECT 'chunks', count(*) FROM documents WHERE doc_id NOT IN ({_GONE}) UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id NOT IN ({_GONE})""")
+def delete_cascade(spark, sf):
+    gone = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    s = _store(spark, sf).delete(gone)
+    parts = [getattr(s, t).agg(F.lit(t).alias("tab"), F.count("*").alias("n")) for t in ("documents", "chunks", "vectors")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register(f"SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN ({_GONE})")
+def purge_vectors(spark, sf):
+    gone = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("vec_id")).distinct()
+    return table(spark, sf, "embeddings").join(gone, "vec_id", "left_anti").select("vec_id", "label")
+
+
+@register(f"""WITH {_DOCS_SQL}, old AS (SELECT * FROM docs WHERE id % 2 = 0), new AS (SELECT document_path, name FROM docs)
+SELECT document_path, name, false AS is_indexed FROM new""")
+def register_documents(spark, sf):
+    d = documents(spark, sf)
+    s = store.Store(d.filter("id % 2 = 0"), chunk_rows(spark, sf), _store(spark, sf).vectors)
+    return s.register(d.select("document_path", "name")).documents.select("document_path", "name", "is_indexed")
+
+
+@register("""SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, floor((row_number() OVER (ORDER BY doc_id) - 1) / 100)::bigint AS batch FROM documents""".replace(", row_number() OVER (ORDER BY doc_id) - 1 AS place", ""))
+def flat_batches(spark, sf):
+    return store.flat_batches(table(spark, sf, "documents"), 100, "doc_id")
+
+
+_CHUNKS_N = "greatest(1, ceil(n_chars / 1000))"
+
+
+@register(f"""WITH RECURSIVE c AS (SELECT doc_id, {_CHUNKS_N}::bigint AS chunks, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+f(i, doc_id, chunks, batch, fill) AS (SELECT i, doc_id, chunks, 0::bigint, chunks FROM c WHERE i = 1 UNION ALL
+  SELECT c.i, c.doc_id, c.chunks, f.batch + (f.fill > 0 AND f.fill + c.chunks > 100)::bigint,
+         CASE WHEN f.fill > 0 AND f.fill + c.chunks > 100 THEN c.chunks ELSE f.fill + c.chunks END FROM f JOIN c ON c.i = f.i + 1)
+SELECT doc_id, chunks, batch FROM f""")
+def doc_batches(spark, sf):
+    n = F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 1000)).cast("long")
+    return store.batches_by_document(table(spark, sf, "documents").select("doc_id", n.alias("chunks")), 100)
+
+
+@register(r"""WITH f AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '/in/a.TXT' WHEN 1 THEN '/in/b.md' WHEN 2 THEN '/in/c.odt' WHEN 3 THEN '/in/' WHEN 4 THEN '/in/d.tar.docx'
+  WHEN 5 THEN '/in/noext' ELSE '/in/e.html' END AS path, n_chars * 40 - 400 AS length FROM documents),
+n AS (SELECT *, regexp_extract(path, '[^/]*$') AS base, lower(regexp_extract(path, '[^/](\.[^./\\]+)$', 1)) AS suffix FROM f)
+SELECT doc_id, path, length, CASE WHEN base = '' THEN 'empty name' WHEN suffix NOT IN ('.txt', '.md', '.docx', '.pdf', '.html', '.htm') THEN 'unsupported type'
+  WHEN length <= 0 THEN 'empty file' WHEN length > 204800 THEN 'too large' END AS error FROM n""")
+def upload_validation(spark, sf):
+    names = ["/in/a.TXT", "/in/b.md", "/in/c.odt", "/in/", "/in/d.tar.docx", "/in/noext", "/in/e.html"]
+    path = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 7 + 1).cast("int"))
+    files = table(spark, sf, "documents").select("doc_id", path.alias("path"), (F.col("n_chars") * 40 - 400).alias("length"))
+    return store.upload_errors(files)
+
+
+@register(r"""SELECT doc_id, CASE WHEN t <> '' THEN '# ' || t || chr(10) || chr(10) || b ELSE b END AS body FROM (SELECT doc_id,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE regexp_replace(' ' || source || ' ', '^\s+|\s+$', '', 'g') END AS t, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM documents)""")
+def corpus_format(spark, sf):
+    title = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), "source", F.lit(" ")))
+    return table(spark, sf, "documents").select("doc_id", corpora.titled_text(title, F.col("text")).alias("body"))
+
+
+# -- full text
+
+
+@register(f"SELECT doc_id, unnest({_TOKENS_SQL}) AS token, unnest(range(0, len({_TOKENS_SQL})))::bigint AS pos FROM documents")
+def fts_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "token")).select("doc_id", "token", F.col("pos").cast("long").alias("pos"))
+
+
+def _index(spark, sf) -> fts.Index:
+    return fts.build_index(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@register(f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS_SQL}) AS token FROM documents) GROUP BY token")
+def fts_df(spark, sf):
+    return fts.document_frequency(_index(spark, sf))
+
+
+@register(f"SELECT doc_id AS id, len({_TOKENS_SQL})::bigint AS dl FROM documents")
+def fts_doc_len(spark, sf):
+    return _index(spark, sf).lengths
+
+
+def _bm25_sql(phrases: list[list[str]], k: int = 200) -> str:
+    """Phrase counts by position, then the formula; one CTE for each phrase."""
+    ctes, joins, parts = [], [], []
+    for i, p in enumerate(phrases):
+        j = "".join(f" JOIN tok t{m} ON t{m}.doc_id = t0.doc_id AND t{m}.pos = t0.pos + {m} AND t{m}.token = '{w}'" for m, w in enumerate(p) if m)
+        ctes.append(f"f{i} AS (SELECT t0.doc_id, count(*)::double AS tf FROM tok t0{j} WHERE t0.token = '{p[0]}' GROUP BY t0.doc_id)")
+        ctes.append(f"i{i} AS (SELECT CASE WHEN ln((n - c + 0.5::double) / (c + 0.5::double)) <= 0 THEN 1e-6::double ELSE ln((n - c + 0.5::double) / (c + 0.5::double)) END AS idf FROM st, (SELECT count(*)::double AS c FROM f{i}))")
+        joins.append(f"JOIN f{i} ON f{i}.doc_id = d.doc_id CROSS JOIN i{i}")
+        parts.append(f"i{i}.idf * f{i}.tf * 2.2::double / (f{i}.tf + 1.2::double * (0.25::double + 0.75::double * d.dl / st.avgdl))")
+    return f"""WITH d AS (SELECT doc_id, {_TOKENS_SQL} AS t, len({_TOKENS_SQL}) AS dl FROM documents),
+tok AS (SELECT doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM d), st AS (SELECT count(*)::double AS n, avg(dl)::double AS avgdl FROM d),
+{", ".join(ctes)} SELECT d.doc_id AS id, round(-({" + ".join(parts)}), 9) AS score FROM d CROSS JOIN st {" ".join(joins)} ORDER BY score, id LIMIT {k}"""
+
+
+@register(_bm25_sql(X.query_phrases(QUERY_ONE)))
+def fts_bm25(spark, sf):
+    return fts.bm25(_index(spark, sf), QUERY_ONE)
+
+
+@register(_bm25_sql(X.query_phrases(QUERY_WORDS)))
+def fts_bm25_multi(spark, sf):
+    return fts.bm25(_index(spark, sf), QUERY_WORDS)
+
+
+@register(_bm25_sql([["of", "the"]]))
+def fts_phrase(spark, sf):
+    return fts.bm25(_index(spark, sf), "of_the")
+
+
+@register(_bm25_sql(X.query_phrases(QUERY_TWICE)))
+def fts_repeated_word(spark, sf):
+    return fts.bm25(_index(spark, sf), QUERY_TWICE)
+
+
+# -- vectors
+
+
+_V = "(SELECT embedding FROM embeddings WHERE vec_id = 0)::double[]"
+
+
+def _vector(spark, sf, i: int = 0) -> list[float]:
+    return [float(x) for x in table(spark, sf, "embeddings").filter(F.col("vec_id") == i).select("embedding").first()[0]]
+
+
+@register(f"SELECT vec_id AS id, round(1 - list_cosine_similarity(embedding::double[], {_V}), 9) AS distance FROM embeddings ORDER BY distance, id LIMIT 200")
+def knn_exact(spark, sf):
+    return vectors.knn(table(spark, sf, "embeddings"), _vector(spark, sf), 200)
+
+
+@register("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(1 - list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 9) AS distance
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) SELECT query_id, id, distance, rank FROM r WHERE rank <= 10""")
+def knn_batch(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return vectors.knn_batch(v, v.filter("vec_id % 100 = 0"), 10)
+
+
+@register("SELECT vec_id, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) AS norm FROM embeddings")
+def vector_norms(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.round(vectors.norm(vectors.doubles(F.col("embedding"))), 6).alias("norm"))
+
+
+@register()
+def knn_ivf(spark, sf):
+    v = table(spark, sf, "embeddings")
+    index = vectors.InvertedFile.build(v)
+    return index.search(_vector(spark, sf), 50, probes=6) if index else vectors.knn(v, _vector(spark, sf), 50)
+
+
+@register()
+def hashed_embeddings(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", vectors.hashed_embedding(F.col("text")).alias("vector"))
+
+
+# -- fusion and search
+
+
+_RETRIEVE = f"""v AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS rank FROM ({_ORACLE["knn_exact"]})),
+f AS (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM ({_ORACLE["fts_bm25_multi"]})),
+b AS (SELECT coalesce(v.id, f.id) AS id, v.rank AS vr, f.rank AS fr,
+  round(coalesce(1::double / (60 + v.rank), 0) + coalesce(1::double / (60 + f.rank), 0), 9) AS rrf FROM v FULL OUTER JOIN f ON v.id = f.id),
+pool AS (SELECT id, rrf, row_number() OVER (ORDER BY rrf DESC, vr ASC NULLS LAST, fr ASC NULLS LAST) AS rrf_rank FROM b QUALIFY rrf_rank <= 50)"""
+
+
+def _pool(spark, sf) -> DataFrame:
+    near = fusion.ranked(vectors.knn(table(spark, sf, "embeddings"), _vector(spark, sf), 200), F.asc("distance"), F.asc("id"))
+    text = fusion.ranked(fts.bm25(_index(spark, sf), QUERY_WORDS, 200), F.asc("score"), F.asc("id"))
+    return fusion.reciprocal_rank_fusion(near, text)
+
+
+@register(f"WITH {_RETRIEVE} SELECT * FROM pool")
+def rrf_fuse(spark, sf):
+    return _pool(spark, sf)
+
+
+@register(f"WITH {_RETRIEVE}, {_DOCS_SQL} SELECT pool.id, rrf_rank, docs.name AS document_name, docs.document_path FROM pool JOIN docs ON docs.id = pool.id")
+def fetch_chunks(spark, sf):
+    return fusion.fetch(_pool(spark, sf), chunk_rows(spark, sf), documents(spark, sf)).select("id", "rrf_rank", "document_name", "document_path")
+
+
+def _lexical_sql(words: list[str]) -> str:
+    inside = ", ".join(f"'{w}'" for w in words)
+    hits = f"list_filter({_TOKENS_SQL}, lambda x: x IN ({inside}))"
+    return f"round(len(list_distinct({hits})) / {len(words)}::double + len({hits}) / (100::double + len({hits})), 9)"
+
+
+@register(f"SELECT doc_id, {_lexical_sql(['and', 'the'])} AS score FROM documents")
+def rerank_lexical(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", fusion.lexical_score(F.col("text"), QUERY_WORDS).alias("score"))
+
+
+@register(f"""WITH {_RETRIEVE}, {_DOCS_SQL} SELECT pool.id AS chunk_id, pool.id AS document_id, docs.name AS document_name, docs.document_path,
+  {_lexical_sql(['and', 'the'])} AS score, text[1:320] AS snippet, [lang, source] AS breadcrumbs
+FROM pool JOIN docs ON docs.id = pool.id JOIN documents ON doc_id = pool.id ORDER BY score DESC, rrf_rank LIMIT 20""")
+def hybrid_search(spark, sf):
+    s = _store(spark, sf)
+    return search.search(QUERY_WORDS, _vector(spark, sf), _index(spark, sf), s.vectors, s.chunks, s.documents, top_k=20)
+
+
+# -- blocks, breadcrumbs, chunks
+
+
+def _line_blocks(spark, sf) -> DataFrame:
+    """Lines of the documents as blocks: every 5th line, of a level from its number, is a heading."""
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("position", "text"))
+    heading = F.col("position") % 5 == 0
+    level = F.when(heading, (F.col("position") / 5).cast("int") * 7 % 4 + 1)
+    return lines.withColumns({"type": F.when(heading, "heading").otherwise("paragraph"), "level": level})
+
+
+_LINES = """l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS position FROM documents),
+b AS (SELECT id, position, text, position % 5 = 0 AS h, CASE WHEN position % 5 = 0 THEN (position // 5) * 7 % 4 + 1 END AS level FROM l)"""
+
+
+def _crumbs_sql() -> str:
+    over = "OVER (PARTITION BY id ORDER BY position ROWS UNBOUNDED PRECEDING)"
+    last = ", ".join(f"max(CASE WHEN level = {k} THEN position END) {over} AS p{k}, last_value(CASE WHEN level = {k} THEN text END IGNORE NULLS) {over} AS t{k}" for k in range(1, 5))
+    # a crumb is live if it stands after the last heading of each lower level; a heading sees the lower levels alone
+    live = ", ".join(f"CASE WHEN p{k} > greatest(-1, {', '.join(['-1'] + [f'coalesce(p{m}, -1)' for m in range(1, k)])}) AND (NOT h OR {k} < level) THEN t{k} END" for k in range(1, 5))
+    return f"WITH {_LINES}, s AS (SELECT *, {last} FROM b) SELECT id, position::bigint AS position, list_filter([{live}], lambda x: x IS NOT NULL) AS breadcrumbs FROM s"
+
+
+@register(_crumbs_sql())
+def block_breadcrumbs(spark, sf):
+    return breadcrumbs.breadcrumbs(_line_blocks(spark, sf)).select("id", F.col("position").cast("long").alias("position"), "breadcrumbs")
+
+
+@register(f"WITH {_LINES} SELECT id, position::bigint AS position, sum(h::int) OVER (PARTITION BY id ORDER BY position ROWS UNBOUNDED PRECEDING)::bigint AS section FROM b")
+def section_ids(spark, sf):
+    return breadcrumbs.sections(_line_blocks(spark, sf)).select("id", F.col("position").cast("long").alias("position"), "section")
+
+
+@register(f"""WITH c AS ({_crumbs_sql()}), {_LINES} SELECT c.id, c.position, array_to_string(breadcrumbs[-3:], chr(10)) || chr(10) || chr(10) || text AS embedding_input
+FROM c JOIN l ON l.id = c.id AND l.position = c.position""".replace("WITH c AS (WITH", "WITH c AS (WITH"))
+def embedding_inputs(spark, sf):
+    b = breadcrumbs.breadcrumbs(_line_blocks(spark, sf))
+    return b.select("id", F.col("position").cast("long").alias("position"), breadcrumbs.embedding_input(F.col("breadcrumbs"), F.col("text")).alias("embedding_input"))
+
+
+@register(r"SELECT conv_id AS id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (regexp_matches(text, '\S')) AS text FROM conversations GROUP BY conv_id HAVING count(*) FILTER (regexp_matches(text, '\S')) > 0")
+def full_text_view(spark, sf):
+    b = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("position"), "text")
+    return breadcrumbs.full_text(b)
+
+
+@register("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html FROM documents")
+def escaped_view(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.html_escape(F.col("text")).alias("html"))
+
+
+@register(r"""WITH t AS (SELECT conv_id, turn, regexp_split_to_array(trim(text), ' +') AS w FROM conversations),
+o AS (SELECT conv_id, turn, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t)
+SELECT conv_id, turn, array_to_string(before[greatest(len(before) - 19, 1):], ' ') AS overlap FROM o""")
+def overlap_lag(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("w", F.split(F.trim("text"), " +"))
+    before = F.lag("w").over(W.partitionBy("conv_id").orderBy("turn"))
+    return c.withColumn("before", before).select("conv_id", "turn", F.array_join(X.last_n(F.col("before"), 20), " ").alias("overlap"))
+
+
+@register(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]'))::bigint AS tokens FROM documents")
+def token_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", chunking.token_count(F.col("text")).cast("long").alias("tokens"))
+
+
+@register(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, unnest(range(0, (len(w) + 63) // 64))::bigint AS piece, unnest([array_to_string(w[64 * i + 1 : 64 * i + 64], ' ') for i in range(0, (len(w) + 63) // 64)]) AS text FROM w""")
+def split_hard(spark, sf):
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    d = table(spark, sf, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") + 63) / 64).cast("int") - 1), lambda i: F.array_join(F.slice("w", i * 64 + 1, 64), " "))
+    return d.select("doc_id", F.posexplode(pieces).alias("piece", "text")).select("doc_id", F.col("piece").cast("long").alias("piece"), "text")
+
+
+def _split(kind: str, n: int = 64):
+    def run(spark, sf):
+        pieces = table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.split_udf(kind, n)("text")).alias("piece", "text"))
+        return pieces.select("doc_id", F.col("piece").cast("long").alias("piece"), "text")
+
+    run.__name__ = f"split_{kind}"
+    return run
+
+
+for _kind in ("paragraph", "list", "table"):
+    register()(_split(_kind))
+
+
+@register()
+def txt_blocks(spark, sf):
+    return parsers.blocks(table(spark, sf, "documents"), "doc_id", "text", "txt").drop("metadata")
+
+
+@register()
+def html_blocks(spark, sf):
+    return parsers.blocks(table(spark, sf, "pages"), "page_id", "html", "html").drop("metadata")
+
+
+@register(r"SELECT page_id AS id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', ' ', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&amp;', '&')) AS text FROM pages WHERE regexp_matches(html, '<h1')")
+def html_headings(spark, sf):
+    b = parsers.blocks(table(spark, sf, "pages"), "page_id", "html", "html")
+    return b.filter("type = 'heading' AND level = 1").select("id", "text")
+
+
+@register()
+def chunk_documents(spark, sf):
+    b = breadcrumbs.breadcrumbs(parsers.blocks(table(spark, sf, "documents"), "doc_id", "text", "txt"))
+    return chunking.chunks(b)
+
+
+@register()
+def chunk_pages(spark, sf):
+    b = breadcrumbs.breadcrumbs(parsers.blocks(table(spark, sf, "pages"), "page_id", "html", "html"))
+    return chunking.chunks(b)
+
+
+@register("""WITH s AS (SELECT l_orderkey AS doc, round(l_quantity / 2, 1) AS s, l_linenumber AS seq FROM lineitem),
+g AS (SELECT doc, s, count(*) AS n, min(seq) AS first FROM s GROUP BY doc, s) SELECT doc, s AS body FROM g QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, first) = 1""")
+def font_mode(spark, sf):
+    spans = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), (F.col("l_quantity") / 2).alias("size"), F.lit(1).alias("page"), F.lit(1).alias("block"), F.lit(1).alias("line"), F.col("l_linenumber").alias("seq")
+    )
+    return pdf_spans.body_size(spans)
+
+
+@register("SELECT p_partkey, CASE WHEN d >= 8 THEN 1 WHEN d >= 5 THEN 2 WHEN d >= 3 THEN 3 WHEN d >= 1.5 THEN 4 ELSE 5 END::bigint AS level FROM (SELECT p_partkey, p_size / 2.0::double - 11 AS d FROM part)")
+def heading_level(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", pdf_spans.heading_level(F.col("p_size") / 2.0, F.lit(11.0)).cast("long").alias("level"))
+
+
+@register("SELECT doc_id, to_json([lang, source])::varchar AS crumbs, [lang, source] AS back FROM documents")
+def crumbs_json(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.to_json(F.array("lang", "source")).alias("crumbs"))
+    return d.withColumn("back", F.from_json("crumbs", T.ArrayType(T.StringType())))
+
+
+# -- access, streams
+
+
+@register("SELECT c_custkey, (c_nationkey & 3) = 3 AS may_update, (c_nationkey & 1) = 1 AS may_read FROM customer")
+def permission_check(spark, sf):
+    held = F.col("c_nationkey")
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", access.check_permission(held, access.PERMISSIONS["UPDATE"]).alias("may_update"), access.check_permission(held, access.PERMISSIONS["READ"]).alias("may_read"))
+
+
+@register("SELECT c_custkey, sha256(c_name || c_mktsegment) AS password_hash FROM customer")
+def password_hash(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", access.hash_password(F.col("c_name"), F.col("c_mktsegment")).alias("password_hash"))
+
+
+@register("SELECT doc_id, true AS is_indexed FROM documents")
+def stream_threshold(spark, sf):
+    """The documents table as a file stream through the threshold indexer."""
+    import tempfile
+    import uuid
+
+    from docquarry.streaming import threshold
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docquarry-")
+    state = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType())])
+    # a glob, since a stream takes no single file by its plain name
+    threshold.run(spark, f"{sf}/documents.parque[t]", schema, state, 10).awaitTermination()
+    return threshold.latest(spark, state).select("doc_id", "is_indexed")
