@@ -419,7 +419,7 @@ def html_blocks(spark, sf):
     return parsers.blocks(table(spark, sf, "pages"), "page_id", "html", "html").drop("metadata")
 
 
-@register(r"SELECT page_id AS id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', ' ', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&amp;', '&')) AS text FROM pages WHERE regexp_matches(html, '<h1')")
+@register(r"""SELECT page_id AS id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', ' ', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&amp;', '&')) AS text FROM pages WHERE regexp_matches(html, '<h1')""")
 def html_headings(spark, sf):
     b = parsers.blocks(table(spark, sf, "pages"), "page_id", "html", "html")
     return b.filter("type = 'heading' AND level = 1").select("id", "text")
