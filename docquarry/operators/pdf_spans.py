@@ -17,7 +17,7 @@ BOLD = 16
 def body_size(spans: DataFrame) -> DataFrame:
     """(doc, body): the most frequent size to one place; of equally frequent ones the first met."""
     by_size = spans.groupBy("doc", F.bround("size", 1).alias("s")).agg(F.count("*").alias("n"), F.min(F.struct("page", "block", "line", "seq")).alias("first"))
-    order = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("n"), "first"))
+    order = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("n"), "first", "s"))
     return by_size.withColumn("r", order).filter("r = 1").select("doc", F.col("s").alias("body"))
 
 

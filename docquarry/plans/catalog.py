@@ -438,7 +438,7 @@ def chunk_pages(spark, sf):
 
 
 @register("""WITH s AS (SELECT l_orderkey AS doc, round(l_quantity / 2, 1) AS s, l_linenumber AS seq FROM lineitem),
-g AS (SELECT doc, s, count(*) AS n, min(seq) AS first FROM s GROUP BY doc, s) SELECT doc, s AS body FROM g QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, first) = 1""")
+g AS (SELECT doc, s, count(*) AS n, min(seq) AS first FROM s GROUP BY doc, s) SELECT doc, s AS body FROM g QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, first, s) = 1""")
 def font_mode(spark, sf):
     spans = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("doc"), (F.col("l_quantity") / 2).alias("size"), F.lit(1).alias("page"), F.lit(1).alias("block"), F.lit(1).alias("line"), F.col("l_linenumber").alias("seq")
