@@ -60,10 +60,14 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     for i in range(blocks):
         rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").collect()
         ids = np.array([r[0] for r in rows], np.int64)
-        m = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
-        sent = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(rows) else m))
+        if not rows:
+            continue
+        m = np.array([r[1] for r in rows], float)
+        sent = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
         part = v.mapInPandas(_nearest(sent, k), "query_id long, id long, distance double")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, id long, distance double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return out.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
