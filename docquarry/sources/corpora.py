@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import configparser
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
@@ -22,6 +24,19 @@ def export(rows: DataFrame, path: str, text_col: str = "text") -> None:
     rows.select(F.col(text_col).cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\u001e").text(path)
 
 
+def cached(spark: SparkSession, path: str, limit: int, make: Callable[[], DataFrame], order: str = "document_path") -> DataFrame:
+    """The first `limit` rows, in order, of the table at path; it is made anew if it is missing or has fewer rows."""
+    try:
+        table = spark.read.parquet(path)
+        enough = table.count() >= limit
+    except AnalysisException:
+        enough = False
+    if not enough:
+        make().limit(limit).write.mode("overwrite").parquet(path)
+        table = spark.read.parquet(path)
+    return table.orderBy(order).limit(limit)
+
+
 @dataclass
 class Config:
     """Settings with their defaults (fixed values)."""

@@ -157,3 +157,15 @@ def test_access_and_settings(spark, tmp_path):
     assert (r.a, r.b, len(r.h)) == (True, False, 64)
     (tmp_path / "c.ini").write_text("[x]\nchunk_tokens = 7\n")
     assert corpora.Config.read(str(tmp_path / "c.ini")) == corpora.Config(chunk_tokens=7)
+
+
+def test_cached_corpus(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(f"/{i}", "t") for i in range(5)], "document_path string, text string")
+
+    for _ in range(2):
+        assert [r.document_path for r in corpora.cached(spark, str(tmp_path / "c"), 3, make).collect()] == ["/0", "/1", "/2"]
+    assert len(made) == 1
