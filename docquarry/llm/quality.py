@@ -186,3 +186,40 @@ def rules(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(read_documents(spark, sf_dir))
+
+
+def _js_sql(p: str, q: str) -> str:
+    """Distance of two lists of counts of one length."""
+    x, y = f"(({p})[i] / list_sum({p})::double)", f"(({q})[i] / list_sum({q})::double)"
+    term = lambda z: f"CASE WHEN {z} > 0 THEN {z} * log2({z} / (({x} + {y}) / 2)) ELSE 0 END"
+    return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0::double, list_sum([{term(x)} + {term(y)} for i in range(1, len({p}) + 1)]) / 2)) END"
+
+
+def _oracle() -> str:
+    quote = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    own = " ".join(f"WHEN '{lang}' THEN {quote(ws)}" for lang, ws in COMMON_WORDS.items())
+    width = 1 + max(map(len, COMMON_WORDS.values()))
+    sums = lambda c, n: "[" + ", ".join(f"sum(coalesce({c}[{i}], 0))::bigint" for i in range(1, n + 1)) + "]"
+    left = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))::bigint"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, CASE lang {own} ELSE []::varchar[] END AS own FROM documents),
+e AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(lower(t), '\p{{L}}+') AS letters,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest([w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] for k in range(1, len(w) - 1)]) AS g FROM e WHERE len(w) >= 3),
+r AS (SELECT doc_id, i FROM g JOIN (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1) USING (doc_id, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+m AS (SELECT e.doc_id, lang, len(w)::bigint AS n_words, length(t) AS n_chars, {left(r"[\x20\x09-\x0D]+")} AS word_chars, {left(r"[^#*$%&|<>]+")} AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, coalesce(c.n, 0)::bigint AS n_repeat_words, {left(r"[^\p{L}]+")} AS n_letters,
+        {left(r"[^\p{Lu}]+")} AS n_upper, {left(r"[^\p{Nd}]+")} AS n_digits, [len(list_filter(letters, lambda x: x = o)) for o in own] AS hits, len(letters) AS n_letter_words
+      FROM e LEFT JOIN c USING (doc_id)),
+h AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_append(hits, n_letter_words - coalesce(list_sum(hits), 0)::bigint) AS word_hist,
+        [n_letters - n_upper, n_upper, n_digits, n_chars - word_chars, n_symbols, n_chars - n_letters - n_digits - (n_chars - word_chars) - n_symbols] AS class_hist FROM m),
+f AS (SELECT lang AS ref_lang, {sums("class_hist", 6)} AS ref_class, {sums("word_hist", width)} AS ref_words FROM h WHERE NOT base_failed GROUP BY lang),
+j AS (SELECT *, ref_words[1:len(word_hist)] AS rw FROM h LEFT JOIN f ON lang IS NOT DISTINCT FROM ref_lang),
+k AS (SELECT *, {_js_sql("class_hist", "ref_class")} AS cd, CASE WHEN len(word_hist) > 1 THEN {_js_sql("word_hist", "rw")} END AS wd FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(NOT (n_chars >= 200 AND round(cd, 9) > 0.25), true) AND coalesce(NOT (n_words >= 50 AND round(wd, 9) > 0.35), true) AS kept,
+       round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM k"""
+
+
+ORACLE_SQL = _oracle()

@@ -125,6 +125,9 @@ def partition(
         splits |= {n: (goals[n][0], level[n]) for n in level}
         for n in wide:
             first, k = leaves.pop(n)
+            if n not in level:  # no rows
+                leaves[n] = (first, 1)
+                continue
             leaves[2 * n + 1], leaves[2 * n + 2] = (first, k // 2), (first + k // 2, k - k // 2)
     salts = max(1, (rows or base.count()) // (shards * slot_group) + 1)
     out = base.withColumn("shard", _tree(splits, lambda n: F.lit(leaves[n][0])).cast("int")).withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int"))
