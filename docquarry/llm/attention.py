@@ -1,7 +1,7 @@
 """A small causal self-attention language model in numpy: training on a bounded sample, and batched scoring.
 
 A token's probability is that of its class given the tokens before it, from one layer of causal self-attention, times its
-share of the class.  Inputs, queries, keys and values of an id are rows of tables, so scoring gathers instead of multiplying.
+share of the class after a token of the previous one's class.  Inputs, queries, keys and values of an id are rows of tables, so scoring gathers instead of multiplying.
 """
 
 from __future__ import annotations
@@ -63,11 +63,16 @@ class Model:
         self.cls = np.full(self.vocabulary, self.classes - 1, np.int32)
         self.cls[own] = near
         smooth = count + 0.5
-        total = np.bincount(self.cls, smooth, minlength=self.classes)
-        self.log_share = np.log(smooth / total[self.cls]).astype(F32)
+        share = smooth / np.bincount(self.cls, smooth, minlength=self.classes)[self.cls]
+        # shares after each class of predecessor, drawn towards the share at large
+        v, before = self.vocabulary, self.cls[ids[i - 1]].astype(np.int64)
+        pair = np.bincount(before * v + ids[i], minlength=self.classes * v).reshape(self.classes, v)
+        total = np.bincount(before * self.classes + self.cls[ids[i]], minlength=self.classes**2).reshape(self.classes, -1)[:, self.cls]
+        pull = 8.0
+        self.log_share = np.log((pair + pull * share) / (total + pull)).astype(F32)
 
     def _windows(self, flat: np.ndarray, sizes: np.ndarray):
-        """(rows of inputs[window], target ids[stride], valid[stride], owner) for texts given as input ids one after another.
+        """(rows of inputs[window], target ids[stride], their predecessors, owner) for texts given as input ids one after another.
 
         Each text's first id is the begin mark; the targets are its other ids.
         """
@@ -86,11 +91,11 @@ class Model:
         begin = at[owner] + s * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
         win = rows[begin[:, None] + np.arange(t)]
         target = ids[begin[:, None] + np.arange(t - s + 1, t + 1)]
-        return win, target, target >= 0, owner
+        return win, target, ids[begin[:, None] + np.arange(t - s, t)], owner
 
     # -- training
 
-    def fit(self, texts: list[np.ndarray], epochs: int = 4, batch: int = 256, rate: float = 0.01) -> "Model":
+    def fit(self, texts: list[np.ndarray], epochs: int = 2, batch: int = 64, rate: float = 0.015) -> "Model":
         """Adam on the windows of the sample; texts start with the begin mark."""
         texts = [x for x in texts if len(x) > 1] or [np.zeros(2, np.int64)]
         flat, sizes = np.concatenate(texts).astype(np.int64), np.array([len(x) for x in texts])
@@ -98,7 +103,8 @@ class Model:
         d, c, t, s = self.dim, self.classes, self.window, self.stride
         g = lambda *shape, scale=0.1: (self.rng.standard_normal(shape) * scale).astype(F32)
         p = {"e": g(self.pad + 1, d), "p": g(t, d), "q": g(d, d, scale=0.3), "k": g(d, d, scale=0.3), "v": g(d, d, scale=0.3), "o": g(d, d, scale=0.3), "c": g(d, c), "b": np.zeros(c, F32)}
-        win, target, valid, _ = self._windows(flat, sizes)
+        win, target, _, _ = self._windows(flat, sizes)
+        valid = target >= 0
         goal = np.where(valid, self.cls[np.maximum(target, 0)], 0)
         mass = np.bincount(goal[valid], minlength=c) + 1.0
         p["b"] = np.log(mass / mass.sum()).astype(F32)
@@ -171,11 +177,12 @@ class Model:
 
     def score(self, flat: np.ndarray, sizes: np.ndarray, windows: int = 2048) -> np.ndarray:
         """log10 probability of each text's ids after its begin mark."""
-        win, target, valid, owner = self._windows(flat, sizes)
+        win, target, before, owner = self._windows(flat, sizes)
         t, s = self.window, self.stride
         out = np.zeros(len(sizes))
         for i in range(0, len(win), windows):
-            w, y, ok = win[i : i + windows], target[i : i + windows], valid[i : i + windows]
+            w, y, last = win[i : i + windows], target[i : i + windows], before[i : i + windows]
+            ok = y >= 0
             a = (self.q[w[:, t - s :]] + self.pq) @ (self.k[w] + self.pk).transpose(0, 2, 1)
             a += self.mask
             a += self.hide[w][:, None, :]
@@ -184,7 +191,7 @@ class Model:
             logit += (self.x[w[:, t - s :]] + self.px).reshape(-1, self.classes)
             logit -= logit.max(axis=1, keepdims=True)
             id_ = np.where(ok, y, 0).ravel()
-            got = logit[np.arange(len(logit)), self.cls[id_]] + self.log_share[id_]
+            got = logit[np.arange(len(logit)), self.cls[id_]] + self.log_share[self.cls[np.where(ok, last, 0).ravel()], id_]
             got -= np.log(np.exp(logit, out=logit).sum(axis=1))
             per = np.where(ok, got.reshape(ok.shape), 0).sum(axis=1, dtype=np.float64)
             out += np.bincount(owner[i : i + windows], per, minlength=len(sizes))
