@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import read_documents, slices
+from .common import read_documents, slices, text_buffer
 
 SCHEMA = "doc_id long, lang_pred string, score double, bits double"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())])
@@ -186,16 +186,22 @@ def learn(
     chars_per_row: int = 2500,
     symbols_per_language: int = 60_000,
     total_symbols: int = 600_000,
+    most_languages: int = 1000,
 ) -> dict[str, str]:
     """A bounded sample of labelled text for each language; `train` is a filter for rows that may be learned from."""
     lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), lang.alias("l"), text.alias("t"), (F.lit(True) if train is None else train).alias("ok"))
     rows = rows.filter(F.col("ok") & F.col("id").isNotNull() & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not counts:
+        return {}
     h = F.xxhash64(F.col("id").cast("string"))
     # four times as many as asked for pass the first cut, so a window sees few rows of any language
-    share = F.shiftright(h, 33).bitwiseAND((1 << 30) - 1) < (F.lit(4.0 * rows_per_language * (1 << 30)) / F.col("n"))
-    few = rows.join(counts, "l").filter(share).select("l", h.alias("h"), F.substring("t", 1, chars_per_row).alias("t"))
+    n = F.element_at(F.create_map(*[F.lit(x) for k in counts.items() for x in k]), F.col("l"))
+    share = F.shiftright(h, 33).bitwiseAND((1 << 30) - 1) < F.lit(4.0 * rows_per_language * (1 << 30)) / n
+    few = rows.filter(share).select("l", h.alias("h"), F.substring("t", 1, chars_per_row).alias("t"))
     best = few.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).filter(F.col("r") <= rows_per_language)
     found: dict[str, list[str]] = {}
     for r in best.orderBy("l", "r").collect():
@@ -212,6 +218,8 @@ def identify(docs: DataFrame, samples: dict[str, str], *, id_col: str = "doc_id"
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(samples)
     keep = list(extra or [])
+    # the text goes to the worker once; in a carried row it takes its place again
+    place = keep.index(text_col) if text_col in keep and dict(docs.dtypes)[text_col] == "string" else None
 
     def run(batches):
         key = hash(tuple(sorted(sent.value.items())))
@@ -219,21 +227,23 @@ def identify(docs: DataFrame, samples: dict[str, str], *, id_col: str = "doc_id"
             _parsers.clear()
             _parsers[key] = Parser(sent.value)
         parser = _parsers[key]
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
-            got = []
-            for i, j in slices(offsets, 1 << 21):
-                got += parser.predict(texts[i:j])
-            lang, score, bits = zip(*got) if got else ((), (), ())
-            own = [b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
-            if keep:
-                own.append(b.column(2))
-            yield pa.RecordBatch.from_arrays(own, names=[*_ARROW.names, "extra"][: len(own)])
-
-    carried = [F.struct(*keep).alias("extra")] if keep else []
+        for whole in batches:
+            for i, j in slices(text_buffer(whole.column(1))[1], 1 << 21):
+                b = whole.slice(i, j - i)
+                lang, score, bits = zip(*parser.predict([t or "" for t in b.column(1).to_pylist()]))
+                own = [b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
+                if keep:
+                    carried = b.column(2)
+                    fields = [carried.field(k) for k in range(len(sent_along))]
+                    if place is not None:
+                        fields.insert(place, b.column(1))
+                    own.append(pa.StructArray.from_arrays(fields, names=keep))
+                yield pa.RecordBatch.from_arrays(own, names=[*_ARROW.names, "extra"][: len(own)])
+
+    sent_along = [c for i, c in enumerate(keep) if i != place]
+    carried = [F.struct(*(sent_along or [F.lit(True).alias("none")])).alias("extra")] if keep else []
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
-    schema = SCHEMA + (f", extra {d.schema['extra'].dataType.simpleString()}" if keep else "")
+    schema = SCHEMA + (f", extra {docs.select(F.struct(*keep).alias('extra')).schema['extra'].dataType.simpleString()}" if keep else "")
     return d.mapInArrow(run, schema)
 
 
