@@ -9,8 +9,9 @@ last round are looked at.  Neighbours in the final order that share `length` byt
 The transform of a whole corpus would be read once for each byte of its longest text.  So strings that can matter are cut
 out first, and dealt to tasks by content: every window of `length` bytes has an anchor, the `gram` bytes inside it with the
 smallest hash; consecutive windows of one anchor form a piece of under 2 * length bytes.  Equal windows have equal anchors,
-so anchors seen in one text alone are dropped, equal pieces are settled by hash (see `firstseen`), and each task builds the
-transforms of whole anchors' different pieces, Arrow batch by Arrow batch.  The sequential files are arrays of one batch.
+so anchors seen in one text alone are dropped, and so are pieces that share no side of their anchor; equal pieces are
+settled by hash (see `firstseen`), and each task builds the transforms of whole anchors' different pieces, about `group`
+strings at a time.  The sequential files are arrays of one such group.
 
 Defined cases: a null or empty text has no bytes, and the hash of the empty string; rows with one id and different texts do
 not remove from each other; repeated rows are each returned; a row with a null doc_id keeps everything and removes nothing;
@@ -23,12 +24,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import BYTE_HASH, U64, mix, read_documents, slices, text_buffer
-from .firstseen import PIECES, REMOVALS, Copies, covered, keyed, piece_batch, prefix_hash, removal_runs, runs_of, settle
+from .firstseen import DECIDED, REMOVALS, Copies, covered, decide, keyed, prefix_hash, removal_runs, runs_of, settle
 from .neardup import runs
 
 SEGMENT = 1 << 21
@@ -42,12 +43,16 @@ def bwt_columns(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     m = len(sizes)
     ends = np.cumsum(sizes + 1)  # places of the end marks, after one more mark in front
-    text = np.zeros(len(data) + m + 1, np.uint16)
+    kinds = np.zeros(256, bool)
+    kinds[data] = True
+    rank = np.cumsum(kinds)  # order-preserving; a radix sort of one byte takes one pass
+    text = np.zeros(len(data) + m + 1, np.uint8 if rank[-1] < 256 else np.uint16)
     inner = np.ones(len(text), bool)
     inner[0] = False
     inner[ends] = False
-    text[inner] = data.astype(np.uint16) + 1
+    text[inner] = rank[data]
     shared = np.zeros(len(text), np.uint16)
+    ends = ends.astype(np.int32) if len(text) < 1 << 31 else ends
     order, fresh = ends, np.ones(m, bool)
     while fresh.any():
         symbol = text[order - 1]
@@ -91,11 +96,15 @@ def earlier_windows(data, sizes, doc, length: int):
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(anchor, row, first window, windows) of the pieces of all rows."""
+    """(anchor, row, first window, windows, piece hash, sides) of the pieces of all rows.
+
+    A window holds at least half of its bytes beside the anchor on one side, so two equal windows share the anchor with
+    `side` bytes to its left or to its right.  sides: 16 bits of the hash of each; 0 where the row ends before.
+    """
     n = len(data)
     empty = np.empty(0, np.int64)
     if n < length:
-        return empty.view(U64), empty, empty, empty
+        return empty.view(U64), empty, empty, empty, empty.view(U64), empty.view(U64)
     s, inverse = prefix_hash(BYTE_HASH[data])
     with np.errstate(over="ignore"):
         h = mix((s[gram:] - s[:-gram]) * inverse[: n - gram + 1])
@@ -112,7 +121,94 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     same[1:] = (best[1:] == best[:-1]) & (row[1:] == row[:-1])
     start = np.flatnonzero(~same)
     at = (best[start] & U64((1 << 32) - 1)).astype(np.int64)
-    return h[at], row[start], w[start] - offsets[row[start]], np.diff(np.append(start, len(w)))
+    row, p, count = row[start], w[start], np.diff(np.append(start, len(w)))
+    side = (length - gram + 1) // 2
+    with np.errstate(over="ignore"):
+        piece = mix((s[p + count + length - 1] - s[p]) * inverse[p] + count.astype(U64))
+        lo, hi = np.maximum(at - side, 0), np.minimum(at + gram + side, n)
+        left = mix((s[at] - s[lo]) * inverse[lo]) >> U64(48) | U64(1)
+        right = mix((s[hi] - s[at + gram]) * inverse[at + gram]) >> U64(48) | U64(1)
+    left[at - side < offsets[row]] = 0
+    right[at + gram + side > offsets[1:][row]] = 0
+    return h[at], row, p - offsets[row], count, piece, left << U64(16) | right
+
+
+BLOBS = ["docs", "ths", "a", "h", "sides", "t", "p", "n"]
+DEALT = "bucket long, " + ", ".join(f"{x} binary" for x in BLOBS)
+
+
+def bucket_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of `parts` shuffle partitions a number that hash partitioning sends there."""
+    at = F.pmod(F.hash("id"), F.lit(parts))
+    got = spark.range(0, 64 * parts, numPartitions=1).groupBy(at.alias("at")).agg(F.min("id").alias("id")).collect()
+    return np.array(sorted(r["id"] for r in got), np.int64)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: high bytes of small numbers cost nothing."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
+
+
+def deal(doc, th, a, row, p, n, h, sides, keys):
+    """Pieces of an Arrow batch as one compressed row for each bucket: sorted by anchor, so differences are small."""
+    bucket = (a & U64(0xFFFFFF)).astype(np.int64) % len(keys)
+    a = a >> U64(24)  # 40 bits: a chance meeting of two anchors costs a comparison, no result
+    order = np.lexsort((a, bucket))
+    a, row, p, n, h, sides, bucket = (x[order] for x in (a, row, p, n, h, sides, bucket))
+    border = np.searchsorted(bucket, np.arange(len(keys) + 1))
+    for k in np.flatnonzero(np.diff(border)).tolist():
+        own = slice(border[k], border[k + 1])
+        texts, t = np.unique(row[own], return_inverse=True)
+        low = int(doc[texts].min())
+        blobs = [low.to_bytes(8, "little", signed=True) + _packed(doc[texts] - low), th[texts].tobytes(), _packed(np.diff(a[own], prepend=U64(0)))]
+        blobs += [_packed(x) for x in (h[own] >> U64(8), sides[own], t, p[own], n[own])]
+        yield pa.RecordBatch.from_arrays([pa.array([keys[k]], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], names=["bucket", *BLOBS])
+
+
+def _twice(key: np.ndarray, doc: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Mask of the rows whose key (and more) another document has too."""
+    order = np.lexsort((doc, *more, key))
+    same = np.ones(max(0, len(key) - 1), bool)
+    for x in (key, *more):
+        same &= x[order][1:] == x[order][:-1]
+    start = np.concatenate(([0], np.flatnonzero(~same) + 1)) if len(key) else np.empty(0, np.int64)
+    end = np.append(start[1:], len(key)) - 1
+    d = doc[order]
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(d[start] != d[end], end - start + 1)
+    return out
+
+
+def shared_anchors(batches):
+    """Buckets of DEALT to rows of DECIDED: pieces that share their anchor and one of its sides with another document."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for bucket, docs, ths, *rest in zip(*(c.to_pylist() for c in b.columns)):
+            a, h, sides, t, p, n = map(_unpacked, rest)
+            t = t.view(np.int64)
+            ids = (_unpacked(docs[8:]).view(np.int64) + int.from_bytes(docs[:8], "little", signed=True))[t]
+            held.setdefault(bucket, []).append([np.cumsum(a), h, sides.astype(np.uint32), ids, np.frombuffer(ths, np.int64)[t], p.astype(np.int32), n.astype(np.int32)])
+    for own in held.values():
+        cols = [np.concatenate(c) for c in zip(*own)]
+        own.clear()
+        keep = np.flatnonzero(_twice(cols[0], cols[3]))
+        cols = [c[keep] for c in cols]
+        left, right = cols[2] >> 16, cols[2] & 0xFFFF
+        keep = (_twice(cols[0], cols[3], left) & (left > 0)) | (_twice(cols[0], cols[3], right) & (right > 0))
+        a, h, _, doc, th, p, n = (c[keep] for c in cols)
+        got = decide(a, h, th, doc, p, n, np.zeros(len(a), bool), doc)
+        if got is not None:
+            for i in range(0, got.num_rows, 50_000):
+                yield got.slice(i, 50_000)
 
 
 def _segments(offsets: np.ndarray, length: int):
@@ -121,17 +217,21 @@ def _segments(offsets: np.ndarray, length: int):
         a, b = int(offsets[i]), int(offsets[j])
         if j - i > 1 or b - a <= 2 * SEGMENT:
             yield i, j, a, b
-        else:  # windows depend on their own bytes alone, so a long text can be cut where segments overlap by length - 1
+        else:  # windows depend on their own bytes, and sides on less than `length` more, so segments overlap by that
             for c in range(a, b, SEGMENT):
-                yield i, j, c, min(b, c + SEGMENT + length - 1)
+                yield i, j, max(a, c - length), min(b, c + SEGMENT + 2 * length)
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 10, with_bytes: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, group: int = 1000, with_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_bytes]) of every row."""
     if not 1 <= gram <= length or length > 20_000:
         raise ValueError("needs 1 <= gram <= length <= 20000")
     texts = keyed(docs, id_col, text_col)
 
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = bucket_keys(spark, parts)
+
     def scan(batches):
         copies = Copies()
         for b in batches:
@@ -139,32 +239,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             b = b.filter(pa.array(copies.fresh(doc, th)))
             doc, th = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, offsets = text_buffer(b.column(2))
+            found = []
             for i, j, lo, hi in _segments(offsets, length):
-                own = np.clip(offsets[i : j + 1], lo, hi) - lo
-                a, row, p, n = anchors(data[lo:hi], own, length, gram)
+                a, row, p, n, h, sides = anchors(data[lo:hi], np.clip(offsets[i : j + 1], lo, hi) - lo, length, gram)
                 skip = np.maximum(lo - offsets[i : j + 1], 0)[row] if len(row) else p
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), th[i + row], doc[i + row], p + skip, n)], names=["a", "th", "doc", "p", "n"])
-
-    def cut(batches):
-        """Pieces at the places in column 3."""
-        for b in batches:
-            data, offsets = text_buffer(b.column(1))
-            doc, th, wants = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3)
-            sizes = np.array(pa.compute.list_value_length(wants).to_pylist(), np.int64)
-            flat = wants.flatten()
-            a, p, n = (flat.field(k).to_numpy() for k in range(3))
-            ends = np.cumsum(sizes)
-            parts = []
-            for i, j in slices(offsets, SEGMENT):
-                s, inverse = prefix_hash(BYTE_HASH[data[offsets[i] : offsets[j]]])
-                own = slice(ends[i] - sizes[i], ends[j - 1])
-                row = np.repeat(np.arange(i, j), sizes[i:j])
-                at = p[own] + offsets[row] - offsets[i]
-                with np.errstate(over="ignore"):
-                    h = mix((s[at + n[own] + length - 1] - s[at]) * inverse[at] + n[own].astype(U64))
-                parts.append((a[own], h, th[row], doc[row], p[own], n[own]))
-            if parts:
-                yield piece_batch(*(np.concatenate(c) for c in zip(*parts)))
+                found.append((a, row + i, p + skip, n, h, sides))
+            if found:
+                yield from deal(doc, th, *(np.concatenate(c) for c in zip(*found)), keys)
 
     def strings(batches):
         for b in batches:
@@ -178,16 +259,16 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "doc", "th", "p", "s"])
 
     def compare(batches):
-        for t, _ in runs(batches, 1):
+        for t, borders in runs(batches, 1):
             raw = t.column("s").to_pylist()
             sizes = np.fromiter(map(len, raw), np.int64, len(raw))
             doc, th, p = (t.column(c).to_numpy() for c in ("doc", "th", "p"))
-            owner, at, by = earlier_windows(np.frombuffer(b"".join(raw), np.uint8), sizes, doc, length)
-            if not len(owner):
-                continue
-            yield removal_runs(th, p, owner, at, by)
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            # whole anchors, about `group` strings at a time
+            for i, j in slices(borders, group):
+                i, j = int(borders[i]), int(borders[j])
+                owner, at, by = earlier_windows(np.frombuffer(b"".join(raw[i:j]), np.uint8), sizes[i:j], doc[i:j], length)
+                if len(owner):
+                    yield removal_runs(th[i:j], p[i:j], owner, at, by)
 
     def single(looked: DataFrame) -> DataFrame:
         cutout = looked.mapInArrow(strings, "a long, doc long, th long, p long, s binary")
@@ -210,13 +291,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     known = texts.filter(F.col("doc_id").isNotNull())
-    found = known.select("doc_id", "th", "text").mapInArrow(scan, "a long, th long, doc long, p long, n long")
-    by_anchor = W.partitionBy("a")
-    shared = found.withColumns({"lo": F.min("doc").over(by_anchor), "hi": F.max("doc").over(by_anchor)}).filter("lo < hi")
-    want = shared.groupBy(F.col("doc").alias("doc_id"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("a", "p", "n")).alias("want"))
-    pieces = known.join(want, "doc_id").filter("th = wth").select("doc_id", "text", "th", "want").mapInArrow(cut, PIECES)
+    dealt = known.select("doc_id", "th", "text").mapInArrow(scan, DEALT).repartition(parts, "bucket").mapInArrow(shared_anchors, DECIDED)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if with_bytes else "")
-    return settle(texts, pieces, single, finish, schema, length)
+    return settle(texts, dealt, single, finish, schema, length)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ windows with one anchor form a piece.
   smallest id lose every window.
 * Pieces with one hash are equal: all but the smallest document's lose all their windows.  Within an Arrow batch this is
   settled at once (dup rows), so a passage in very many documents sends few rows through a shuffle.
-* Only anchors with two or more different pieces need a look at single windows, and only at one copy of each piece.
+* One shuffle deals pieces by anchor.  Only anchors with two or more different pieces need a look at single windows, and only
+  in one document of each piece.
 * Every removal carries the document it is due to (`by`), and holds if that is smaller than the text's own smallest id.
 
 Texts move through one shuffle, by doc_id, whose output both later passes read.
@@ -21,9 +22,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import U64, materialise
+from .common import U64, materialise, mix
+from .neardup import runs
 
 PIECES = "a long, h long, th long, doc long, p long, n long, dup boolean, by long"
 _PIECES = pa.schema([("a", pa.int64()), ("h", pa.int64()), ("th", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()), ("n", pa.int64()), ("dup", pa.bool_()), ("by", pa.int64())])
@@ -59,10 +60,47 @@ def piece_batch(a, h, th, doc, p, n) -> pa.RecordBatch:
     first[1:] = (a[1:] != a[:-1]) | (h[1:] != h[:-1])
     lead = doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(a) else doc
     dup = doc > lead
+    # what is settled need not meet its anchor: it is spread, so that a passage in very many texts loads no single task
+    with np.errstate(over="ignore"):
+        a = np.where(dup, mix(th.astype(np.int64).view(U64) + p.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15)), a)
     i64 = lambda x: pa.array(x.astype(np.int64) if x.dtype != U64 else x.view(np.int64))
     return pa.RecordBatch.from_arrays([i64(a), i64(h), i64(th), i64(doc), i64(p), i64(n), pa.array(dup), pa.array(lead.astype(np.int64))], schema=_PIECES)
 
 
+DECIDED = "single boolean, a long, th long, doc long, p long, n long, by long"
+
+
+def decide(a, h, th, doc, p, n, dup, by) -> pa.RecordBatch | None:
+    """Whole anchors: removals of whole pieces, and the pieces whose windows need a look (single)."""
+    order = np.lexsort((p, doc, h, dup, a))  # settled rows last in their anchor
+    a, h, th, doc, p, n, by, dup = (x[order] for x in (a, h, th, doc, p, n, by, dup))
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (h[1:] != h[:-1])
+    head = np.flatnonzero(first & ~dup)  # the smallest document of each piece
+    lead = np.zeros(len(a), np.int64)
+    lead[head] = 1
+    at = np.maximum(np.cumsum(lead) - 1, 0)
+    due = np.where(dup, by, doc[head][at] if len(head) else by)
+    gone = doc > due
+    names, kinds = np.unique(a[head], return_counts=True)
+    # a document may hold its piece at several places
+    look = np.flatnonzero(~dup & ~gone & np.isin(a, names[kinds > 1]))
+    i = np.concatenate((np.flatnonzero(gone), look))
+    if not len(i):
+        return None
+    single = np.arange(len(i)) >= int(gone.sum())
+    cols = [pa.array(single), *(pa.array(x[i].astype(np.int64)) for x in (a, th, doc, p, n, due))]
+    return pa.RecordBatch.from_arrays(cols, names=["single", "a", "th", "doc", "p", "n", "by"])
+
+
+def by_anchor(batches):
+    """decide() over PIECES that are sorted by anchor."""
+    for t, _ in runs(batches, 1):
+        got = decide(*(t.column(c).to_numpy() for c in ("a", "h", "th", "doc", "p", "n", "dup", "by")))
+        if got is not None:
+            yield got
+
+
 def prefix_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(s, inverse powers) with which (s[j] - s[i]) * inverse[i] names the symbols i..j-1."""
     m = 0x9FB21C651E98DF25
@@ -82,35 +120,37 @@ def window_runs(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(name)))
 
 
-def settle(texts: DataFrame, pieces: DataFrame, single_windows, finish, schema: str, length: int) -> DataFrame:
+def deal_pieces(pieces: DataFrame) -> DataFrame:
+    """PIECES to DECIDED, through one shuffle by anchor."""
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(by_anchor, DECIDED)
+
+
+def settle(texts: DataFrame, dealt: DataFrame, single_windows, finish, schema: str, length: int) -> DataFrame:
     """The operator's rows.
 
-    texts: keyed(); pieces: PIECES.  single_windows(DataFrame of doc_id, text, th, want array<struct<a, p, n>>) gives
-    removals (th, p, n, by).  finish(list of texts, list of kept masks' runs) makes the final Arrow rows.
+    texts: keyed(); dealt: DECIDED.  single_windows(DataFrame of doc_id, text, th, want array<struct<a, p, n>>) gives
+    removals (th, p, n, by).  finish(Arrow batches of doc_id, text, twin, runs[, carried]) makes the final rows.
     """
-    pieces = materialise(pieces, "pieces")
-    by_anchor = F.count("*").over(W.partitionBy("a"))
-    open_ = pieces.filter("NOT dup").select("a", "h", "th", "doc", "p", "n").withColumn("c", by_anchor).filter("c > 1").drop("c")
-    open_ = materialise(open_, "shared")
-    each = open_.groupBy("a", "h").agg(F.min(F.struct("doc", "th", "p", "n")).alias("r"))
-    each = materialise(each.select("a", "h", "r.*"), "each")
-    whole = open_.join(each.select("a", "h", F.col("doc").alias("by")), ["a", "h"]).filter("doc > by").select("th", "p", "n", "by")
-    local = pieces.filter("dup").select("th", "p", "n", "by")
-    several = each.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
-    want = each.join(several, "a").groupBy(F.col("doc").alias("doc_id"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("a", "p", "n")).alias("want"))
+    dealt = materialise(dealt, "dealt")
+    whole = dealt.filter("NOT single").select("th", "p", "n", "by")
+    want = dealt.filter("single").groupBy(F.col("doc").alias("doc_id"), "th").agg(F.collect_list(F.struct("a", "p", "n")).alias("want"))
     known = texts.filter(F.col("doc_id").isNotNull())
-    looked = known.join(want, "doc_id").filter("th = wth").select("doc_id", "text", "th", "want")
+    # dealt out by hand, so that both joins read one shuffle of the texts
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moved = known.repartition(parts, "doc_id", "th")
+    looked = moved.join(want, ["doc_id", "th"]).select("doc_id", "text", "th", "want")
     partial = single_windows(looked)
-    removals = whole.unionByName(local).unionByName(partial)
+    removals = whole.unionByName(partial)
     # each document's smallest twin, without its text
     narrow = known.select("doc_id", "th").distinct()
     first = narrow.groupBy("th").agg(F.min("doc_id").alias("lead"))
     lists = removals.join(first, "th").filter("by < lead").groupBy("th").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
-    info = narrow.join(first, "th").join(lists, "th", "left").select("doc_id", F.col("th").alias("ith"), (F.col("doc_id") > F.col("lead")).alias("twin"), "runs")
+    info = narrow.join(first, "th").join(lists, "th", "left").select("doc_id", "th", (F.col("doc_id") > F.col("lead")).alias("twin"), "runs")
     # a twin needs no runs: all its windows go
     info = info.withColumn("runs", F.when(~F.col("twin"), F.col("runs")))
     more = ["carried"] if "carried" in texts.columns else []
-    out = known.join(info, "doc_id").filter("th = ith").select("doc_id", "text", "twin", "runs", *more).mapInArrow(finish, schema)
+    out = moved.join(info, ["doc_id", "th"]).select("doc_id", "text", "twin", "runs", *more).mapInArrow(finish, schema)
     alone = texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(False).alias("twin"), F.lit(None).cast("array<struct<p:bigint,n:bigint>>").alias("runs"), *more)
     return out.unionByName(alone.mapInArrow(finish, schema))
 

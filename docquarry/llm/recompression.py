@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, mix, read_documents, slices, text_buffer, word_hashes, words_of
-from .firstseen import PIECES, REMOVALS, Copies, covered, keyed, piece_batch, prefix_hash, removal_runs, runs_of, settle, window_runs
+from .firstseen import PIECES, REMOVALS, Copies, covered, deal_pieces, keyed, piece_batch, prefix_hash, removal_runs, runs_of, settle, window_runs
 from .neardup import runs
 
 GAP = 1 << 8
@@ -255,7 +255,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     made = texts.filter(F.col("doc_id").isNotNull()).select("doc_id", "th", "text").mapInArrow(scan, PIECES)
     if carry:
         schema += f", carried {texts.schema['carried'].dataType.simpleString()}"
-    out = settle(texts, made, single, finish, schema, length)
+    out = settle(texts, deal_pieces(made), single, finish, schema, length)
     return out.select(*[c for c in out.columns if c != "carried"], "carried.*") if carry else out
 
 
