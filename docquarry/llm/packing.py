@@ -156,7 +156,7 @@ def pack(
         table = subwords(tokenizer_path)
         tables = table.sentence_tables()
         stream = _Stream(TaskContext.get().partitionId(), max_len, sentence_penalty, inner_penalty)
-        stride_ = min(stride, max_len)
+        stride_ = max(1, min(stride, max_len // 64))
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW)
