@@ -1,4 +1,4 @@
-"""A small causal self-attention language model in numpy: training on a bounded sample, and batched scoring.
+"""A small causal self-attention language model in numpy: tables from counts, training on a sample, and batched scoring.
 
 A token's probability is that of its class given the tokens before it, from one layer of causal self-attention, times its
 share of the class after a token of the previous one's class.  Inputs, queries, keys and values of an id are rows of tables, so scoring gathers instead of multiplying.
@@ -26,26 +26,22 @@ class Model:
         self.rng = np.random.default_rng(seed)
         self.pad = None
 
-    # -- what a sample says about ids
+    # -- what counts say about ids
 
-    def _tables(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        count = np.bincount(ids, minlength=self.vocabulary)
+    def rank(self, count: np.ndarray) -> None:
+        """Rows from the counts of all ids: frequent ids have their own, all others share one."""
         order = np.lexsort((np.arange(self.vocabulary), -count))
-        own = order[: self.rows][count[order[: self.rows]] > 1]
-        #: row of each id: frequent ids have their own, all others share one
+        self.own = own = order[: self.rows][count[order[: self.rows]] > 1]
         self.row = np.full(self.vocabulary, len(own), np.int32)
         self.row[own] = np.arange(len(own))
         self.pad = len(own) + 1
-        r = self.row[ids]
-        # classes: frequent ids with like predecessors; the rest is a class of its own
-        k, before = self.classes - 1, min(512, len(own) + 1)
-        follow = np.ones(len(ids), bool)
-        follow[starts] = False
-        i = np.flatnonzero(follow)
-        pair = np.zeros((len(own), before), F32)
-        prev = np.minimum(r[i - 1], before - 1)
-        inside = r[i] < len(own)
-        np.add.at(pair, (r[i][inside], prev[inside]), 1)
+        #: predecessors that are told apart when classes are formed
+        self.before = min(512, len(own) + 1)
+
+    def group(self, count: np.ndarray, pair: np.ndarray) -> None:
+        """Classes from pair[row, predecessor's row]: frequent ids with like predecessors; the rest is a class of its own."""
+        own, k, before = self.own, self.classes - 1, self.before
+        pair = pair.astype(F32)
         x = np.sqrt(pair / np.maximum(pair.sum(1, keepdims=True), 1)) if len(own) else pair
         weight = count[own].astype(F32)
         if len(own) > k:
@@ -62,15 +58,35 @@ class Model:
             near = np.arange(len(own))
         self.cls = np.full(self.vocabulary, self.classes - 1, np.int32)
         self.cls[own] = near
+
+    def shares(self, count: np.ndarray, pair: np.ndarray) -> None:
+        """Shares within a class from pair[predecessor's class, id], drawn towards the share at large."""
         smooth = count + 0.5
         share = smooth / np.bincount(self.cls, smooth, minlength=self.classes)[self.cls]
-        # shares after each class of predecessor, drawn towards the share at large
-        v, before = self.vocabulary, self.cls[ids[i - 1]].astype(np.int64)
-        pair = np.bincount(before * v + ids[i], minlength=self.classes * v).reshape(self.classes, v)
-        total = np.bincount(before * self.classes + self.cls[ids[i]], minlength=self.classes**2).reshape(self.classes, -1)[:, self.cls]
+        total = np.stack([np.bincount(self.cls, x, minlength=self.classes) for x in pair])[:, self.cls]
         pull = 8.0
         self.log_share = np.log((pair + pull * share) / (total + pull)).astype(F32)
 
+    def pairs_by_row(self, ids: np.ndarray, follow: np.ndarray) -> np.ndarray:
+        """Places in pair[row, predecessor's row] of the ids at follow."""
+        r = self.row[ids]
+        own = follow[r[follow] < len(self.own)]
+        return r[own].astype(np.int64) * self.before + np.minimum(r[own - 1], self.before - 1)
+
+    def pairs_by_class(self, ids: np.ndarray, follow: np.ndarray) -> np.ndarray:
+        """Places in pair[predecessor's class, id] of the ids at follow."""
+        return self.cls[ids[follow - 1]].astype(np.int64) * self.vocabulary + ids[follow]
+
+    def _tables(self, ids: np.ndarray, starts: np.ndarray) -> None:
+        """All tables from the sample alone."""
+        count = np.bincount(ids, minlength=self.vocabulary)
+        follow = np.ones(len(ids), bool)
+        follow[starts] = False
+        i = np.flatnonzero(follow)
+        self.rank(count)
+        self.group(count, np.bincount(self.pairs_by_row(ids, i), minlength=len(self.own) * self.before).reshape(-1, self.before))
+        self.shares(count, np.bincount(self.pairs_by_class(ids, i), minlength=self.classes * self.vocabulary).reshape(self.classes, -1))
+
     def _windows(self, flat: np.ndarray, sizes: np.ndarray):
         """(rows of inputs[window], target ids[stride], their predecessors, owner) for texts given as input ids one after another.
 
@@ -96,10 +112,14 @@ class Model:
     # -- training
 
     def fit(self, texts: list[np.ndarray], epochs: int = 2, batch: int = 64, rate: float = 0.015) -> "Model":
-        """Adam on the windows of the sample; texts start with the begin mark."""
+        """Adam on the windows of the sample; texts start with the begin mark or the id before their first.
+
+        Tables that were not set from the counts of a corpus come from the sample.
+        """
         texts = [x for x in texts if len(x) > 1] or [np.zeros(2, np.int64)]
         flat, sizes = np.concatenate(texts).astype(np.int64), np.array([len(x) for x in texts])
-        self._tables(flat, np.cumsum(sizes) - sizes)
+        if self.pad is None:
+            self._tables(flat, np.cumsum(sizes) - sizes)
         d, c, t, s = self.dim, self.classes, self.window, self.stride
         g = lambda *shape, scale=0.1: (self.rng.standard_normal(shape) * scale).astype(F32)
         p = {"e": g(self.pad + 1, d), "p": g(t, d), "q": g(d, d, scale=0.3), "k": g(d, d, scale=0.3), "v": g(d, d, scale=0.3), "o": g(d, d, scale=0.3), "c": g(d, c), "b": np.zeros(c, F32)}
@@ -171,7 +191,7 @@ class Model:
         self.hide = np.zeros(self.pad + 1, F32)
         self.hide[self.pad] = -1e9
         self.mask = self._mask()
-        del self.rng
+        del self.rng, self.own
 
     # -- scoring
 

@@ -230,6 +230,23 @@ def test_model_is_a_distribution_and_learns():
     assert abs(parts[-1] - whole) < 1e-4 and all(b <= a + 1e-6 for a, b in zip(parts, parts[1:]))
 
 
+def test_model_counts_all_of_all_texts(spark):
+    """What stands far behind in a text, or in a text outside the sample, counts as much as anything else."""
+    table = subwords.subwords()
+    kind, mark = scoring.id_type(table), table.size - 1
+    data = [(i, "plain words again and again " * 30 + "zebra quagga okapi " * (i % 3), False) for i in range(60)]
+    coded = scoring.encoded(spark.createDataFrame(data, "doc_id long, text string, held_out boolean").repartition(3), None).persist()
+    flat = [np.concatenate(([mark], np.frombuffer(table.encode(t), "<u4"), [mark])).astype(np.int64) for _, t, _ in data]
+    m = scoring.learn(coded, table.size, kind, sample_rows=1, piece=8)
+    want = attention.Model(table.size)
+    want._tables(np.concatenate(flat), np.cumsum([0, *map(len, flat)])[:-1])
+    assert (m.row == want.row).all() and (m.cls == want.cls).all() and np.allclose(m.log_share, want.log_share, atol=1e-5)
+    # pieces come from whole texts, and more of a larger corpus
+    pieces = scoring.sample(coded, 1.0, 10**6, 64, kind, mark)
+    assert Counter(np.concatenate([x[1:] for x in pieces]).tolist()) == Counter(np.concatenate([x[1:] for x in flat]).tolist())
+    assert 0 < len(scoring.sample(coded, 0.2, 10**6, 8, kind, mark)) < len(scoring.sample(coded, 0.6, 10**6, 8, kind, mark))
+
+
 def test_gradient():
     m = attention.Model(6, window=6, stride=4, dim=4, classes=4, rows=6)
     ids = np.array([5, 0, 1, 2, 1, 0, 3, 3, 2, 5, 4])
