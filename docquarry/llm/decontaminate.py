@@ -4,8 +4,9 @@
    shorter item is one seed.
 2. One pass over whole texts looks up seeds.  Hits of an item that start its copy at about the same word of a text form a
    site; the site carries the words around it, so texts are never shuffled.
-3. A seed is rare if no more texts hold it than 4 times the median of its item's seeds, or `always_rare` texts.  Sites
-   without a rare seed go.  An item that very many texts hold stays findable, since its own median is then as high.
+3. A seed is rare if no more texts hold it than 4 times the median of its item's seeds, or `always_rare` texts.  Sites with a
+   rare seed stay.  Other sites go only if too few of their words are words of the item for any alignment to reach
+   `threshold`; so how often a copy stands in the corpus never hides it.
 4. Each remaining site is aligned with its item (match 2, mismatch -1, gap -1), a batch of sites at a time.  The score is the
    best local alignment over that of the item with itself, 0 to 1; pairs at or above `threshold` are reported.
 
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window as W
 
 from .common import PUNCTUATED, U64, lower_ascii, materialise, mix, read_documents, slices, text_buffer, word_hashes, words_of
 
-SITES = "doc_id long, item_id long, seeds array<long>, from_word long, words binary"
+SITES = "doc_id long, item_id long, seeds array<long>, from_word long, words binary, near boolean"
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray):
@@ -130,6 +131,18 @@ def align(items: list[np.ndarray], sites: list[np.ndarray], match: int = 2, mism
     return best, end
 
 
+def most_score(item: np.ndarray, site: np.ndarray) -> float:
+    """No alignment of site scores more: each of its words that the item holds matches, as often as the item holds it.
+
+    item: the item's words in order of their hashes.
+    """
+    lo, hi = np.searchsorted(item, site, "left"), np.searchsorted(item, site, "right")
+    used = np.bincount(lo[hi > lo], minlength=len(item))
+    first = np.flatnonzero(used)
+    held = np.searchsorted(item, item[first], "right") - first
+    return float(np.minimum(used[first], held).sum()) / max(1, len(item))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -162,6 +175,7 @@ def _chunk(d: DataFrame, sent, width: int, always_rare: int, threshold: float) -
     def scan(batches):
         seeds = Seeds(sent.value, width)
         lengths = np.array([len(w) for w in seeds.words], np.int64)
+        in_order = [np.sort(w) for w in seeds.words]
         for b in batches:
             data, offsets = text_buffer(b.column(1))
             ids = b.column(0).to_pylist()
@@ -188,11 +202,13 @@ def _chunk(d: DataFrame, sent, width: int, always_rare: int, threshold: float) -
                     lo = max(0, int(begin[u:v].min()) - room)
                     hi = min(int(count[r]), int(begin[u:v].max()) + int(lengths[k]) + room)
                     base = int(first[u])
-                    out.append((ids[i + r], k, np.unique(seeds.hash[s[u:v]]).view(np.int64).tolist(), lo, h[base + lo : base + hi].tobytes()))
+                    words = h[base + lo : base + hi]
+                    near = round(most_score(in_order[k], words), 6) >= threshold
+                    out.append((ids[i + r], k, np.unique(seeds.hash[s[u:v]]).view(np.int64).tolist(), lo, words.tobytes(), near))
             if out:
                 cols = list(zip(*out))
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["doc_id", "item_id", "seeds", "from_word", "words"])
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["doc_id", "item_id", "seeds", "from_word", "words", "near"])
 
     def score(batches):
         seeds = Seeds(sent.value, width)
@@ -227,8 +243,10 @@ def _chunk(d: DataFrame, sent, width: int, always_rare: int, threshold: float) -
     middle = F.percentile("df", 0.5).over(W.partitionBy("item_id"))
     rare = owned.withColumn("m", middle).filter((F.col("df") <= always_rare) | (F.col("df") <= 4 * F.col("m"))).select("item_id", "seed")
     site = F.xxhash64("doc_id", "item_id", "from_word", "words")
-    keys = sites.select("item_id", site.alias("site"), F.explode("seeds").alias("seed")).join(rare, ["item_id", "seed"]).select("site").distinct()
-    kept = sites.withColumn("site", site).join(keys, "site", "left_semi").select("doc_id", "item_id", "from_word", "words")
+    columns = ["doc_id", "item_id", "from_word", "words"]
+    far = sites.filter("NOT near").withColumn("site", site)
+    keys = far.select("item_id", "site", F.explode("seeds").alias("seed")).join(rare, ["item_id", "seed"]).select("site").distinct()
+    kept = sites.filter("near").select(*columns).unionByName(far.join(keys, "site", "left_semi").select(*columns))
     return kept.mapInArrow(score, "doc_id long, item_id long, score double, end_word long, item_words long")
 
 

@@ -379,6 +379,26 @@ def test_decontamination(spark):
         assert got[0, 0] == got[6, 3] == 1.0 and 0.5 < got[1, 0] < 1 and 0.5 < got[2, 0] < 1
 
 
+@pytest.mark.parametrize("words, every, copies", [(39, 5, 20), (59, 5, 25), (39, 4, 20)])
+def test_one_edited_copy_in_many_texts(spark, words, every, copies):
+    rng = random.Random(words + every)
+    vocabulary = rng.sample(EN_LONG, len(EN_LONG))
+    item = [f"{w}{i}" for i, w in enumerate(vocabulary[:words])]
+    copy = " ".join(f"new{i}" if i % every == every - 1 else w for i, w in enumerate(item))
+    data = [(i, " ".join(rng.choices(EN_LONG, k=20)) + f" {copy} " + " ".join(rng.choices(EN_LONG, k=20))) for i in range(copies)]
+    docs = spark.createDataFrame(data + [(1000, " ".join(item[:6] * 9))], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(copies)) and all(0.6 < r.score < 0.8 for r in got)
+
+
+def test_most_score_bounds_alignment():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = (rng.integers(1, 9, n).astype(np.uint64) for n in rng.integers(1, 20, 2))
+        best, _ = decontaminate.align([a], [b])
+        assert best[0] <= 2 * len(a) * decontaminate.most_score(np.sort(a), b) + 1e-9
+
+
 EN_LONG = [f"{a}{b}" for a in X.EN for b in ("", "ing", "er", "ly", "s")]
 
 
