@@ -268,8 +268,9 @@ def vector_norms(spark, sf):
 @register()
 def knn_ivf(spark, sf):
     v = table(spark, sf, "embeddings")
+    queries = v.filter("vec_id % 100 = 0")
     index = vectors.InvertedFile.build(v)
-    return index.search(_vector(spark, sf), 50, probes=6) if index else vectors.knn(v, _vector(spark, sf), 50)
+    return index.search_batch(queries, 50, index.probes_for(50)) if index else vectors.knn_batch(v, queries, 50)
 
 
 @register()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
 from docquarry.operators import access, fts, fusion, pdf_spans, search, store, vectors
-from docquarry.plans import schemas
+from docquarry.plans import catalog, schemas
 from docquarry.sources import corpora
 from docquarry.streaming import threshold
 
@@ -61,6 +61,21 @@ def test_knn_and_inverted_file(spark, sf):
         vectors.knn(v, [1.0], 0)
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_registered_approximate_search(spark, scale):
+    """knn_ivf as registered: every query is asked, and recall at its k is at least 0.9."""
+    base = f"/root/testdata/{scale}"
+    v = spark.read.parquet(f"{base}/embeddings.parquet")
+    queries = v.filter("vec_id % 100 = 0")
+    exact = {(r.query_id, r.id) for r in vectors.knn_batch(v, queries, 50).collect()}
+    rows = catalog.queries()["knn_ivf"](spark, base).collect()
+    assert {r.query_id for r in rows} == {r.vec_id for r in queries.collect()}
+    assert len(rows) == len({(r.query_id, r.id) for r in rows}) == len(exact)
+    recall = len({(r.query_id, r.id) for r in rows} & exact) / len(exact)
+    print("RECALL", scale, recall)
+    assert recall >= 0.9
+
+
 def test_batch_knn_in_blocks(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = v.filter("vec_id % 100 = 0")
