@@ -11,7 +11,10 @@ Only that sample reaches the driver, and workers build the automata from its bro
 whole texts without a shuffle.  Texts are read in blocks of `block` symbols, in step with one another: a state and a symbol
 look up the next state and the phrases that ended, in one table.  A phrase ends with its block, the same for all languages.
 
-Symbols are lower-case letters; anything between letters is one space.
+Symbols are lower-case letters; anything between letters is one space.  The commonest letters of all samples have a symbol of
+their own; any other letter of the samples is spelt in symbols of its own kind, a fixed number of them (two for up to 256 such
+letters, three for up to 4096, and so on), so letters of every script stay apart while the tables stay narrow.  A letter that no sample
+holds is one symbol which matches nothing.
 
 Defined cases: a null text or one without letters is `und` with score 0; without any labelled row every text is `und`; a
 null lang is not learned from; a null doc_id is scored, is not held out and is not learned from; repeated rows are each
@@ -97,13 +100,24 @@ class Parser:
         self.langs = sorted(samples)
         self.block = block
         seen = Counter(c for s in samples.values() for c in s.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: alphabet - 3]]
-        #: 0 a space, 1 any other letter, then the letters; the last is padding
-        self.k = len(letters) + 3
+        ranked = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        letters, others = ranked[: alphabet - 3], ranked[alphabet - 3 :]
+        #: symbols of a letter that has none of its own: the first is one of 16, those after it are of 16 more
+        self.width = 1
+        while 16**self.width < len(others):
+            self.width += 1
+        self.width = max(2, self.width) if others else 1
+        self.digit = len(letters) + 2
+        #: 0 a space, 1 a letter of no sample, then the letters, then the symbols that spell other letters; the last is padding
+        self.k = len(letters) + 3 + (32 if others else 0)
         code = np.zeros(0x110000, np.uint8)
         code[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
         for i, c in enumerate(letters):
             code[ord(c)] = i + 2
+        self.spelt = np.zeros(0x110000 if others else 0, np.int32)
+        for i, c in enumerate(others):
+            code[ord(c)] = self.digit
+            self.spelt[ord(c)] = i
         self.code = code
         tables, self.roots, self.weights, base = [], [], [], 0
         for lang in self.langs:
@@ -121,14 +135,23 @@ class Parser:
         """Symbols of all texts and how many each has."""
         texts = [t.lower() for t in texts]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        s = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        s = self.code[points]
         row = np.repeat(np.arange(len(texts)), sizes)
         before = np.zeros(len(s), bool)
         before[1:] = s[:-1] > 0
         first = (np.cumsum(sizes) - sizes)[sizes > 0]
         before[first] = False
         keep = (s > 0) | before  # one space after a letter, none at the start
-        return s[keep], np.bincount(row[keep], minlength=len(texts))
+        s, row = s[keep], row[keep]
+        if len(self.spelt) and (spelt := s == self.digit).any():
+            n = np.where(spelt, self.width, 1)
+            at = (np.cumsum(n) - n)[spelt]
+            number = self.spelt[points[keep][spelt]]
+            s, row = np.repeat(s, n), np.repeat(row, n)
+            for i in range(self.width):
+                s[at + i] = self.digit + (16 if i else 0) + (number >> 4 * (self.width - 1 - i) & 15)
+        return s, np.bincount(row, minlength=len(texts))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases[language, text], symbols[text])."""

@@ -102,6 +102,25 @@ def test_automaton_and_parse():
         assert ended == phrases
 
 
+def test_scripts_beside_latin():
+    """Languages whose letters are rare among all samples are told apart: Cyrillic, Greek and CJK beside Latin."""
+    rng = random.Random(12)
+    latin = {"en": X.EN, "de": X.DE}
+    made = {}
+    for lang, first, size, length in (("bg", 0x430, 32, 6), ("ru", 0x430, 32, 6), ("el", 0x3B1, 24, 6), ("ja", 0x4E00, 900, 2), ("zh", 0x4E00, 900, 2)):
+        made[lang] = ["".join(chr(first + rng.randrange(size)) for _ in range(length)).lower() for _ in range(60)]
+    draw = lambda w, n: " ".join(rng.choice(w) for _ in range(n))
+    samples = {k: draw(w, 1500) for k, w in latin.items()} | {k: draw(w, 300) for k, w in made.items()}
+    parser = language.Parser(samples)
+    texts = [(k, draw(w, 25)) for k, w in (latin | made).items() for _ in range(10)]
+    assert [p[0] for p in parser.predict([t for _, t in texts])] == [k for k, _ in texts]
+    # every letter of the samples stays apart from every other
+    letters = sorted({c for s in samples.values() for c in s if c.isalpha()})
+    codes = [tuple(parser.symbols([c])[0].tolist()) for c in letters]
+    assert len(set(codes)) == len(letters) > 300 and max(map(max, codes)) < parser.k - 1
+    assert parser.symbols(["\u0e01"])[0].tolist() == [1]
+
+
 def test_language_parser_blocks():
     p = language.Parser({"a": "abcabcabd", "b": "xyzxyz"}, block=4)
     whole = language.Parser({"a": "abcabcabd", "b": "xyzxyz"}, block=4096)
