@@ -1,8 +1,8 @@
 """From raw documents to packed sequences: five stages, each on all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of the
-next.  All but the last return the columns of documents.  Rows with a null doc_id pass through the stages that judge single
-texts and are kept by those that compare texts.
+next.  All but the last return the columns of documents.  Rows with a null doc_id are judged as others by the stages that judge single
+texts (language, decontamination) and are kept by those that compare texts.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from docquarry.llm import common, decontaminate, language, neardup, packing, rec
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in no language (null, empty or without letters) go."""
+    """Texts in no language (null, empty or without letters) go.  Where no row is labelled, no text can be named; those with letters stay."""
     samples = language.learn(docs)
+    if not samples:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     named = language.identify(docs, samples, extra=docs.columns)
-    return named.filter(F.col("lang_pred") != language.UND).select(F.col("extra.*"))
+    return named.filter(F.col("bits").isNotNull()).select(F.col("extra.*"))
 
 
 def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:

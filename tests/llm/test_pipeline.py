@@ -50,6 +50,15 @@ def test_stages(spark, world):
         assert zlib.crc32(raw[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
 
 
+def test_no_labels(spark):
+    """Without any label, and with the label und, texts with letters stay."""
+    want = {d for d, t, _ in DATA if any(c.isalpha() for c in t or "")}
+    for label in (None, "und"):
+        docs = X.frame(spark, [(d, t, label) for d, t, _ in DATA])
+        got = P.detect_language(spark, docs, "")
+        assert got.columns == docs.columns and {r.doc_id for r in got.select("doc_id").collect()} == want
+
+
 def test_run(spark, world):
     base, _ = world
     assert P.run(spark, base).count() > 0 and [n for n, _ in P.STAGES] == ["language", "near_duplicates", "substrings", "decontamination", "packing"]
