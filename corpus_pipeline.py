@@ -45,7 +45,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, edited or not, go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _keep(docs, decontaminate.contaminated(docs, benchmark).select("doc_id"))
+    # judged by text, so rows that share an id, or have none, stand or fall by their own
+    key = "_text_key"
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    hit = decontaminate.contaminated(keyed, benchmark, id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(hit, key, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,14 @@ def test_no_labels(spark):
         assert got.columns == docs.columns and {r.doc_id for r in got.select("doc_id").collect()} == want
 
 
+def test_benchmark_copies_with_one_id(spark, world):
+    """Of two rows with one id only the one with a copy goes; a row without id that holds a copy goes too."""
+    base, texts = world
+    docs = X.frame(spark, [(1, texts[6], "en"), (1, "a clean text with an id that is not its own", "en"), (None, texts[6], "en"), (None, "another clean text", "en")])
+    got = P.drop_benchmark_copies(spark, docs, base)
+    assert got.columns == docs.columns and sorted(r.text for r in got.collect()) == ["a clean text with an id that is not its own", "another clean text"]
+
+
 def test_run(spark, world):
     base, _ = world
     assert P.run(spark, base).count() > 0 and [n for n, _ in P.STAGES] == ["language", "near_duplicates", "substrings", "decontamination", "packing"]
