@@ -4,18 +4,20 @@ The exact step is `bwt_columns`.  Over a collection of strings each round insert
 a stable sort of the current transform by symbol is the order of the longer suffixes, so one sequential pass over the
 transform, the suffix positions and the common prefixes writes their successors.  A prefix shared with the predecessor is one
 more than the smallest on the way between two neighbouring occurrences of a symbol; only pairs that touch a suffix of the
-last round are looked at.  Neighbours in the final order that share `length` bytes are equal windows.
+last round are looked at.  Neighbours in the final order that share `length` bytes are equal windows.  What it reports is what
+is removed (see `firstseen`).
 
 The transform of a whole corpus would be read once for each byte of its longest text.  So strings that can matter are cut
 out first, and dealt to tasks by content: every window of `length` bytes has an anchor, the `gram` bytes inside it with the
 smallest hash; consecutive windows of one anchor form a piece of under 2 * length bytes.  Equal windows have equal anchors,
-so anchors seen in one text alone are dropped, and so are pieces that share no side of their anchor; equal pieces are
-settled by hash (see `firstseen`), and each task builds the transforms of whole anchors' different pieces, about `group`
-strings at a time.  The sequential files are arrays of one such group.
+so anchors seen in one text alone are dropped, and so are pieces that share no side of their anchor.  Equal texts are one
+string of the collection, and so are equal pieces.  Each task builds the transforms of whole anchors' different pieces, about
+`group` strings at a time.  The sequential files are arrays of one such group.
 
 Defined cases: a null or empty text has no bytes, and the hash of the empty string; rows with one id and different texts do
 not remove from each other; repeated rows are each returned; a row with a null doc_id keeps everything and removes nothing;
-an empty table gives no rows; other columns are ignored.  Bytes are removed one by one, so a kept text may not be UTF-8.
+an empty table gives no rows; other columns are ignored.  A text beyond 4 MB is cut into overlapping segments while anchors are
+sought.  Bytes are removed one by one, so a kept text may not be UTF-8.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, U64, mix, read_documents, slices, text_buffer
-from .firstseen import DECIDED, REMOVALS, Copies, covered, decide, keyed, prefix_hash, removal_runs, runs_of, settle
+from .common import LANES, U64, Spans, mix, read_documents, slices, text_buffer
+from .firstseen import DECIDED, Copies, covered, decide, keyed, reports, runs_of, settle, wanted, wanted_batch
 from .neardup import runs
 
 SEGMENT = 1 << 21
@@ -81,22 +83,35 @@ def bwt_columns(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return order - 1, shared[order]
 
 
-def earlier_windows(data, sizes, doc, length: int):
-    """(string, window, smallest document) of each window of `length` bytes that a string of a smaller document holds too."""
+def first_holders(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int):
+    """(string, window, smallest document that holds the window) of each window of `length` bytes, as the transform tells."""
     order, shared = bwt_columns(data, sizes)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
-    owner = np.searchsorted(begin, order, "right") - 1
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)[order]
     at = order - begin[owner]
     whole = sizes[owner] - at >= length
     border = np.flatnonzero(shared < length)
     least = np.minimum.reduceat(doc[owner], border)
     least = np.repeat(least, np.diff(np.append(border, len(order))))
-    hit = whole & (doc[owner] > least)
-    return owner[hit], at[hit], least[hit]
+    return owner[whole], at[whole], least[whole]
+
+
+def _grams(data: np.ndarray, gram: int, lane: int) -> np.ndarray:
+    """64-bit hash of the `gram` bytes from each place on."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[: len(data)]
+    n = len(data) - gram + 1
+    if gram < 8:
+        return mix((eight[:n] & U64((1 << 8 * gram) - 1)) * LANES[lane] + LANES[1 - lane])
+    v = mix(eight * LANES[lane] + LANES[1 - lane])
+    h = v[:n]
+    for done in [*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
+        h = mix(h * LANES[1 - lane] + v[done : done + n])
+    return h
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(anchor, row, first window, windows, piece hash, sides) of the pieces of all rows.
+    """(anchor, row, first window, windows, piece's names, sides) of the pieces of all rows.
 
     A window holds at least half of its bytes beside the anchor on one side, so two equal windows share the anchor with
     `side` bytes to its left or to its right.  sides: 16 bits of the hash of each; 0 where the row ends before.
@@ -104,10 +119,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     n = len(data)
     empty = np.empty(0, np.int64)
     if n < length:
-        return empty.view(U64), empty, empty, empty, empty.view(U64), empty.view(U64)
-    s, inverse = prefix_hash(BYTE_HASH[data])
+        return empty.view(U64), empty, empty, empty, empty.view(U64), empty.view(U64), empty.view(U64)
     with np.errstate(over="ignore"):
-        h = mix((s[gram:] - s[:-gram]) * inverse[: n - gram + 1])
+        h = _grams(data, gram, 0)
+    # the smallest hash over `width` places, ties to the first; 32 bits of hash and as many of place
     best = h >> U64(32) << U64(32) | np.arange(len(h), dtype=U64)
     width, have = length - gram + 1, 1
     while have < width:  # smallest over `have` places, doubled
@@ -123,27 +138,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     at = (best[start] & U64((1 << 32) - 1)).astype(np.int64)
     row, p, count = row[start], w[start], np.diff(np.append(start, len(w)))
     side = (length - gram + 1) // 2
-    with np.errstate(over="ignore"):
-        piece = mix((s[p + count + length - 1] - s[p]) * inverse[p] + count.astype(U64))
-        lo, hi = np.maximum(at - side, 0), np.minimum(at + gram + side, n)
-        left = mix((s[at] - s[lo]) * inverse[lo]) >> U64(48) | U64(1)
-        right = mix((s[hi] - s[at + gram]) * inverse[at + gram]) >> U64(48) | U64(1)
+    if gram >= 8:  # blocks of `gram` bytes tile a piece
+        with np.errstate(over="ignore"):
+            second = _grams(data, gram, 1)
+        piece = Spans.tiled([h, second], gram)
+    else:
+        byte = data.astype(U64) + U64(1)
+        piece = Spans([mix(byte * LANES[0]), mix(byte * LANES[1])], min(length, max(1, side)))
+    name, check = piece.name(p, count + length - 1)
+    lo, hi = np.maximum(at - side, 0), np.minimum(at + gram + side, n)
+    left, right = np.ones(len(at), U64), np.ones(len(at), U64)
+    if side >= piece.block:
+        i = np.flatnonzero(at - lo == side)
+        left[i] = piece.name(lo[i], np.full(len(i), side))[0] >> U64(48) | U64(1)
+        i = np.flatnonzero(hi - at == gram + side)
+        right[i] = piece.name(at[i] + gram, np.full(len(i), side))[0] >> U64(48) | U64(1)
     left[at - side < offsets[row]] = 0
     right[at + gram + side > offsets[1:][row]] = 0
-    return h[at], row, p - offsets[row], count, piece, left << U64(16) | right
+    return h[at], row, p - offsets[row], count, name, check, left << U64(16) | right
 
 
-BLOBS = ["docs", "ths", "a", "h", "sides", "t", "p", "n"]
+BLOBS = ["docs", "keys", "a", "h", "g", "sides", "t", "p", "n"]
+#: Buckets for each shuffle partition: a task holds one at a time.
+FINE = 4
 DEALT = "bucket long, " + ", ".join(f"{x} binary" for x in BLOBS)
 
 
-def bucket_keys(spark: SparkSession, parts: int) -> np.ndarray:
-    """For each of `parts` shuffle partitions a number that hash partitioning sends there."""
-    at = F.pmod(F.hash("id"), F.lit(parts))
-    got = spark.range(0, 64 * parts, numPartitions=1).groupBy(at.alias("at")).agg(F.min("id").alias("id")).collect()
-    return np.array(sorted(r["id"] for r in got), np.int64)
-
-
 def _packed(x: np.ndarray) -> bytes:
     """Numbers as compressed byte planes: high bytes of small numbers cost nothing."""
     import zstandard
@@ -158,57 +178,77 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
 
 
-def deal(doc, th, a, row, p, n, h, sides, keys):
+def deal(doc, th, tl, a, row, p, n, h, g, sides, buckets):
     """Pieces of an Arrow batch as one compressed row for each bucket: sorted by anchor, so differences are small."""
-    bucket = (a & U64(0xFFFFFF)).astype(np.int64) % len(keys)
+    bucket = (a & U64(0xFFFFFF)).astype(np.int64) % buckets
     a = a >> U64(24)  # 40 bits: a chance meeting of two anchors costs a comparison, no result
     order = np.lexsort((a, bucket))
-    a, row, p, n, h, sides, bucket = (x[order] for x in (a, row, p, n, h, sides, bucket))
-    border = np.searchsorted(bucket, np.arange(len(keys) + 1))
-    for k in np.flatnonzero(np.diff(border)).tolist():
-        own = slice(border[k], border[k + 1])
+    a, row, p, n, h, g, sides, bucket = (x[order] for x in (a, row, p, n, h, g, sides, bucket))
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+    out = []
+    for i, j in zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist()):
+        own = slice(i, j)
         texts, t = np.unique(row[own], return_inverse=True)
         low = int(doc[texts].min())
-        blobs = [low.to_bytes(8, "little", signed=True) + _packed(doc[texts] - low), th[texts].tobytes(), _packed(np.diff(a[own], prepend=U64(0)))]
-        blobs += [_packed(x) for x in (h[own] >> U64(8), sides[own], t, p[own], n[own])]
-        yield pa.RecordBatch.from_arrays([pa.array([keys[k]], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], names=["bucket", *BLOBS])
-
-
-def _twice(key: np.ndarray, doc: np.ndarray, *more: np.ndarray) -> np.ndarray:
-    """Mask of the rows whose key (and more) another document has too."""
-    order = np.lexsort((doc, *more, key))
-    same = np.ones(max(0, len(key) - 1), bool)
+        keys = np.stack((th[texts], tl[texts])).astype("<i8").tobytes()
+        blobs = [low.to_bytes(8, "little", signed=True) + _packed(doc[texts] - low), keys, _packed(np.diff(a[own], prepend=U64(0)))]
+        blobs += [h[own].tobytes(), g[own].tobytes(), *(_packed(x) for x in (sides[own], t, p[own], n[own]))]
+        out.append((int(bucket[i]), *blobs))
+    if out:
+        cols = list(zip(*out))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["bucket", *BLOBS])
+
+
+def _twice(key: np.ndarray, text: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Mask of the rows whose key (and more) another text has too."""
+    if not len(key):
+        return np.zeros(0, bool)
+    order = np.lexsort((text, *more, key))
+    same = np.ones(len(key) - 1, bool)
     for x in (key, *more):
         same &= x[order][1:] == x[order][:-1]
-    start = np.concatenate(([0], np.flatnonzero(~same) + 1)) if len(key) else np.empty(0, np.int64)
+    start = np.concatenate(([0], np.flatnonzero(~same) + 1))
     end = np.append(start[1:], len(key)) - 1
-    d = doc[order]
+    d = text[order]
     out = np.empty(len(key), bool)
     out[order] = np.repeat(d[start] != d[end], end - start + 1)
     return out
 
 
 def shared_anchors(batches):
-    """Buckets of DEALT to rows of DECIDED: pieces that share their anchor and one of its sides with another document."""
-    held: dict[int, list] = {}
+    """DEALT in order of bucket to rows of DECIDED: pieces that share their anchor and one of its sides with another text."""
+    held, last = [], None
     for b in batches:
-        for bucket, docs, ths, *rest in zip(*(c.to_pylist() for c in b.columns)):
-            a, h, sides, t, p, n = map(_unpacked, rest)
-            t = t.view(np.int64)
-            ids = (_unpacked(docs[8:]).view(np.int64) + int.from_bytes(docs[:8], "little", signed=True))[t]
-            held.setdefault(bucket, []).append([np.cumsum(a), h, sides.astype(np.uint32), ids, np.frombuffer(ths, np.int64)[t], p.astype(np.int32), n.astype(np.int32)])
-    for own in held.values():
-        cols = [np.concatenate(c) for c in zip(*own)]
-        own.clear()
-        keep = np.flatnonzero(_twice(cols[0], cols[3]))
-        cols = [c[keep] for c in cols]
-        left, right = cols[2] >> 16, cols[2] & 0xFFFF
-        keep = (_twice(cols[0], cols[3], left) & (left > 0)) | (_twice(cols[0], cols[3], right) & (right > 0))
-        a, h, _, doc, th, p, n = (c[keep] for c in cols)
-        got = decide(a, h, th, doc, p, n, np.zeros(len(a), bool), doc)
-        if got is not None:
-            for i in range(0, got.num_rows, 50_000):
-                yield got.slice(i, 50_000)
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[0] != last:
+                yield from _shared(held)
+                held, last = [], row[0]
+            held.append(row[1:])
+    yield from _shared(held)
+
+
+def _shared(held: list[tuple]):
+    """DECIDED of one bucket."""
+    if not held:
+        return
+    parts = []
+    for docs, keys, a, h, g, *rest in held:
+        sides, t, p, n = map(_unpacked, rest)
+        t = t.view(np.int64)
+        ids = (_unpacked(docs[8:]).view(np.int64) + int.from_bytes(docs[:8], "little", signed=True))[t]
+        th, tl = np.frombuffer(keys, "<i8").reshape(2, -1)[:, t]
+        parts.append([np.cumsum(_unpacked(a)), np.frombuffer(h, U64), np.frombuffer(g, U64), sides.astype(np.uint32), ids, th, tl, p.astype(np.int32), n.astype(np.int32)])
+    cols = [np.concatenate(c) for c in zip(*parts)]
+    keep = np.flatnonzero(_twice(cols[0], cols[5]))
+    cols = [c[keep] for c in cols]
+    left, right = cols[3] >> 16, cols[3] & 0xFFFF
+    keep = np.flatnonzero((_twice(cols[0], cols[5], left) & (left > 0)) | (_twice(cols[0], cols[5], right) & (right > 0)))
+    a, h, g, _, doc, th, tl, p, n = (c[keep] for c in cols)
+    never = np.zeros(len(a), bool)
+    got = decide(a, h, g, th, tl, doc, p, n, doc, never, never)
+    if got is not None:
+        for i in range(0, got.num_rows, 50_000):
+            yield got.slice(i, 50_000)
 
 
 def _segments(offsets: np.ndarray, length: int):
@@ -227,52 +267,44 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     if not 1 <= gram <= length or length > 20_000:
         raise ValueError("needs 1 <= gram <= length <= 20000")
     texts = keyed(docs, id_col, text_col)
-
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = bucket_keys(spark, parts)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(FINE * parts, 1 << 20)
 
     def scan(batches):
         copies = Copies()
         for b in batches:
-            doc, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            b = b.filter(pa.array(copies.fresh(doc, th)))
-            doc, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            data, offsets = text_buffer(b.column(2))
+            b = b.filter(pa.array(copies.fresh(*(b.column(k).to_numpy() for k in range(3)))))
+            doc, th, tl = (b.column(k).to_numpy() for k in range(3))
+            data, offsets = text_buffer(b.column(3))
             found = []
             for i, j, lo, hi in _segments(offsets, length):
-                a, row, p, n, h, sides = anchors(data[lo:hi], np.clip(offsets[i : j + 1], lo, hi) - lo, length, gram)
+                a, row, p, n, h, g, sides = anchors(data[lo:hi], np.clip(offsets[i : j + 1], lo, hi) - lo, length, gram)
                 skip = np.maximum(lo - offsets[i : j + 1], 0)[row] if len(row) else p
-                found.append((a, row + i, p + skip, n, h, sides))
+                found.append((a, row + i, p + skip, n, h, g, sides))
             if found:
-                yield from deal(doc, th, *(np.concatenate(c) for c in zip(*found)), keys)
+                yield from deal(doc, th, tl, *(np.concatenate(c) for c in zip(*found)), buckets)
 
-    def strings(batches):
+    def cut(batches):
         for b in batches:
-            data, offsets = text_buffer(b.column(1))
-            out = []
-            for doc, th, want, lo in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), offsets.tolist()):
-                out += [(x["a"], doc, th, x["p"], data[lo + x["p"] : lo + x["p"] + x["n"] + length - 1].tobytes()) for x in want]
-            if out:
-                cols = list(zip(*out))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "doc", "th", "p", "s"])
-
-    def compare(batches):
+            data, offsets = text_buffer(b.column(3))
+            row, p, n, columns = wanted(b)
+            for i, j in slices(np.concatenate(([0], np.cumsum(n + length))), 1 << 24):
+                size = n[i:j] + length - 1
+                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+                at = np.repeat(offsets[row[i:j]] + p[i:j] - ends[:-1], size) + np.arange(ends[-1])
+                strings = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[at].tobytes())])
+                yield wanted_batch([c[i:j] for c in columns], strings.cast(pa.binary()))
+
+    def report(batches):
         for t, borders in runs(batches, 1):
             raw = t.column("s").to_pylist()
             sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-            doc, th, p = (t.column(c).to_numpy() for c in ("doc", "th", "p"))
             # whole anchors, about `group` strings at a time
             for i, j in slices(borders, group):
                 i, j = int(borders[i]), int(borders[j])
-                owner, at, by = earlier_windows(np.frombuffer(b"".join(raw[i:j]), np.uint8), sizes[i:j], doc[i:j], length)
-                if len(owner):
-                    yield removal_runs(th[i:j], p[i:j], owner, at, by)
-
-    def single(looked: DataFrame) -> DataFrame:
-        cutout = looked.mapInArrow(strings, "a long, doc long, th long, p long, s binary")
-        return cutout.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(compare, REMOVALS)
+                part = t.slice(i, j - i)
+                held = first_holders(np.frombuffer(b"".join(raw[i:j]), np.uint8), sizes[i:j], part.column("doc").to_numpy(), length)
+                yield from reports(part, *held, sizes[i:j] - length + 1)
 
     def finish(batches):
         for b in batches:
@@ -291,9 +323,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     known = texts.filter(F.col("doc_id").isNotNull())
-    dealt = known.select("doc_id", "th", "text").mapInArrow(scan, DEALT).repartition(parts, "bucket").mapInArrow(shared_anchors, DECIDED)
+    made = known.select("doc_id", "th", "tl", "text").mapInArrow(scan, DEALT)
+    dealt = made.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_anchors, DECIDED)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if with_bytes else "")
-    return settle(texts, dealt, single, finish, schema, length)
+    return settle(texts, dealt, cut, report, finish, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder for intermediate tables: spark.checkpoint.dir, or a folder of our own where that is unset and all runs in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -100,20 +104,98 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-#: A random 64-bit value for each byte.
-BYTE_HASH = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
+#: Constants that set apart the two lanes of a 128-bit name.
+LANES = (U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95))
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word data[start:end]: a polynomial in random byte values, then mixed with the length."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of each word data[start:end]: its bytes are mixed in eight at a time; very long words by BLAKE2b."""
     if not len(start):
         return np.empty(0, U64)
     size = end - start
-    total = int(size.sum())
-    first = np.cumsum(size) - size
-    within = np.arange(total) - np.repeat(first, size)
-    at = within + np.repeat(start, size)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(size.max()) + 1, 0x9FB21C651E98DF25, U64))
-        h = np.add.reduceat(BYTE_HASH[data[at]] * power[within], first)
-        return mix(h + size.astype(U64) * U64(0x632BE59BD9B4E019))
+        h = mix(size.astype(U64) * LANES[lane] + LANES[1 - lane])
+        h = mix((h ^ (eight[start] & _HEAD[np.minimum(size, 8)])) * LANES[lane])
+        left = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        done = 8
+        while len(left):
+            v = eight[start[left] + done] & _HEAD[np.minimum(size[left] - done, 8)]
+            h[left] = mix((h[left] ^ mix(v + LANES[lane])) * LANES[1 - lane])
+            done += 8
+            left = left[size[left] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest(), "little")
+    return h
+
+
+def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word data[start:end]: equal numbers mean equal bytes, here and now (no hash decides)."""
+    if not len(start):
+        return np.empty(0, np.int64)
+    size = end - start
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes())])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def pair_ids(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers: equal numbers mean equal pairs."""
+    base = np.int64(int(right.max(initial=0)) + 1)
+    return np.unique(left * base + right, return_inverse=True)[1].astype(np.int64)
+
+
+def exact_spans(ids: np.ndarray, length: int) -> np.ndarray:
+    """A number for the `length` symbols from each place on, by naming pairs of names: equal numbers mean equal symbols."""
+    name, width = ids, 1
+    while width < length:
+        step = min(width, length - width)
+        name = pair_ids(name[: len(name) - step], name[step:])
+        width += step
+    return name
+
+
+class Spans:
+    """128-bit names, in two lanes, of stretches of symbols given by a 64-bit hash for each lane.
+
+    Names of blocks of a power of two symbols are made by doubling; a stretch is named by the blocks that tile it, the last
+    of which may overlap the one before.
+    """
+
+    def __init__(self, lanes: list[np.ndarray], least: int):
+        self.block = 1 << (least.bit_length() - 1)
+        self.names = []
+        for k, h in enumerate(lanes):
+            width = 1
+            with np.errstate(over="ignore"):
+                while width < self.block:
+                    h = mix(h[: max(0, len(h) - width)] * LANES[k] + mix(h[width:] + LANES[1 - k]))
+                    width *= 2
+            self.names.append(h)
+
+    @classmethod
+    def tiled(cls, names: list[np.ndarray], block: int) -> "Spans":
+        """From names of the blocks at all places."""
+        out = cls.__new__(cls)
+        out.block, out.names = block, names
+        return out
+
+    def name(self, start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        """Names of the stretches; none may be shorter than `least`."""
+        b, out = self.block, []
+        for k, names in enumerate(self.names):
+            with np.errstate(over="ignore"):
+                h = mix(names[start] + length.astype(U64) * LANES[k]) if len(start) else np.empty(0, U64)
+                left, done = np.flatnonzero(length > b), b
+                while len(left):
+                    at = start[left] + np.minimum(done, length[left] - b)
+                    h[left] = mix(h[left] * LANES[1 - k] + mix(names[at] ^ LANES[k]))
+                    done += b
+                    left = left[length[left] > done]
+            out.append(h)
+        return out

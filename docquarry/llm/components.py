@@ -6,35 +6,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A node with more than this share of all links is a hot one; there are at most 2 / HOT of them.
+HOT = 1 / 512
+
+
 def _both(e: DataFrame) -> DataFrame:
     return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, links: int) -> DataFrame:
+    """rows with m of least(a, m, n).  The few hot nodes are broadcast, so their rows stay where they are."""
+    hot = F.broadcast(least.filter(F.col("n") > max(256, links * HOT)).select("a", "m"))
+    cold = least.filter(F.col("n") <= max(256, links * HOT)).select("a", "m")
+    return rows.join(hot, "a").unionByName(rows.join(hot, "a", "left_anti").join(cold, "a"))
+
+
+def _large(e: DataFrame, links: int) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour (or itself)."""
     n = _both(e)
-    least = n.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return n.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+    least = n.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return _with_least(n.filter("b > a"), least, links).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, links: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     n = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = n.groupBy("a").agg(F.min("b").alias("m"))
-    out = n.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = n.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    out = _with_least(n, least, links).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, component) for each node of links(a, b); component is the smallest node.  No node is collected anywhere."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for each node of links(a, b); component is the smallest node.  No node is collected anywhere.
+
+    Rounds go on until nothing changes; their number grows as the square of the logarithm of the number of nodes at most.
+    """
     e = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").distinct().checkpoint()
-    seen = None
-    for _ in range(most_rounds):
-        e = _small(_large(e)).checkpoint()
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    seen = state(e)
+    while True:
+        e = _small(_large(e, seen[0]), seen[0]).checkpoint()
+        now = state(e)
         if now == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         seen = now
-    raise RuntimeError("components did not settle")

@@ -10,10 +10,12 @@
    estimate is under `estimate` are dropped, and documents that hang together already are not compared again.  A node gives
    a spanning forest, never all its pairs.  Nodes beyond `block` documents are dealt out as pairs of blocks.
 4. The forests' components are candidate classes.  Inside each class links are decided on full shingle sets
-   (intersection >= 0.75 union), again as a spanning forest and in pairs of blocks of bounded bytes.
+   (intersection >= 0.75 union), again as a spanning forest and in pairs of blocks of bounded bytes.  There the texts
+   themselves are compared: words are numbered by their bytes, shingles by five such numbers; no hash decides a link.
 5. Components of the confirmed links are the answer.
 
-Documents without words are linked with nothing.  Defined cases: a null text has no words; rows with one id and different
+Equal sets are told by 128 bits over two independent hashes of every word.  Documents without words are linked with nothing.
+A text of any length is one set; it takes about 40 times its size in memory.  Defined cases: a null text has no words; rows with one id and different
 texts are one node; repeated rows are each returned; a row with a null doc_id is returned with a null component and is kept;
 an empty table gives no rows; other columns are ignored.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, lower_ascii, materialise, mix, read_documents, slices, text_buffer, word_hashes, words_of
+from .common import LANES, U64, exact_ids, exact_spans, lower_ascii, materialise, mix, read_documents, slices, text_buffer, word_hashes, words_of
 from .components import components
 
 COORDINATES = 64
@@ -35,26 +37,50 @@ _ODD = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 _XOR = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of all rows one after another, how many each row has)."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct shingle hashes of all rows one after another, how many each row has, a second hash of each row's set)."""
     n = len(offsets) - 1
     start, end, row = words_of(data, offsets)
-    h = word_hashes(data, start, end)
     count = np.bincount(row, minlength=n)
     first = np.cumsum(count) - count
     made = np.maximum(count - width + 1, np.minimum(count, 1))  # shingles before duplicates go
     owner = np.repeat(np.arange(n), made)
     at = first[owner] + np.arange(int(made.sum())) - np.repeat(np.cumsum(made) - made, made)
+    size = np.minimum(count, width)[owner]
+    lanes = []
     with np.errstate(over="ignore"):
-        size = np.minimum(count, width)[owner]
-        g = size.astype(U64) * U64(0x9E3779B97F4A7C15)
-        for k in range(width):
-            place = np.minimum(at + k, max(0, len(h) - 1))
-            term = mix(h[place] + U64(k + 1) * U64(0xC2B2AE3D27D4EB4F)) if len(h) else h
-            g = mix(g * U64(0x100000001B3) + np.where(k < size, term, U64(0)))
-    parts = np.split(g, np.cumsum(made)[:-1]) if n else []
-    parts = [np.unique(p) for p in parts]
-    return (np.concatenate(parts) if parts else g), np.fromiter(map(len, parts), np.int64, n)
+        for lane in (0, 1):
+            h = word_hashes(data, start, end, lane)
+            g = size.astype(U64) * LANES[lane]
+            for k in range(width):
+                place = np.minimum(at + k, max(0, len(h) - 1))
+                term = h[place] ^ U64((k + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) if len(h) else h
+                g = mix(g * LANES[1 - lane] + np.where(k < size, term, U64(0)))
+            lanes.append(g)
+        parts, second = [], np.zeros(n, U64)
+        ends = np.cumsum(made)
+        for i, (a, b) in enumerate(zip((ends - made).tolist(), ends.tolist())):
+            own, where = np.unique(lanes[0][a:b], return_index=True)
+            parts.append(own)
+            second[i] = lanes[1][a:b][where].sum(dtype=U64)
+    return (np.concatenate(parts) if parts else lanes[0]), np.fromiter(map(len, parts), np.int64, n), second
+
+
+def exact_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The shingle set of each (lower-case) text as sorted numbers, which are equal where the words' bytes are."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    start, end, row = words_of(data, offsets)
+    ids = exact_ids(data, start, end)
+    count = np.bincount(row, minlength=len(texts))
+    first = np.cumsum(count) - count
+    name = exact_spans(ids, width) if len(ids) >= width else ids[:0]
+    out = []
+    for k, (a, n) in enumerate(zip(first.tolist(), count.tolist())):
+        # a text of fewer words has a set like another's only if their words are equal: equal sets do not come here twice
+        out.append(np.unique(name[a : a + n - width + 1]) if n >= width else np.array([-1 - k] * min(n, 1), np.int64))
+    return out
 
 
 def sketches(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -72,24 +98,25 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, k: int, full: bool) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch[, hashes]) of each row of docs(doc_id, text)."""
-    schema = "doc_id long, n_shingles long, set_key binary, sketch binary" + (", hashes binary" if full else "")
+    """(doc_id, n_shingles, set_key, sketch[, lower-case text]) of each row of docs(doc_id, text)."""
+    schema = "doc_id long, n_shingles long, set_key binary, sketch binary" + (", low binary" if full else "")
 
     def run(batches):
         for b in batches:
             data, offsets = text_buffer(b.column(1))
             for i, j in slices(offsets, 1 << 20):
                 part = lower_ascii(data[offsets[i] : offsets[j]])
-                h, sizes = shingle_sets(part, offsets[i : j + 1] - offsets[i], width)
+                h, sizes, second = shingle_sets(part, offsets[i : j + 1] - offsets[i], width)
                 s = sketches(h, sizes, k)
                 ends = np.cumsum(sizes)
                 raw = [h[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
-                keys = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
+                keys = [hashlib.blake2b(r, digest_size=8).digest() + x for r, x in zip(raw, map(bytes, second.view("V8")))]
                 cols = [b.column(0)[i:j], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in s], pa.binary())]
                 names = ["doc_id", "n_shingles", "set_key", "sketch"]
                 if full:
-                    cols.append(pa.array(raw, pa.binary()))
-                    names.append("hashes")
+                    cut = (offsets[i : j + 1] - offsets[i]).tolist()
+                    cols.append(pa.array([part[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()))
+                    names.append("low")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -290,7 +317,7 @@ def near_duplicates(
     node_size: int = 256,
     depth: int = 3,
     block: int = 8192,
-    block_bytes: int = 24 << 20,
+    block_bytes: int = 16 << 20,
     estimate: float = 0.5,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
@@ -311,10 +338,10 @@ def near_duplicates(
     def confirm(batches):
         for t, borders in runs(batches, 3):
             rep, s = t.column("rep").to_numpy(), _matrix(t.column("sketch"), coordinates)
-            raw = t.column("hashes").to_pylist()
+            raw = t.column("low").to_pylist()
             pairs = []
             for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
-                got = [np.frombuffer(x, U64) for x in raw[a:b]]
+                got = exact_sets(raw[a:b], width)
                 pairs += [(int(rep[a + x]), int(rep[a + y])) for x, y in set_forest(got, s[a:b], least, percent)]
             pairs = [p for p in set(pairs) if p[0] != p[1]]
             if pairs:
@@ -322,8 +349,8 @@ def near_duplicates(
 
     spread = blocked(wanted, "component", 8 * F.col("n_shingles") + 512, block_bytes)
     texts = d.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    full = _sets(texts, width, coordinates, True).dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("rep"), "set_key", "sketch", "hashes")
-    links = _by_key(spread.join(full, ["rep", "set_key"]), ["component", "i", "j", "rep", "sketch", "hashes"], confirm)
+    full = _sets(texts, width, coordinates, True).dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("rep"), "set_key", "sketch", "low")
+    links = _by_key(spread.join(full, ["rep", "set_key"]), ["component", "i", "j", "rep", "sketch", "low"], confirm)
     # rows of one id with different texts are one node, and so are copies and their representative
     copies = sets.filter("doc_id IS NOT NULL AND n_shingles > 0").join(reps, ["set_key", "n_shingles"]).filter("doc_id != rep")
     copies = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

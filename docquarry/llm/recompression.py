@@ -1,19 +1,23 @@
 """Substring dedup (operator 6): recompression over words.
 
 Every word starts as a symbol.  A round first names runs (a maximal run of k equal symbols becomes one), then pairs (a hash
-of the round splits the symbols in two classes; a left-class symbol followed by a right-class one becomes one).  A name is
-a 64-bit hash of what it stands for, so all tasks give equal strings equal names without exchanging a table of names: equal
+of the round splits the symbols in two classes; a left-class symbol followed by a right-class one becomes one).  A name is a
+64-bit hash of what it stands for, so all tasks give equal strings equal names without exchanging a table of names: equal
 substrings get the same interior symbols, whatever stands around them.
 
 Each symbol's dependence, the stretch of words that decided that it is a symbol, is carried through the rounds.  A window of
-`length` words is anchored by the symbol with the smallest hash among those whose dependence lies inside it, the wider
-spans first; a window without any is anchored by its smallest word hash.  So equal windows share their anchor (see
-`firstseen`), and a high-level symbol found in two documents reveals where a long repeat may be.  Pieces and single windows
-are then verified by 64-bit hashes of all their words.
+`length` words is anchored by the symbol with the smallest hash among the widest kind whose dependence lies inside it.  So equal
+windows share their anchor, and a symbol found in two documents reveals where a long repeat may be.  A window in which no round
+made a symbol (such as one of few long runs) is its own anchor, by its 128-bit name.
+
+Spark deals the symbols by name (see `firstseen`).  Each different piece around a shared symbol then sends its words, and the
+same naming is done once more without hashes: words are numbered by their bytes, pairs of numbers by a table of pairs, up
+to whole windows.  Equal numbers there are equal words; that alone decides what is removed.
 
 Defined cases: a null or empty text has no words, and the hash of the empty string; rows with one id and different texts do
 not remove from each other; repeated rows are each returned; a row with a null doc_id keeps everything and removes nothing;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored.  A text of any length is one row of symbols: it needs about 60 times its
+size in memory.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, read_documents, slices, text_buffer, word_hashes, words_of
-from .firstseen import PIECES, REMOVALS, Copies, covered, deal_pieces, keyed, piece_batch, prefix_hash, removal_runs, runs_of, settle, window_runs
+from .common import U64, Spans, exact_ids, exact_spans, mix, read_documents, slices, text_buffer, word_hashes, words_of
+from .firstseen import PIECES, Copies, covered, deal_pieces, keyed, piece_batch, reports, runs_of, settle, wanted, wanted_batch, window_runs
 from .neardup import runs
 
 GAP = 1 << 8
@@ -108,8 +112,18 @@ def _range_min(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(h: np.ndarray, row: np.ndarray, count: np.ndarray, length: int, rounds: int):
-    """(anchor, first window, number of windows) of the pieces of all rows; windows are numbered by their first word's index in h."""
+def _least(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Where in [lo, hi] rank is smallest, for each of the (non-empty) ranges; rank holds different numbers."""
+    where = np.empty(len(rank), np.int64)
+    where[rank] = np.arange(len(rank))
+    return where[_range_min(rank, lo, hi)]
+
+
+def anchors(h: np.ndarray, row: np.ndarray, count: np.ndarray, length: int, rounds: int, spans: Spans):
+    """(anchor, first window, number of windows, whether a symbol is the anchor) of the pieces of all rows.
+
+    Windows are numbered by their first word's index in h.
+    """
     n = len(count)
     first = np.cumsum(count) - count
     base = first + GAP * np.arange(1, n + 1)  # words' places, with room between the rows
@@ -121,49 +135,71 @@ def anchors(h: np.ndarray, row: np.ndarray, count: np.ndarray, length: int, roun
     windows = np.maximum(count - length + 1, 0)
     if not windows.sum():
         e = np.empty(0, np.int64)
-        return h[:0], e, e
+        return h[:0], e, e, e.astype(bool)
     w = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
     owner = np.repeat(np.arange(n), windows)
     at = base[owner] + w
+    word = first[owner] + w
+    x = x.take(np.flatnonzero(x.e - x.s > 1))  # what the rounds made
     span = x.e - x.s
-    rank = np.where(span >= 3, 0, np.where(span == 2, 1, 2)).astype(U64)
-    index = np.arange(len(x.name), dtype=U64)
-    priority = rank << U64(62) | (mix(x.name) >> U64(28) << U64(26)) | index
+    order = np.argsort(mix(x.name) >> U64(1) | (span < 3).astype(U64) << U64(63), kind="stable")  # of equal names the first
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
     total = int(high[-1]) + length + 2
+    # symbols are in order of their dependence's start, and of its end
     below = np.cumsum(np.bincount(x.dl, minlength=total))  # symbols with dl <= place
     upto = np.cumsum(np.bincount(np.minimum(x.dr, total - 1), minlength=total))
     lo, hi = below[at - 1], upto[at + length] - 1
     some = lo <= hi
-    best = np.zeros(len(at), np.int64)
+    best = np.full(len(at), -1, np.int64)
     i = np.flatnonzero(some)
-    best[i] = (_range_min(priority, lo[i], hi[i]) & U64((1 << 26) - 1)).astype(np.int64)
-    name = np.zeros(len(at), U64)
-    name[i] = x.name[best[i]]
-    word = first[owner] + w
-    j = np.flatnonzero(~some)
-    if len(j):  # no symbol is decided inside the window: its smallest word, in a range of numbers of its own
-        p = (mix(h ^ U64(0x5851F42D4C957F2D)) >> U64(26) << U64(26)) | np.arange(len(h), dtype=U64)
-        got = (_range_min(p, word[j], word[j] + length - 1) & U64((1 << 26) - 1)).astype(np.int64)
-        best[j] = -1 - got
-        name[j] = mix(h[got] ^ U64(0x14057B7EF767814F))
+    if len(i):
+        best[i] = _least(rank, lo[i], hi[i])
     same = np.zeros(len(at), bool)
-    same[1:] = (best[1:] == best[:-1]) & (owner[1:] == owner[:-1])
+    same[1:] = (best[1:] == best[:-1]) & (best[1:] >= 0) & (owner[1:] == owner[:-1])
     start = np.flatnonzero(~same)
-    return mix(name[start]), word[start], np.diff(np.append(start, len(at)))
+    name = np.empty(len(start), U64)
+    made = some[start]
+    name[made] = mix(x.name[best[start[made]]])
+    alone = word[start[~made]]
+    name[~made] = spans.name(alone, np.full(len(alone), length))[0]
+    return name, word[start], np.diff(np.append(start, len(at))), made
 
 
-def pieces_of(docs: np.ndarray, ths: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, rounds: int):
+def pieces_of(docs: np.ndarray, ths: np.ndarray, tls: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, rounds: int):
     """Columns of piece_batch() for some rows."""
     start, end, row = words_of(data, offsets)
-    h = word_hashes(data, start, end)
+    lanes = [word_hashes(data, start, end, k) for k in (0, 1)]
+    spans = Spans(lanes, length)
     count = np.bincount(row, minlength=len(docs))
-    a, p, n = anchors(h, row, count, length, rounds)
-    s, inverse = prefix_hash(h)
-    with np.errstate(over="ignore"):
-        piece = mix((s[p + n + length - 1] - s[p]) * inverse[p] + n.astype(U64))
+    a, p, n, _ = anchors(lanes[0], row, count, length, rounds, spans)
+    h, g = spans.name(p, n + length - 1)
     owner = row[p] if len(p) else p
     first = np.cumsum(count) - count
-    return a, piece, ths[owner], docs[owner], p - first[owner], n
+    return a, h, g, ths[owner], tls[owner], docs[owner], p - first[owner], n
+
+
+def first_holders(words: list[bytes], doc: np.ndarray, length: int):
+    """(piece, window, smallest document that holds the window, windows of each piece) of pieces given as words with spaces between.
+
+    Exact: words are numbered by their bytes, and stretches of words by pairs of numbers.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    data = np.frombuffer(b"".join(words), np.uint8)
+    start, end, row = words_of(data, offsets)
+    count = np.bincount(row, minlength=len(words))
+    windows = np.maximum(count - length + 1, 0)
+    owner = np.repeat(np.arange(len(words)), windows)
+    at = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    if not len(at):
+        return owner, at, at, windows
+    name = exact_spans(exact_ids(data, start, end), length)[(np.cumsum(count) - count)[owner] + at]
+    order = np.lexsort((doc[owner], name))
+    begin, size = window_runs(name[order])
+    least = np.empty(len(name), np.int64)
+    least[order] = np.repeat(doc[owner[order[begin]]], size)
+    return owner, at, least, windows
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, rounds: int = 3, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -175,60 +211,45 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     def scan(batches):
         copies = Copies()
         for b in batches:
-            doc, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            b = b.filter(pa.array(copies.fresh(doc, th)))
-            doc, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            data, offsets = text_buffer(b.column(2))
+            b = b.filter(pa.array(copies.fresh(*(b.column(k).to_numpy() for k in range(3)))))
+            doc, th, tl = (b.column(k).to_numpy() for k in range(3))
+            data, offsets = text_buffer(b.column(3))
             parts = []
             for i, j in slices(offsets, 1 << 20):
-                parts.append(pieces_of(doc[i:j], th[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, rounds))
+                parts.append(pieces_of(doc[i:j], th[i:j], tl[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, rounds))
             if parts:
                 yield piece_batch(*(np.concatenate(c) for c in zip(*parts)))
 
-    def windows(batches):
+    def cut(batches):
         for b in batches:
-            data, offsets = text_buffer(b.column(1))
-            wants = b.column(3)
-            sizes = np.array(pa.compute.list_value_length(wants).to_pylist(), np.int64)
-            flat = wants.flatten()
-            a, p, n = (flat.field(k).to_numpy() for k in range(3))
-            ends = np.cumsum(sizes)
-            doc, th = b.column(0).to_numpy(), b.column(2).to_numpy()
+            data, offsets = text_buffer(b.column(3))
+            row, p, n, columns = wanted(b)
+            edges = np.searchsorted(row, np.arange(b.num_rows + 1))
             for i, j in slices(offsets, 1 << 20):
-                start, end, row = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                s, inverse = prefix_hash(word_hashes(data[offsets[i] : offsets[j]], start, end))
-                count = np.bincount(row, minlength=j - i)
-                first = np.cumsum(count) - count
-                own = slice(ends[i] - sizes[i], ends[j - 1])
-                piece = np.repeat(np.arange(i, j), sizes[i:j])
-                m = n[own]
-                at = np.repeat(p[own] + first[piece - i], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                with np.errstate(over="ignore"):
-                    name = mix((s[at + length] - s[at]) * inverse[at])
-                names = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.concatenate(([0], 8 * np.cumsum(m))).astype(np.int32)), pa.py_buffer(name.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(doc[piece]), pa.array(th[piece]), pa.array(p[own]), names], names=["a", "doc", "th", "p", "s"])
-
-    def compare(batches):
-        for t, _ in runs(batches, 1):
+                own = slice(edges[i], edges[j])
+                part = data[offsets[i] : offsets[j]]
+                start, end, of = words_of(part, offsets[i : j + 1] - offsets[i])
+                # the words with one space after each
+                long = end - start + 1
+                after = np.cumsum(long)
+                plain = np.append(part, np.uint8(0))[np.repeat(start - (after - long), long) + np.arange(int(long.sum()))]
+                plain[after - 1] = 0x20
+                first = np.searchsorted(of, row[own] - i) + p[own]
+                lo, hi = (after - long)[first], after[first + n[own] + length - 2]
+                size = hi - lo
+                at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+                strings = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(plain[at].tobytes())])
+                yield wanted_batch([c[own] for c in columns], strings.cast(pa.binary()))
+
+    def report(batches):
+        for t, borders in runs(batches, 1):
             raw = t.column("s").to_pylist()
-            doc, th, p = (t.column(c).to_numpy() for c in ("doc", "th", "p"))
-            n = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
-            name = np.frombuffer(b"".join(raw), U64)
-            owner = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(name)) - np.repeat(np.cumsum(n) - n, n)
-            order = np.lexsort((doc[owner], name))
-            start, size = window_runs(name[order])
-            least = np.empty(len(name), np.int64)
-            least[order] = np.repeat(doc[owner[order[start]]], size)
-            hit = doc[owner] > least
-            if hit.any():
-                yield removal_runs(th, p, owner[hit], at[hit], least[hit])
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def single(looked: DataFrame) -> DataFrame:
-        named = looked.mapInArrow(windows, "a long, doc long, th long, p long, s binary")
-        return named.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(compare, REMOVALS)
+            weight = np.concatenate(([0], np.cumsum([len(s) for s in raw])))[borders]
+            for i, j in slices(weight, 1 << 22):  # whole anchors
+                i, j = int(borders[i]), int(borders[j])
+                part = t.slice(i, j - i)
+                yield from reports(part, *first_holders(raw[i:j], part.column("doc").to_numpy(), length))
 
     def finish(batches):
         for b in batches:
@@ -252,10 +273,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    made = texts.filter(F.col("doc_id").isNotNull()).select("doc_id", "th", "text").mapInArrow(scan, PIECES)
+    made = texts.filter(F.col("doc_id").isNotNull()).select("doc_id", "th", "tl", "text").mapInArrow(scan, PIECES)
     if carry:
         schema += f", carried {texts.schema['carried'].dataType.simpleString()}"
-    out = settle(texts, deal_pieces(made), single, finish, schema, length)
+    out = settle(texts, deal_pieces(made), cut, report, finish, schema)
     return out.select(*[c for c in out.columns if c != "carried"], "carried.*") if carry else out
 
 

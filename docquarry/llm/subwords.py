@@ -7,11 +7,18 @@ ranks, which gives the ids of the tokenizers library about five times faster.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 #: The pre-tokeniser of byte-level BPE as published with its vocabulary (a fixed pattern).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space that the pattern cannot take in one go: its look-ahead steps back through the run and gives up near a million.
+LONG_SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+#: Texts below this length hold no such run that matters.
+LONG_TEXT = 100_000
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -31,6 +38,9 @@ class Subwords:
 
         with open(path or default_path(), encoding="utf-8") as f:
             spec = json.load(f)
+        cutter = json.dumps(spec.get("pre_tokenizer") or {})
+        if '"ByteLevel"' not in cutter or '"Split"' in cutter or spec["model"].get("type", "BPE") != "BPE":
+            raise ValueError(f"{path or default_path()}: not a byte-level BPE vocabulary with the published pre-tokeniser")
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         alphabet = _byte_of()
         ranks = {bytes(alphabet[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
@@ -40,7 +50,22 @@ class Subwords:
         self._encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> bytes:
-        """All ids of a text as little-endian unsigned 32-bit numbers; the special tokens' strings are those tokens."""
+        """All ids of a text as little-endian unsigned 32-bit numbers; the special tokens' strings are those tokens.
+
+        A text of any length is encoded whole, in time and memory in proportion.
+        """
+        if len(text) < LONG_TEXT:
+            return self._plain(text)
+        out, done = [], 0
+        for m in LONG_SPACE.finditer(text):
+            # the pattern takes such a run but for its last character, or all of it before the end or a special token
+            last = m.end() == len(text) or text.startswith(tuple(self._special), m.end())
+            stop = m.end() - (not last)
+            out += [self._plain(text[done : m.start()]), array("I", self._encoding._encode_single_piece(text[m.start() : stop].encode())).tobytes()]
+            done = stop
+        return b"".join([*out, self._plain(text[done:])])
+
+    def _plain(self, text: str) -> bytes:
         if any(s in text for s in self._special):
             return array("I", self._encoding.encode(text, allowed_special="all")).tobytes()
         return array("I", self._encoding.encode_ordinary(text)).tobytes()

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import attention, columnwise, decontaminate, language, licences, neardup, packing, quality, recompression, registry, scoring, sharding, subwords
+from docquarry.llm import attention, columnwise, common, decontaminate, language, licences, neardup, packing, quality, recompression, registry, scoring, sharding, subwords
 from tests.helpers import duck, plain
 from tests.helpers import rows as same_rows
 from tests.llm import fixtures as X
@@ -169,9 +169,9 @@ def test_long_text_in_segments(monkeypatch):
     offsets = np.array([0, len(raw)])
     found = set()
     for i, j, lo, hi in columnwise._segments(offsets, 50):
-        a, row, p, n, _, _ = columnwise.anchors(raw[lo:hi], np.clip(offsets, lo, hi) - lo, 50, 8)
+        a, row, p, n, *_ = columnwise.anchors(raw[lo:hi], np.clip(offsets, lo, hi) - lo, 50, 8)
         found |= {(int(x), int(q) + lo) for x, s, m in zip(a, p, n) for q in range(s, s + m)}
-    a, row, p, n, _, _ = columnwise.anchors(raw, offsets, 50, 8)
+    a, row, p, n, *_ = columnwise.anchors(raw, offsets, 50, 8)
     assert found == {(int(x), int(q)) for x, s, m in zip(a, p, n) for q in range(s, s + m)}
 
 
@@ -195,13 +195,134 @@ def test_equal_windows_have_equal_anchors():
         before, after = ([rng.randrange(6) for _ in range(rng.randrange(60))] for _ in range(2))
         seq = before + window + after
         h = recompression.mix(np.array(seq, np.uint64) + np.uint64(9))
-        a, p, n = recompression.anchors(h, np.zeros(len(seq), np.int64), np.array([len(seq)]), 50, 3)
+        a, p, n, _ = recompression.anchors(h, np.zeros(len(seq), np.int64), np.array([len(seq)]), 50, 3, common.Spans([h, h + np.uint64(1)], 50))
         k = int(np.searchsorted(p, len(before), "right")) - 1
         assert p[k] <= len(before) < p[k] + n[k] and n.sum() == len(seq) - 49
         seen.add(int(a[k]))
     assert len(seen) == 1
 
 
+def test_repeats_come_from_the_exact_methods(docs, monkeypatch):
+    """Anchors and names only propose: with the transform, or the naming of words, saying nothing, no byte of a text without a copy goes."""
+    texts = Counter(t for _, t, _ in DATA)
+    lone = {d for d, t in KNOWN.items() if texts[t] == 1}
+    nothing = lambda *_: (np.empty(0, np.int64),) * 3
+    monkeypatch.setattr(columnwise, "first_holders", nothing)
+    assert all(r.n_removed == 0 for r in columnwise.dedup(docs).collect() if r.doc_id in lone)
+    monkeypatch.setattr(recompression, "first_holders", lambda s, *_: (*nothing(), np.ones(len(s), np.int64)))
+    assert all(r.n_removed == 0 for r in recompression.dedup(docs).collect() if r.doc_id in lone)
+
+
+def test_symbols_reveal_repeats(monkeypatch):
+    """Nearly all windows are anchored by a symbol that a round has named; without naming none is."""
+    rng = random.Random(18)
+    text = " ".join(X.words(rng, X.EN, 3000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    start, end, row = common.words_of(data, np.array([0, len(data)]))
+    h = common.word_hashes(data, start, end)
+    spans = common.Spans([h, h + np.uint64(1)], 50)
+    share = lambda: (lambda n, made: n[made].sum() / n.sum())(*recompression.anchors(h, row, np.array([len(h)]), 50, 3, spans)[2:])
+    assert share() > 0.99
+    monkeypatch.setattr(recompression, "name_pairs", lambda x, *_: x)
+    monkeypatch.setattr(recompression, "name_runs", lambda x, *_: x)
+    assert share() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+HARD = [thue_morse(1024), thue_morse(1024, "b", "a"), thue_morse(2048), thue_morse(2048, "b", "a")]
+
+
+def test_words_that_polynomials_confuse(spark):
+    data = np.frombuffer(" ".join(HARD).encode(), np.uint8)
+    start, end, _ = common.words_of(data, np.array([0, len(data)]))
+    for lane in (0, 1):
+        assert len(set(common.word_hashes(data, start, end, lane).tolist())) == len(HARD)
+    # texts that differ in one such word, or in one half of it
+    fill = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*fill[:30], w, *fill[30:]]), "en") for i, w in enumerate(HARD)] + [(10 + i, w, "en") for i, w in enumerate(HARD)]
+    docs = X.frame(spark, rows)
+    units, raws = {d: t.split() for d, t, _ in rows}, {d: t.encode() for d, t, _ in rows}
+    gone = X.removed(units, 50)
+    assert {r.doc_id: r.n_removed for r in recompression.dedup(docs).collect()} == {d: len(g) for d, g in gone.items()}
+    gone = X.removed(raws, 50)
+    assert {r.doc_id: r.n_removed for r in columnwise.dedup(docs).collect()} == {d: len(g) for d, g in gone.items()}
+    want, sizes = X.near_components(rows)
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in neardup.near_duplicates(docs).collect()} == {d: (want[d], sizes[d]) for d in want}
+    got = {r.doc_id: r for r in scoring.score(docs, sample_rows=5).collect()}
+    n, v = sum(len(u) + 1 for u in units.values()), 60 + len(HARD) + 1
+    for i, w in enumerate(HARD):
+        assert math.isclose(got[10 + i].base_score, math.log10(3 / (n + v + 1)) + math.log10((len(rows) + 1) / (n + v + 1)), rel_tol=1e-9)
+    bench = spark.createDataFrame([(1, HARD[0]), (2, HARD[2])], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(0, 1), (10, 1), (2, 2), (12, 2)}
+
+
+def test_confirmation_is_exact(spark, monkeypatch):
+    """Sketches that cannot tell texts apart make candidates, no links."""
+    monkeypatch.setattr(neardup, "sketches", lambda h, sizes, k: np.zeros((len(sizes), k), np.uint32))
+    rows = [(i, " ".join(f"w{(i * 17 + k) % 400}" for k in range(60)), "en") for i in range(12)] + [(20, " ".join(f"w{k}" for k in range(61)), "en")]
+    want, _ = X.near_components(rows)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(X.frame(spark, rows)).collect()} == want and want[20] == 0
+
+
+def test_exact_names():
+    rng = random.Random(7)
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    start, end, _ = common.words_of(data, np.array([0, len(data)]))
+    names = common.exact_spans(common.exact_ids(data, start, end), 5)
+    spans = common.Spans([common.word_hashes(data, start, end, k) for k in (0, 1)], 5)
+    at = np.arange(len(names))
+    h, g = spans.name(at, np.full(len(at), 5))
+    for i in range(len(names)):
+        for j in range(i):
+            same = words[i : i + 5] == words[j : j + 5]
+            assert (names[i] == names[j]) == (h[i] == h[j]) == (g[i] == g[j]) == same
+
+
+def long_texts():
+    """A very long text that holds what a short one holds too, a run of white space, and one word without end."""
+    rng = random.Random(4)
+    passage = " ".join(f"{rng.choice(X.EN)}{rng.randrange(99)}" for _ in range(70))
+    long = " ".join(rng.choice(X.EN) + str(rng.randrange(400)) for _ in range(250_000))
+    half = len(long) // 2
+    return [(1, passage, "en"), (2, long[:half] + " " + passage + " " + long[half:], "en"), (3, "left" + " " * 1_100_000 + "right", "en"), (4, "a" * 300_000, "en"), (5, "\n" * 1_000_000, "en")]
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    return X.frame(spark, long_texts()).persist()
+
+
+@pytest.mark.parametrize("name", sorted(set(OPERATORS) - {"packing", "decontaminate"}))
+def test_very_long_texts(long_docs, name):
+    rows = {r.doc_id: r for r in OPERATORS[name](long_docs).collect()}
+    assert set(rows) == {1, 2, 3, 4, 5}
+    if name == "recompression":
+        assert rows[2].n_removed == 70 and rows[3].n_removed == 0
+    if name == "columnwise":
+        passage = len(long_texts()[0][1])
+        assert passage <= rows[2].n_removed <= passage + 2 and rows[4].n_removed == 0
+
+
+def test_very_long_texts_packed_and_decontaminated(spark, long_docs):
+    texts = {d: t for d, t, _ in long_texts()}
+    got = defaultdict(list)
+    for r in packing.pack(long_docs).collect():
+        got[r.doc_id].append(r)
+    for d, t in texts.items():
+        ids = np.append(np.frombuffer(subwords.subwords().encode(t), "<u4"), np.uint32(1))
+        at = 0
+        for r in sorted(got[d], key=lambda r: r.start):
+            assert r.start == at and zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32
+            at += r.length
+        assert at == len(ids)
+    bench = spark.createDataFrame([(1, " ".join(texts[1].split()[10:40]))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(long_docs, bench).collect()} == {1, 2}
+
+
 # -- 3
 
 
@@ -351,6 +472,21 @@ def test_subwords_like_the_library(text):
     assert np.frombuffer(subwords.subwords().encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 150_000 + "b", "\n" * 120_000 + "c", ("v" + "\t \n" * 30_000) * 2 + "<|endoftext|> " + " " * 60_000])
+def test_long_white_space_like_the_library(text):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(subwords.default_path())
+    assert np.frombuffer(subwords.subwords().encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        subwords.Subwords(str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 # -- 7
 
 
