@@ -53,34 +53,57 @@ def bwt_columns(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     inner[0] = False
     inner[ends] = False
     text[inner] = rank[data]
-    shared = np.zeros(len(text), np.uint16)
-    ends = ends.astype(np.int32) if len(text) < 1 << 31 else ends
-    order, fresh = ends, np.ones(m, bool)
-    while fresh.any():
-        symbol = text[order - 1]
+    # the transform and the common prefixes of the suffixes so far; the m end marks stay in front
+    symbol, common = text[ends - 1], np.zeros(m, np.uint16)
+    place = ends  # in text, of the last round's suffixes, in order
+    fresh, come = np.ones(m, bool), np.arange(m)
+    while len(place):
         to = np.argsort(symbol, kind="stable")
-        to = to[np.count_nonzero(symbol == 0) :]
-        common = np.append(shared[order], np.uint16(0))
-        of, new = symbol[to], fresh[to]
-        longer = order[to] - 1
-        # pairs of neighbouring occurrences of a symbol of which one is a suffix of the last round
-        first = np.ones(len(to), bool)
-        first[1:] = of[1:] != of[:-1]
-        touched = new.copy()
-        touched[1:] |= new[:-1]
-        touched &= ~first
-        q = np.flatnonzero(touched)
-        if len(q):
-            low, high = to[q - 1] + 1, to[q] + 1
+        to = to[len(symbol) - np.count_nonzero(symbol) :]
+        new = np.flatnonzero(fresh[to])  # a suffix of the last round, with the symbol before it, is one of this round
+        if not len(new):
+            break
+        # in order of their places in the transform, so that `place` is read in order
+        place = place[np.searchsorted(come, to[new])] - 1
+        # pairs of neighbouring occurrences of a symbol of which one is such a suffix
+        near = np.zeros(len(to) + 1, bool)
+        near[new] = True
+        near[new + 1] = True
+        q = np.flatnonzero(near[:-1])
+        before = np.maximum(q - 1, 0)
+        alike = (symbol[to[q]] == symbol[to[before]]) & (q > 0)
+        values = np.zeros(len(q), np.uint16)
+        if alike.any():
+            low, high = to[before[alike]] + 1, to[q[alike]] + 1
             back = np.argsort(-low, kind="stable")
-            span = np.empty(2 * len(q), np.int64)
+            span = np.empty(2 * len(back), np.int64)
             span[0::2], span[1::2] = low[back], high[back]
-            shared[longer[q[back]]] = np.minimum.reduceat(common, span)[0::2] + np.uint16(1)
-        shared[longer[first & new]] = 0
-        shared[longer[first]] = 0
-        order = np.concatenate((ends, longer))
-        fresh = np.concatenate((np.zeros(m, bool), new))
-    return order - 1, shared[order]
+            some = np.empty(len(back), np.uint16)
+            some[back] = np.minimum.reduceat(np.append(common, np.uint16(0)), span)[0::2] + np.uint16(1)
+            values[alike] = some
+        fresh, come = np.zeros(m + len(to), bool), m + new
+        fresh[come] = True
+        old = ~fresh
+        grown = np.empty(m + len(to), symbol.dtype)
+        grown[old] = symbol
+        grown[come] = text[place - 1]
+        longer = np.empty(m + len(to), np.uint16)
+        longer[old] = common
+        longer[m + q] = values
+        symbol, common = grown, longer
+    # walk every string through the transform for the suffixes' places
+    to = np.argsort(symbol, kind="stable")
+    to = to[len(symbol) - np.count_nonzero(symbol) :]
+    step = np.full(len(symbol), -1, np.int64)
+    step[to] = np.arange(m, m + len(to))
+    order = np.empty(len(symbol), np.int64)
+    at, place = np.arange(m), ends - 1
+    while len(at):
+        order[at] = place
+        at = step[at]
+        on = at >= 0
+        at, place = at[on], place[on] - 1
+    return order, common
 
 
 def first_holders(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int):
@@ -96,18 +119,33 @@ def first_holders(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length:
     return owner[whole], at[whole], least[whole]
 
 
-def _grams(data: np.ndarray, gram: int, lane: int) -> np.ndarray:
-    """64-bit hash of the `gram` bytes from each place on."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[: len(data)]
-    n = len(data) - gram + 1
-    if gram < 8:
-        return mix((eight[:n] & U64((1 << 8 * gram) - 1)) * LANES[lane] + LANES[1 - lane])
-    v = mix(eight * LANES[lane] + LANES[1 - lane])
-    h = v[:n]
-    for done in [*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
-        h = mix(h * LANES[1 - lane] + v[done : done + n])
-    return h
+class Grams:
+    """64-bit hashes of the `gram` bytes from each place on, for one lane; made where they are asked for."""
+
+    def __init__(self, data: np.ndarray, gram: int, lane: int):
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        self.eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[: len(data)]
+        self.mask = U64((1 << 8 * min(gram, 8)) - 1)
+        self.more = [*range(8, gram - 7, 8), *([gram - 8] if gram > 8 and gram % 8 else [])]
+        self.odd, self.plus = LANES[lane], LANES[1 - lane]
+
+    def _first(self, v):
+        return mix((v & self.mask) * self.odd + self.plus)
+
+    def all(self, n: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            v = self._first(self.eight)
+            h = v[:n]
+            for done in self.more:
+                h = mix(h * self.plus + v[done : done + n])
+        return h
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = self._first(self.eight[at])
+            for done in self.more:
+                h = mix(h * self.plus + self._first(self.eight[at + done]))
+        return h
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -120,8 +158,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     empty = np.empty(0, np.int64)
     if n < length:
         return empty.view(U64), empty, empty, empty, empty.view(U64), empty.view(U64), empty.view(U64)
-    with np.errstate(over="ignore"):
-        h = _grams(data, gram, 0)
+    h = Grams(data, gram, 0).all(n - gram + 1)
     # the smallest hash over `width` places, ties to the first; 32 bits of hash and as many of place
     best = h >> U64(32) << U64(32) | np.arange(len(h), dtype=U64)
     width, have = length - gram + 1, 1
@@ -139,12 +176,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     row, p, count = row[start], w[start], np.diff(np.append(start, len(w)))
     side = (length - gram + 1) // 2
     if gram >= 8:  # blocks of `gram` bytes tile a piece
-        with np.errstate(over="ignore"):
-            second = _grams(data, gram, 1)
-        piece = Spans.tiled([h, second], gram)
+        piece = Spans.tiled([h, Grams(data, gram, 1)], gram)
     else:
-        byte = data.astype(U64) + U64(1)
-        piece = Spans([mix(byte * LANES[0]), mix(byte * LANES[1])], min(length, max(1, side)))
+        piece = Spans([Grams(data, 1, lane).all(n) for lane in (0, 1)], min(length, max(1, side)))
     name, check = piece.name(p, count + length - 1)
     lo, hi = np.maximum(at - side, 0), np.minimum(at + gram + side, n)
     left, right = np.ones(len(at), U64), np.ones(len(at), U64)

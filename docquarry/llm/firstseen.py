@@ -30,7 +30,8 @@ from .neardup import runs
 _COLUMNS = ["a", "h", "g", "th", "tl", "doc", "p", "n", "by"]
 #: dup: a further holder of a piece that its Arrow batch holds already; more: the piece has such holders.
 PIECES = ", ".join(f"{c} long" for c in _COLUMNS) + ", dup boolean, more boolean"
-#: Rows of PIECES whose anchor several texts hold.  look: the piece's symbols are to be sent; else a further holder.
+#: Rows of PIECES whose anchor several texts hold.  look: the piece's symbols are to be sent, and h and g are 0 if it has no
+#: further holder; else a further holder, whose anchor and document are of no more use.
 DECIDED = ", ".join(f"{c} long" for c in _COLUMNS) + ", look boolean"
 #: Windows to remove, or (th null) a piece that the exact method has reported.
 FOUND = "th long, tl long, p long, n long, by long, h long, g long"
@@ -104,8 +105,12 @@ def decide(a, h, g, th, tl, doc, p, n, by, dup, more) -> pa.RecordBatch | None:
     live = (np.minimum.reduceat(th, at) != np.maximum.reduceat(th, at)) | (np.add.reduceat(more & ~dup, at) > 0)
     lead = _leads(_heads(a, h, g), doc)
     look = ~dup & live[held] & (doc == lead)  # a document may hold its piece at several places
-    by = np.where(dup, by, lead)
-    i = np.flatnonzero(look | dup | (live[held] & (doc > lead)))
+    piece = _heads(a, h, g)
+    further = np.add.reduceat((doc > lead) | more, np.flatnonzero(piece))[np.cumsum(piece) - 1] > 0
+    h, g = np.where(look & ~further, h.dtype.type(0), h), np.where(look & ~further, g.dtype.type(0), g)
+    by = np.where(look, 0, np.where(dup, by, lead))
+    a, doc = np.where(look, a, a.dtype.type(0)), np.where(look, doc, 0)
+    i = np.flatnonzero(look | dup | live[held])
     if not len(i):
         return None
     cols = [_i64(x[i]) for x in (a, h, g, th, tl, doc, p, n, by)]
@@ -196,7 +201,7 @@ def wanted_batch(columns: list[np.ndarray], strings: pa.Array) -> pa.RecordBatch
 def reports(pieces: pa.Table, owner: np.ndarray, at: np.ndarray, least: np.ndarray, windows: np.ndarray):
     """FOUND from what an exact method says: window `at` of row `owner` is held first by document `least`.
 
-    windows: how many windows each row has; a piece is reported if all of its windows are.
+    windows: how many windows each row has; a piece with further holders is reported if all of its windows are.
     """
     h, g, th, tl, doc, p = (pieces.column(c).to_numpy() for c in ("h", "g", "th", "tl", "doc", "p"))
     hit = np.flatnonzero(doc[owner] > least)
@@ -206,7 +211,7 @@ def reports(pieces: pa.Table, owner: np.ndarray, at: np.ndarray, least: np.ndarr
     border = (own[1:] != own[:-1]) | (at_[1:] != at_[:-1] + 1) | (by[1:] != by[:-1])
     start, n = window_runs(np.cumsum(np.concatenate(([0], border))) if len(own) else own)
     o = own[start]
-    whole = np.flatnonzero(np.bincount(owner, minlength=len(doc)) == windows)
+    whole = np.flatnonzero((np.bincount(owner, minlength=len(doc)) == windows) & ((h != 0) | (g != 0)))
     none = pa.nulls(len(whole), pa.int64())
     pad = pa.nulls(len(o), pa.int64())
     names = ["th", "tl", "p", "n", "by", "h", "g"]
