@@ -1,39 +1,37 @@
 """Quality rules (operator 10): Jensen-Shannon distance to language references, in DataFrame functions alone.
 
 Each document gives two histograms: character classes (letters, capitals, digits, white space, symbols, the rest) and the
-common words of its language.  The reference of a language is the sum of these histograms over all documents of that
+common words of its language.  A language's common words are the `common` words that most of its documents hold, counted over
+all documents.  The reference of a language is the sum of these histograms over all documents of that
 language which pass the base rules.  A document fails if the Jensen-Shannon distance (square root of the divergence with
 base-2 logarithms, 0 to 1) of either histogram to its reference exceeds a threshold; texts with fewer characters or words
 than the guards are not judged by that histogram, since short samples lie far from any reference.
 
-One pass over the texts makes a narrow table of counts (no text); references are a pre-aggregated sum over it, and joining
-them back needs no text either.
+One pass over the texts counts words by language, pre-aggregated before the shuffle, and keeps the first few; a second makes
+a narrow table of counts (no text).  References are a pre-aggregated sum over that, and joining them back needs no text either.
+Lists and references are joined as tables: they are broadcast where Spark measures that they are small.
 
 Base rules: fewer than 50 words, or more than half the words inside 3-word windows that occur twice or more, fail.  Such
 words are found in a document's own sorted window hashes: the low bits of each hash hold the window's position, neighbours
 with equal high bits are compared word by word.
 
-Defined cases: a null or empty text has counts of 0 and fails the base rules; a null language is a language of its own with
-no common words; a null doc_id stays null; repeated rows are each judged; an empty table gives no rows; other columns are
-ignored.
+Defined cases: a null or empty text has counts of 0 and fails the base rules; a null language is a language of its own; a
+language whose texts have no letters has no common words and is judged by character classes alone; a null doc_id stays null;
+repeated rows are each judged; an empty table gives no rows; other columns are ignored.  A text of any length is judged whole;
+its words are one array.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import materialise, read_documents
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Common words of each language (fixed values).
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "it", "for", "as", "with", "on"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "que", "qui", "du"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
-}
+LETTERS = r"\p{L}+"
 
 
 def _let(value, body):
@@ -95,22 +93,27 @@ def _left(text, pattern):
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
-def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words=None) -> DataFrame:
-    """One narrow row per document: base measures and both histograms."""
-    lists = COMMON_WORDS if common_words is None else common_words
-    known = sorted({w for ws in lists.values() for w in ws})
+def common_words(docs: DataFrame, common: int, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(list_lang, own): for each language the words that most of its documents hold, in that order; ties by word."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(LETTERS), F.lit(0)))
+    held = docs.select(F.col(lang_col).cast("string").alias("lang"), F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    first = held.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= common)
+    lists = first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "word"))).alias("l"))
+    return lists.select(F.col("lang").alias("list_lang"), F.transform("l", lambda x: x["word"]).alias("own"))
+
+
+def measures(docs: DataFrame, lists: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One narrow row per document: base measures and both histograms.  lists: (list_lang, own), see common_words()."""
     d = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")
     )
+    d = d.join(lists, F.col("lang").eqNullSafe(F.col("list_lang")), "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
     d = d.withColumns({"w": F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), "lines": F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))})
-    letters = F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))
-    own = F.lit(None).cast("array<string>")
-    for lang, ws in lists.items():
-        own = F.when(F.col("lang") == lang, F.array(*map(F.lit, ws))).otherwise(own)
-    own = F.coalesce(own, F.array().cast("array<string>"))
+    letters = F.regexp_extract_all(F.lower("t"), F.lit(LETTERS), F.lit(0))
+    own = F.col("own")
 
     def counts(all_words):
-        hits = F.filter(all_words, lambda x: x.isin(known))
+        hits = F.filter(all_words, lambda x: F.array_contains(own, x))
         of = _let(hits, lambda h: F.transform(own, lambda c: F.size(F.filter(h, lambda x: x == c)).cast("long")))
         return _let(of, lambda c: F.concat(c, F.array(F.size(all_words).cast("long") - F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x))))
 
@@ -163,12 +166,12 @@ def rules(
     max_word_distance: float = 0.35,
     min_chars: int = 200,
     min_words: int = 50,
-    common_words=None,
+    common: int = 12,
 ) -> DataFrame:
     """Base measures, both distances and the verdict for every document."""
-    lists = COMMON_WORDS if common_words is None else common_words
-    m = materialise(measures(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, common_words=lists), "quality")
-    width = 1 + max([0, *map(len, lists.values())])
+    lists = materialise(common_words(docs, common, text_col=text_col, lang_col=lang_col), "common")
+    m = materialise(measures(docs, lists, id_col=id_col, text_col=text_col, lang_col=lang_col), "quality")
+    width = 1 + common
     refs = m.filter(~F.col("base_failed")).groupBy("lang").agg(_sums("class_hist", 6).alias("ref_class"), _sums("word_hist", width).alias("ref_words"))
     refs = refs.withColumnRenamed("lang", "ref_lang")
     out = m.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
@@ -196,13 +199,14 @@ def _js_sql(p: str, q: str) -> str:
 
 
 def _oracle() -> str:
-    quote = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    own = " ".join(f"WHEN '{lang}' THEN {quote(ws)}" for lang, ws in COMMON_WORDS.items())
-    width = 1 + max(map(len, COMMON_WORDS.values()))
+    width = 13
     sums = lambda c, n: "[" + ", ".join(f"sum(coalesce({c}[{i}], 0))::bigint" for i in range(1, n + 1)) + "]"
     left = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))::bigint"
     return rf"""
-WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, CASE lang {own} ELSE []::varchar[] END AS own FROM documents),
+WITH v AS (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+'))) AS word FROM documents),
+v2 AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM v GROUP BY lang, word QUALIFY r <= 12),
+v3 AS (SELECT lang AS list_lang, list(word ORDER BY r) AS own FROM v2 GROUP BY lang),
+d AS (SELECT doc_id, lang, coalesce(text, '') AS t, coalesce(own, []::varchar[]) AS own FROM documents LEFT JOIN v3 ON lang IS NOT DISTINCT FROM list_lang),
 e AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(lower(t), '\p{{L}}+') AS letters,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest([w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] for k in range(1, len(w) - 1)]) AS g FROM e WHERE len(w) >= 3),

@@ -4,22 +4,28 @@ A node stands for a range of shards.  While it has more than one, it is split al
 weighted quantile that gives each side bytes in proportion to its shards; the leaves are the shards.  All nodes of a level
 are split together, and rows never move: a node is an expression over the row's coordinates.
 
-A coordinate is a 63-bit key: 16 bits of the dimension's value (the logarithm of the size, a hash of the language, or the text's checksum), 31 bits
-of a hash of the text, 16 bits of a hash of the row.  The weighted quantile is found by distributed radix descent: bytes
-are summed by (node, next 16 bits), pre-aggregated before the shuffle, the cell in which the target lies is descended into
-until the bytes of that cell are within `tolerance` of the node's.  So equal texts share a shard unless a group of copies is
-itself larger than the tolerance; only such a group is dealt out by row.  The driver receives at most one row for each
-node and step, so at most `shards` rows.
+Dimensions: bytes (logarithm), bytes a character, lines (logarithm), language and source.  Each is a number from 0 to 65535 between
+the table's smallest and largest value; a name is placed between the first and the last in byte order.  Rows with equal texts have
+one place: language and source are the smallest that any of them has.
+
+A coordinate is a 63-bit key: 16 bits of the dimension, 31 bits of a hash of the text, 16 bits of a hash of the row; the
+hashes part what a dimension cannot.  The weighted quantile is found by distributed radix descent: bytes are summed by
+(node, next digit), pre-aggregated before the shuffle, the cell in which the target lies is descended into until the bytes of that
+cell are within `tolerance` of the node's.  A group of equal texts is never parted, unless it is larger than `group_share` of
+a shard: then its rows are dealt out, so that bytes stay near equal.  The driver receives the sums of one digit, at most 1024 for
+each node and step.
 
 slot: rows of a shard are numbered in salted subgroups of about `slot_group` rows, whose offsets are sums of their counts.
 
-Defined cases: a null text has size 8 and crc 0, a null language is one value; repeated rows are rows of their own; a null
-doc_id is kept; an empty table gives no rows; other columns are ignored.  If there are fewer rows than shards, some shards
-stay empty.
+Defined cases: a null text has size 8 and crc 0, a null language or source comes before all others; without these columns their
+dimension has no width; repeated rows are rows of their own; a null doc_id is kept; an empty table gives no rows; other columns
+are ignored.  A text of any length is one row.  If there are fewer rows than shards, some shards stay empty.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,30 +33,63 @@ from pyspark.sql.window import Window as W
 
 from .common import materialise, read_documents
 
-DIGIT = 16
+#: The digits of a key, by the bits below each.
+SHIFTS = (53, 43, 33, 24, 16, 8, 0)
 BITS = 63
-DIMENSIONS = (0, 1, 2)
+#: Bits of a key below which it tells rows of one text apart.
+ROW_BITS = 16
+MEASURES, NAMES = ("bytes", "density", "lines"), ("lang", "source")
+DIMENSIONS = range(len(MEASURES) + len(NAMES))
+#: A group of copies with more than this share of all rows is a hot one; there are at most 1 / HOT of them.
+HOT = 1 / 512
+
 
+def _place(column, low: str | None, high: str | None):
+    """A name as a number that keeps byte order: the bytes after what the first and the last name share."""
+    shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
+    number = lambda c: F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), shared + 1, 6)), 12, "0"), 16, 10).cast("double")
+    return number(column), number(F.lit(low or "")), number(F.lit(high or ""))
 
-def coordinates(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """The narrow table that all steps read: no text."""
+
+def coordinates(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """The narrow table that all steps read: no text.  v0, v1, ...: the dimensions; tail: the key's lower 47 bits."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 8
-    group = F.xxhash64(text).bitwiseAND((1 << 31) - 1)
-    d = docs.select(
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    raw = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
-        group.alias("g"),
-        F.floor(F.log2(size.cast("double")) * 65535 / 48).cast("long").alias("v0"),
-        F.xxhash64(F.coalesce(F.col(lang_col).cast("string"), F.lit(""))).bitwiseAND(65535).alias("v1"),
-        F.shiftright(F.crc32(F.encode(text, "UTF-8")).cast("long"), 16).alias("v2"),
+        F.xxhash64(text).alias("g"),
+        F.log2(size.cast("double")).alias("bytes"),
+        (F.octet_length(text) / F.greatest(F.length(text), F.lit(1))).alias("density"),
+        F.log2((F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("double")).alias("lines"),
+        name(lang_col).alias("lang"),
+        name(source_col).alias("source"),
         F.monotonically_increasing_id().alias("rid"),
     )
+    raw = materialise(raw, "metadata")
+    # equal texts share their place
+    group = ["g", "text_crc32", "size"]
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in (*MEASURES, *NAMES) for f in (F.min, F.max)]
+    all_ = raw.agg(F.count("*").alias("rows"), *ends).first()
+    copies = raw.groupBy(*group).agg(F.count("*").alias("n"), *[F.min(c).alias(f"g_{c}") for c in NAMES]).filter("n > 1")
+    few = copies.filter(F.col("n") > max(64, all_["rows"] * HOT)).drop("n")
+    rest = copies.filter(F.col("n") <= max(64, all_["rows"] * HOT)).drop("n")
+    hot = raw.join(F.broadcast(few), group)
+    cold = raw.join(F.broadcast(few), group, "left_anti").join(rest, group, "left")
+    d = hot.unionByName(cold).withColumns({c: F.coalesce(f"g_{c}", c) for c in NAMES})
+    values = [(F.col(c), F.lit(all_[f"min_{c}"]), F.lit(all_[f"max_{c}"])) for c in MEASURES]
+    values += [_place(F.col(c), all_[f"min_{c}"], all_[f"max_{c}"]) for c in NAMES]
+    scaled = [F.floor(F.coalesce((x - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)) * 65535).cast("long") for x, low, high in values]
     row = F.xxhash64("doc_id", "rid").bitwiseAND(65535)
-    for k in DIMENSIONS:
-        d = d.withColumn(f"k{k}", F.shiftleft(F.col(f"v{k}"), 47).bitwiseOR(F.shiftleft(F.col("g"), 16)).bitwiseOR(row))
-    return materialise(d.drop("g"), "shards")
+    tail = F.shiftleft(F.col("g").bitwiseAND((1 << 31) - 1), ROW_BITS).bitwiseOR(row)
+    d = d.select("doc_id", "size", "text_crc32", "rid", tail.alias("tail"), *[F.least(F.greatest(v, F.lit(0)), F.lit(65535)).cast("long").alias(f"v{k}") for k, v in enumerate(scaled)])
+    return materialise(d, "shards")
+
+
+def _key(dim: int):
+    return F.shiftleft(F.col(f"v{dim}"), 47).bitwiseOR(F.col("tail"))
 
 
 def _tree(splits: dict, leaf, n: int = 0):
@@ -58,39 +97,40 @@ def _tree(splits: dict, leaf, n: int = 0):
     if n not in splits:
         return leaf(n)
     dim, at = splits[n]
-    return F.when(F.col(f"k{dim}") < F.lit(at), _tree(splits, leaf, 2 * n + 1)).otherwise(_tree(splits, leaf, 2 * n + 2))
+    return F.when(_key(dim) < F.lit(at), _tree(splits, leaf, 2 * n + 1)).otherwise(_tree(splits, leaf, 2 * n + 2))
 
 
 def _node(n: int):
     return F.lit(n).cast("long")
 
 
-def _descend(base: DataFrame, splits: dict, goals: dict, tolerance: float) -> dict:
+def _descend(base: DataFrame, splits: dict, goals: dict, tolerance: float, group_bytes: float) -> dict:
     """Boundary of each node: the key below which its bytes come closest to the goal.  goals: node -> (dimension, bytes left of the cut, bytes of the node)."""
     found, prefix, before = {}, dict.fromkeys(goals, 0), dict.fromkeys(goals, 0)
-    shift = BITS
-    while shift > 0 and len(found) < len(goals):
-        above, shift = shift, max(0, shift - DIGIT)
+    for above, shift in zip((BITS, *SHIFTS), SHIFTS):
         left = {n: g for n, g in goals.items() if n not in found}
+        if not left:
+            break
         missing = F.lit(None).cast("long")
-        key = _tree(splits, lambda n: F.col(f"k{left[n][0]}") if n in left else missing)
+        key = _tree(splits, lambda n: _key(left[n][0]) if n in left else missing)
         start = _tree(splits, lambda n: F.lit(prefix[n]).cast("long") if n in left else missing)
         cells = base.select(_tree(splits, _node).alias("node"), key.alias("key"), start.alias("start"), "size")
         cells = cells.filter(F.shiftright("key", above) == F.col("start"))
-        cells = cells.groupBy("node", F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("bytes"))
-        upto = F.sum("bytes").over(W.partitionBy("node").orderBy("cell"))
-        goal = F.lit(None).cast("long")
-        for n, g in left.items():
-            goal = F.when(F.col("node") == n, F.lit(g[1] - before[n])).otherwise(goal)
-        crossing = cells.withColumn("upto", upto).filter(F.col("upto") >= goal).groupBy("node").agg(F.min(F.struct("cell", "bytes", "upto")).alias("c"))
-        for r in crossing.select("node", "c.*").collect():
-            n, low = r["node"], before[r["node"]] + r["upto"] - r["bytes"]
-            high = low + r["bytes"]
-            if r["bytes"] <= tolerance * goals[n][2] or shift == 0:
-                cell = r["cell"] + (abs(high - goals[n][1]) < abs(low - goals[n][1]))
+        sums = cells.groupBy("node", F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("bytes"))
+        by_node: dict = {}
+        for r in sums.collect():
+            by_node.setdefault(r["node"], []).append((r["cell"], r["bytes"]))
+        for n, own in by_node.items():
+            low = before[n]
+            for cell, size in sorted(own):
+                if low + size >= goals[n][1]:
+                    break
+                low += size
+            if size <= tolerance * goals[n][2] or shift == 0 or (shift == ROW_BITS and size <= group_bytes):
+                cell += abs(low + size - goals[n][1]) < abs(low - goals[n][1])
                 found[n] = min(cell << shift, (1 << BITS) - 1)
             else:
-                prefix[n], before[n] = r["cell"], low
+                prefix[n], before[n] = cell, low
     return found
 
 
@@ -100,14 +140,16 @@ def partition(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    source_col: str = "source",
     shards: int = 24,
     tolerance: float = 0.0005,
+    group_share: float = 0.05,
     slot_group: int = 10_000,
 ) -> DataFrame:
     """Shard and slot of every row; shards differ little in bytes."""
-    base = coordinates(docs, id_col, text_col, lang_col)
+    base = coordinates(docs, id_col, text_col, lang_col, source_col)
     leaves, splits = {0: (0, shards)}, {}  # node -> (first shard, number of shards)
-    rows = None
+    rows = total = None
     while any(n > 1 for _, n in leaves.values()):
         wide = [n for n, (_, k) in leaves.items() if k > 1]
         at = base.select(_tree(splits, _node).alias("node"), "size", *[f"v{k}" for k in DIMENSIONS]).filter(F.col("node").isin(wide))
@@ -116,12 +158,12 @@ def partition(
         )
         got = {r["node"]: r for r in stats.collect()}
         if rows is None:
-            rows = sum(r["rows"] for r in got.values())
+            rows, total = sum(r["rows"] for r in got.values()), sum(r["bytes"] for r in got.values())
         goals = {}
         for n, r in got.items():
             dim = max(DIMENSIONS, key=lambda k, r=r: r[f"w{k}"])
             goals[n] = (dim, r["bytes"] * (leaves[n][1] // 2) // leaves[n][1], r["bytes"])
-        level = _descend(base, splits, goals, tolerance)
+        level = _descend(base, splits, goals, tolerance, group_share * total / shards)
         splits |= {n: (goals[n][0], level[n]) for n in level}
         for n in wide:
             first, k = leaves.pop(n)

@@ -589,6 +589,64 @@ def test_sharding(spark, docs):
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
 
 
+def test_tree_like_brute_force(spark, sf, monkeypatch):
+    """Shards of the whole query: widest dimension, weighted quantile and groups, from all coordinates sorted in one place."""
+    monkeypatch.setattr(sharding, "HOT", 1e-9)
+    shards, share = 24, 0.05
+    base = [r.asDict() for r in sharding.coordinates(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", "lang", "source").collect()]
+    most = share * sum(r["size"] for r in base) / shards
+    key = lambda r, k: r[f"v{k}"] << 47 | r["tail"]
+    want, used = {}, Counter()
+
+    def split(rows, first, n):
+        if n == 1 or not rows:
+            want.update({r["doc_id"]: first for r in rows})
+            return
+        dim = max(sharding.DIMENSIONS, key=lambda k: max(r[f"v{k}"] for r in rows) - min(r[f"v{k}"] for r in rows))
+        used[dim] += 1
+        rows = sorted(rows, key=lambda r: key(r, dim))
+        goal, size = sum(r["size"] for r in rows) * (n // 2) // n, Counter()
+        for r in rows:
+            size[key(r, dim) >> 16] += r["size"]
+        low = 0
+        for g in sorted(size):
+            if low + size[g] >= goal:
+                break
+            low += size[g]
+        if size[g] <= most:
+            at = (g + (abs(low + size[g] - goal) < abs(low - goal))) << 16
+        else:
+            own = Counter()
+            for r in rows:
+                if key(r, dim) >> 16 == g:
+                    own[key(r, dim)] += r["size"]
+            for at in sorted(own):
+                if low + own[at] >= goal:
+                    break
+                low += own[at]
+            at += abs(low + own[at] - goal) < abs(low - goal)
+        split([r for r in rows if key(r, dim) < at], first, n // 2)
+        split([r for r in rows if key(r, dim) >= at], first + n // 2, n - n // 2)
+
+    split(base, 0, shards)
+    got = {r.doc_id: r.shard for r in sharding.partition(spark.read.parquet(f"{sf}/documents.parquet"), tolerance=0.0).collect()}
+    assert got == want and len(used) >= 3
+    near = Counter()
+    for r in registry.queries()["op9_sharding"](spark, sf).collect():
+        near[r.shard] += r["size"]
+    assert len(near) == shards and max(near.values()) <= 1.1 * sum(near.values()) / shards + max(r["size"] for r in base)
+
+
+def test_equal_texts_stay_together(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(X.EN) for _ in range(rng.randrange(5, 60))), rng.choice(["en", "de", None])) for i in range(800)]
+    rows += [(1000 + i, rows[i % 40][1], "fr") for i in range(120)]
+    shard = defaultdict(set)
+    for r in sharding.partition(X.frame(spark, rows), shards=6, group_share=0.5).collect():
+        shard[dict((d, t) for d, t, _ in rows)[r.doc_id]].add(r.shard)
+    assert all(len(x) == 1 for x in shard.values())
+
+
 def test_large_group_of_copies_is_dealt_out(spark):
     d = spark.createDataFrame([(i, "same text of a copy", "en") for i in range(400)] + [(400 + i, f"text {i}", "en") for i in range(100)], "doc_id long, text string, lang string")
     sizes = Counter()
@@ -607,6 +665,19 @@ def test_quality(docs):
         assert r.base_failed == (m[0] < 50 or 100 * m[4] > 50 * m[0]) and not (r.kept and r.base_failed)
 
 
+def test_common_words_are_learned(spark):
+    """Every language has a list, whatever its name: the words that most of its documents hold."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["zu", "Ka", "mo"] * (1 + i % 2) + ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(8)]), ("tlh", None, "qq")[i % 3]) for i in range(60)]
+    rows += [(100, "spam " * 500, "tlh"), (101, None, "tlh"), (102, "12 34", "num")]
+    got = {r.list_lang: r.own for r in quality.common_words(X.frame(spark, rows), 3).collect()}
+    assert got["tlh"] == got[None] == got["qq"] == ["ka", "mo", "zu"] and "num" not in got
+    normal = [(i, " ".join(rng.choice(X.EN) for _ in range(120)), "tlh") for i in range(30)]
+    odd = [(99, " ".join(f"{a}{b}" for a in X.DE for b in "abcdef"), "tlh")]
+    kept = {r.doc_id: r.kept for r in quality.rules(X.frame(spark, normal + odd)).collect()}
+    assert not kept[99] and all(kept[i] for i in range(30))
+
+
 def test_js_distance(spark):
     js = lambda a, b: spark.range(1).select(quality.js_distance(F.array(*map(F.lit, a)), F.array(*map(F.lit, b)))).first()[0]
     assert js([1, 2, 3], [2, 4, 6]) == 0 and js([1, 0], [0, 5]) == 1 and js([0, 0], [1, 1]) is None
