@@ -1,7 +1,9 @@
 """A small causal self-attention language model in numpy: tables from counts, training on a sample, and batched scoring.
 
 A token's probability is that of its class given the tokens before it, from one layer of causal self-attention, times its
-share of the class after a token of the previous one's class.  Inputs, queries, keys and values of an id are rows of tables, so scoring gathers instead of multiplying.
+share of the class after the previous token.  That share is counted, and drawn towards the share after a token of the previous
+one's class, which is drawn towards the share at large.  Inputs, queries, keys and values of an id are rows of tables, so scoring
+gathers instead of multiplying.
 """
 
 from __future__ import annotations
@@ -9,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 F32 = np.float32
+#: How many counts the wider share weighs.
+PULL = 8.0
 
 
 def _softmax(x):
@@ -18,10 +22,46 @@ def _softmax(x):
     return x
 
 
+class Pairs:
+    """Counts of pairs of ids, found by an open hash."""
+
+    EMPTY = np.uint64((1 << 64) - 1)
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.counts = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, F32)
+        keys = keys.astype(np.uint64)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == self.EMPTY)
+            self.keys[at[free]] = keys[left[free]]  # of several for one slot the last stays
+            put = self.keys[at] == keys[left]
+            self.counts[at[put]] = counts[left[put]]
+            left, at = left[~put], (at[~put] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.astype(np.uint64)
+        at = self._slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.counts[at], F32(0))
+        left = np.flatnonzero((held != keys) & (held != self.EMPTY))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.counts[at[left[hit]]]
+            left = left[~hit & (held != self.EMPTY)]
+        return out
+
+
 class Model:
     """Windows of `window` inputs; the last `stride` of each predict their successor, so every token is scored once."""
 
-    def __init__(self, vocabulary: int, window: int = 24, stride: int = 16, dim: int = 16, classes: int = 32, rows: int = 4096, seed: int = 7):
+    def __init__(self, vocabulary: int, window: int = 24, stride: int = 16, dim: int = 16, classes: int = 64, rows: int = 4096, seed: int = 7):
         self.vocabulary, self.window, self.stride, self.dim, self.classes, self.rows = vocabulary, window, stride, dim, classes, rows
         self.rng = np.random.default_rng(seed)
         self.pad = None
@@ -64,28 +104,36 @@ class Model:
         smooth = count + 0.5
         share = smooth / np.bincount(self.cls, smooth, minlength=self.classes)[self.cls]
         total = np.stack([np.bincount(self.cls, x, minlength=self.classes) for x in pair])[:, self.cls]
-        pull = 8.0
-        self.log_share = np.log((pair + pull * share) / (total + pull)).astype(F32)
+        self.share = ((pair + PULL * share) / (total + PULL)).astype(F32)
+
+    def pairs(self, before: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Counts of ids after single predecessors; what is not listed is left to the shares after classes."""
+        self.held = Pairs(before * self.vocabulary + ids, counts)
+        self.total = np.bincount(before * self.classes + self.cls[ids], counts, minlength=self.vocabulary * self.classes).astype(F32)
 
-    def pairs_by_row(self, ids: np.ndarray, follow: np.ndarray) -> np.ndarray:
-        """Places in pair[row, predecessor's row] of the ids at follow."""
+    def pairs_by_row(self, before: np.ndarray, ids: np.ndarray):
+        """(which, places in pair[row, predecessor's row]) of ids that have a row of their own."""
         r = self.row[ids]
-        own = follow[r[follow] < len(self.own)]
-        return r[own].astype(np.int64) * self.before + np.minimum(r[own - 1], self.before - 1)
+        own = np.flatnonzero(r < len(self.own))
+        return own, r[own].astype(np.int64) * self.before + np.minimum(self.row[before[own]], self.before - 1)
 
-    def pairs_by_class(self, ids: np.ndarray, follow: np.ndarray) -> np.ndarray:
-        """Places in pair[predecessor's class, id] of the ids at follow."""
-        return self.cls[ids[follow - 1]].astype(np.int64) * self.vocabulary + ids[follow]
+    def pairs_by_class(self, before: np.ndarray, ids: np.ndarray):
+        """(which, places in pair[predecessor's class, id])."""
+        return slice(None), self.cls[before].astype(np.int64) * self.vocabulary + ids
 
     def _tables(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        """All tables from the sample alone."""
+        """All tables from some ids alone."""
         count = np.bincount(ids, minlength=self.vocabulary)
         follow = np.ones(len(ids), bool)
         follow[starts] = False
         i = np.flatnonzero(follow)
+        key, n = np.unique(ids[i - 1] * self.vocabulary + ids[i], return_counts=True)
+        x, y = np.divmod(key, self.vocabulary)
+        tally = lambda places, size: (lambda own, at: np.bincount(at, n[own], minlength=size))(*places(x, y))
         self.rank(count)
-        self.group(count, np.bincount(self.pairs_by_row(ids, i), minlength=len(self.own) * self.before).reshape(-1, self.before))
-        self.shares(count, np.bincount(self.pairs_by_class(ids, i), minlength=self.classes * self.vocabulary).reshape(self.classes, -1))
+        self.group(count, tally(self.pairs_by_row, len(self.own) * self.before).reshape(-1, self.before))
+        self.shares(count, tally(self.pairs_by_class, self.classes * self.vocabulary).reshape(self.classes, -1))
+        self.pairs(x, y, n)
 
     def _windows(self, flat: np.ndarray, sizes: np.ndarray):
         """(rows of inputs[window], target ids[stride], their predecessors, owner) for texts given as input ids one after another.
@@ -211,8 +259,11 @@ class Model:
             logit += (self.x[w[:, t - s :]] + self.px).reshape(-1, self.classes)
             logit -= logit.max(axis=1, keepdims=True)
             id_ = np.where(ok, y, 0).ravel()
-            got = logit[np.arange(len(logit)), self.cls[id_]] + self.log_share[self.cls[np.where(ok, last, 0).ravel()], id_]
+            last = np.where(ok, last, 0).ravel()
+            got = logit[np.arange(len(logit)), self.cls[id_]]
             got -= np.log(np.exp(logit, out=logit).sum(axis=1))
+            wide = self.share[self.cls[last], id_] * F32(PULL)
+            got += np.log((self.held.get(last * self.vocabulary + id_) + wide) / (self.total[last * self.classes + self.cls[id_]] + F32(PULL)))
             per = np.where(ok, got.reshape(ok.shape), 0).sum(axis=1, dtype=np.float64)
             out += np.bincount(owner[i : i + windows], per, minlength=len(sizes))
         return out / np.log(10)

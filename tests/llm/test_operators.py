@@ -410,13 +410,39 @@ def test_model_counts_all_of_all_texts(spark):
     m = scoring.learn(coded, table.size, kind, sample_rows=1, piece=8)
     want = attention.Model(table.size)
     want._tables(np.concatenate(flat), np.cumsum([0, *map(len, flat)])[:-1])
-    assert (m.row == want.row).all() and (m.cls == want.cls).all() and np.allclose(m.log_share, want.log_share, atol=1e-5)
+    assert (m.row == want.row).all() and (m.cls == want.cls).all() and np.allclose(m.share, want.share, atol=1e-6) and (m.total == want.total).all()
+    key = np.arange(0, table.size**2, 9973)
+    all_ = np.concatenate(flat)
+    key = np.concatenate((key, all_[:-1] * table.size + all_[1:]))
+    assert (m.held.get(key) == want.held.get(key)).all()
     # pieces come from whole texts, and more of a larger corpus
     pieces = scoring.sample(coded, 1.0, 10**6, 64, kind, mark)
     assert Counter(np.concatenate([x[1:] for x in pieces]).tolist()) == Counter(np.concatenate([x[1:] for x in flat]).tolist())
     assert 0 < len(scoring.sample(coded, 0.2, 10**6, 8, kind, mark)) < len(scoring.sample(coded, 0.6, 10**6, 8, kind, mark))
 
 
+def test_pairs():
+    rng = np.random.default_rng(3)
+    keys = rng.choice(1 << 40, 5000, replace=False)
+    counts = rng.integers(1, 1000, 5000)
+    p = attention.Pairs(keys[:4000], counts[:4000])
+    assert (p.get(keys) == np.where(np.arange(5000) < 4000, counts, 0)).all() and not len(attention.Pairs(keys[:0], counts[:0]).get(keys[:0]))
+
+
+def test_commonest(spark):
+    df = spark.createDataFrame([(i, 1 + i % 40) for i in range(400)], "w long, c long")
+    for most in (0, 1, 25, 100, 399, 400):
+        got = [r.c for r in scoring.commonest(df, most).collect()]
+        assert len(got) <= most and (not got or set(got) == set(range(min(got), 41)))
+    assert scoring.commonest(df, 400).count() == 400 and scoring.commonest(df.limit(0), 3).count() == 0
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    rows = [r for r in scoring.query(spark, "/root/testdata/sf0.1").collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert sum(r.score > r.base_score for r in rows) > len(rows) / 2
+
+
 def test_gradient():
     m = attention.Model(6, window=6, stride=4, dim=4, classes=4, rows=6)
     ids = np.array([5, 0, 1, 2, 1, 0, 3, 3, 2, 5, 4])
