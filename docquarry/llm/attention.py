@@ -22,6 +22,12 @@ def _softmax(x):
     return x
 
 
+def _exp(x):
+    """Exponentials, in place, of numbers held to a range where no row of floats runs over or sums to nothing."""
+    np.clip(x, -80, 80, out=x)
+    return np.exp(x, out=x)
+
+
 class Pairs:
     """Counts of pairs of ids, found by an open hash."""
 
@@ -61,7 +67,7 @@ class Pairs:
 class Model:
     """Windows of `window` inputs; the last `stride` of each predict their successor, so every token is scored once."""
 
-    def __init__(self, vocabulary: int, window: int = 24, stride: int = 16, dim: int = 16, classes: int = 64, rows: int = 4096, seed: int = 7):
+    def __init__(self, vocabulary: int, window: int = 24, stride: int = 16, dim: int = 32, classes: int = 64, rows: int = 4096, seed: int = 7):
         self.vocabulary, self.window, self.stride, self.dim, self.classes, self.rows = vocabulary, window, stride, dim, classes, rows
         self.rng = np.random.default_rng(seed)
         self.pad = None
@@ -234,8 +240,8 @@ class Model:
         self.q, self.pq = e @ p["q"] * scale, pos[t - s :] @ p["q"] * scale
         self.k, self.pk = e @ p["k"], pos @ p["k"]
         self.v, self.pv = e @ p["v"], pos @ p["v"]
-        self.x, self.px = e @ p["c"], pos[t - s :] @ p["c"] + p["b"]
-        self.oc = p["o"] @ p["c"]
+        self.x, self.px = e, pos[t - s :]
+        self.o, self.c, self.b = p["o"], p["c"], p["b"]
         self.hide = np.zeros(self.pad + 1, F32)
         self.hide[self.pad] = -1e9
         self.mask = self._mask()
@@ -243,7 +249,7 @@ class Model:
 
     # -- scoring
 
-    def score(self, flat: np.ndarray, sizes: np.ndarray, windows: int = 2048) -> np.ndarray:
+    def score(self, flat: np.ndarray, sizes: np.ndarray, windows: int = 512) -> np.ndarray:
         """log10 probability of each text's ids after its begin mark."""
         win, target, before, owner = self._windows(flat, sizes)
         t, s = self.window, self.stride
@@ -254,14 +260,17 @@ class Model:
             a = (self.q[w[:, t - s :]] + self.pq) @ (self.k[w] + self.pk).transpose(0, 2, 1)
             a += self.mask
             a += self.hide[w][:, None, :]
-            z = _softmax(a) @ (self.v[w] + self.pv)
-            logit = z.reshape(-1, self.dim) @ self.oc
-            logit += (self.x[w[:, t - s :]] + self.px).reshape(-1, self.classes)
-            logit -= logit.max(axis=1, keepdims=True)
+            a = _exp(a)
+            z = a @ (self.v[w] + self.pv)
+            z /= a.sum(axis=-1, keepdims=True)
+            x = (self.x[w[:, t - s :]] + self.px).reshape(-1, self.dim)
+            x += z.reshape(-1, self.dim) @ self.o
+            logit = x @ self.c
+            logit += self.b
             id_ = np.where(ok, y, 0).ravel()
+            logit = _exp(logit)
+            got = np.log(logit[np.arange(len(logit)), self.cls[id_]] / logit.sum(axis=1))
             last = np.where(ok, last, 0).ravel()
-            got = logit[np.arange(len(logit)), self.cls[id_]]
-            got -= np.log(np.exp(logit, out=logit).sum(axis=1))
             wide = self.share[self.cls[last], id_] * F32(PULL)
             got += np.log((self.held.get(last * self.vocabulary + id_) + wide) / (self.total[last * self.classes + self.cls[id_]] + F32(PULL)))
             per = np.where(ok, got.reshape(ok.shape), 0).sum(axis=1, dtype=np.float64)
