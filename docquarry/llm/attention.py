@@ -67,7 +67,7 @@ class Pairs:
 class Model:
     """Windows of `window` inputs; the last `stride` of each predict their successor, so every token is scored once."""
 
-    def __init__(self, vocabulary: int, window: int = 24, stride: int = 16, dim: int = 32, classes: int = 64, rows: int = 4096, seed: int = 7):
+    def __init__(self, vocabulary: int, window: int = 24, stride: int = 16, dim: int = 24, classes: int = 64, rows: int = 4096, seed: int = 7):
         self.vocabulary, self.window, self.stride, self.dim, self.classes, self.rows = vocabulary, window, stride, dim, classes, rows
         self.rng = np.random.default_rng(seed)
         self.pad = None
