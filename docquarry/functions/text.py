@@ -66,3 +66,8 @@ def basename(path: Column) -> Column:
 def last_n(a: Column, n: int) -> Column:
     """The last n entries of an array, or all of a shorter one."""
     return F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n)
+
+
+def fixed(c: Column, digits: int = 3) -> Column:
+    """A number with that many decimals and no grouping; null for null."""
+    return F.format_string(f"%.{digits}f", c.cast("double"))

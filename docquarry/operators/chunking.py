@@ -24,167 +24,194 @@ MODEL_MAX = 512
 _token = re.compile(TOKEN)
 
 
-def spans(text: str) -> list[tuple[int, int]]:
+def default_spans(text: str) -> list[tuple[int, int]]:
+    """The default tokenizer: places of the tokens of a text."""
     return [m.span() for m in _token.finditer(text)]
 
 
-def count(text: str) -> int:
-    return len(_token.findall(text))
+def default_sentences(text: str) -> list[str]:
+    """The default sentence splitter: sentences end with . ! or ? before white space."""
+    return [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p]
 
 
 def token_count(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"), F.lit(0)))
 
 
-def budget(max_tokens: int = 500, overlap: int = 100, model_max: int = MODEL_MAX) -> tuple[int, int]:
-    """(largest body, the model's limit)."""
-    limit = min(model_max, MODEL_MAX)
-    return max(LEAST_BUDGET, min(max_tokens, limit - overlap - CRUMB_ROOM - SPECIAL)), limit
+#: Places where a text may be cut after punctuation (fixed value).
+PUNCTUATION = re.compile(r"(?<=[.;:,])\s+")
 
+_token = re.compile(TOKEN)
 
-def tail(text: str, n: int) -> str:
-    s = spans(text)
-    return text if len(s) <= n else (text[s[-n][0] :].strip() if n > 0 else "")
 
+def default_spans(text: str) -> list[tuple[int, int]]:
+    """The default tokenizer: places of the tokens of a text."""
+    return [m.span() for m in _token.finditer(text)]
 
-def head(text: str, n: int) -> str:
-    s = spans(text)
-    return text if len(s) <= n else (text[: s[n - 1][1]].strip() if n > 0 else "")
 
+def default_sentences(text: str) -> list[str]:
+    """The default sentence splitter: sentences end with . ! or ? before white space."""
+    return [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p]
 
-def split_hard(text: str, n: int) -> list[str]:
-    """Windows of n tokens."""
-    s = spans(text)
-    out = [text[s[i][0] : s[min(i + n, len(s)) - 1][1]] for i in range(0, len(s), n)]
-    return [x for x in out if x.strip()] or [text]
 
+def _ruled(line: str) -> bool:
+    """Whether a line parts a table's head from its rows: pipes at both ends, and only pipes, hyphens (one at least), colons and spaces."""
+    text = line.strip()
+    return len(text) > 2 and text[0] == text[-1] == "|" and "-" in text and all(ch in "|-:" or ch.isspace() for ch in text)
 
-def pack(parts: list[str], n: int, glue: str, oversize: Callable[[str, int], list[str]]) -> list[str]:
-    """Greedy: neighbours share a chunk while they fit; a part that is too long is split on its own."""
-    out, held = [], ""
-    for part in parts:
-        joined = held + glue + part if held else part
-        if count(joined) <= n:
-            held = joined
-            continue
-        if held:
-            out.append(held)
-        held = ""
-        if count(part) <= n:
-            held = part
-        else:
-            out += oversize(part, n)
-    return out + [held] if held else out
-
-
-def split_punctuation(text: str, n: int) -> list[str]:
-    parts = [p for p in re.split(r"(?<=[.;:,])\s+", text) if p.strip()]
-    return split_hard(text, n) if len(parts) <= 1 else pack(parts, n, " ", split_hard)
-
-
-def split_lines(text: str, n: int) -> list[str]:
-    parts = [p for p in (line.strip() for line in text.split("\n")) if p]
-    return pack(parts, n, "\n", split_punctuation) or [text]
-
-
-def split_sentences(text: str, n: int) -> list[str]:
-    """Sentences end with . ! or ? before white space."""
-    parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p]
-    return pack(parts, n, " ", split_punctuation) or [text]
-
-
-def split_rows(text: str, n: int) -> list[str]:
-    """Table rows, the header on every piece; a row that is too long is split by lines, without the header."""
-    lines = [line for line in text.split("\n") if line.strip()]
-    rule = next((i for i, line in enumerate(lines) if re.fullmatch(r"\s*\|[-|\s:]*-[-|\s:]*\|\s*", line)), None)
-    if rule is None:
-        return split_lines(text, n)
-    top = "\n".join(lines[: rule + 1])
-    room = n - count(top)
-    if room <= 0:
-        return split_lines(text, n)
-    out, held = [], []
-    for row in lines[rule + 1 :]:
-        if count("\n".join([*held, row])) <= room:
-            held.append(row)
-            continue
+
+def token_count(c: Column) -> Column:
+    return F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"), F.lit(0)))
+
+
+def budget(max_tokens: int = 500, overlap: int = 100, model_max: int = MODEL_MAX) -> tuple[int, int]:
+    """(largest body, the model's limit)."""
+    limit = min(model_max, MODEL_MAX)
+    return max(LEAST_BUDGET, min(max_tokens, limit - overlap - CRUMB_ROOM - SPECIAL)), limit
+
+
+class Chunker:
+    """Splitting and packing with a tokenizer (text -> places of its tokens) and a sentence splitter (text -> sentences) of one's choice."""
+
+    def __init__(self, spans: Callable[[str], list[tuple[int, int]]] = default_spans, sentences: Callable[[str], list[str]] = default_sentences):
+        self.spans, self.sentences = spans, sentences
+        self.splitters = {"table": self.split_rows, "list": self.split_lines, "code": self.split_lines, "paragraph": self.split_sentences, "caption": self.split_sentences}
+
+    def count(self, text: str) -> int:
+        return len(self.spans(text))
+
+    def tail(self, text: str, n: int) -> str:
+        s = self.spans(text)
+        return text if len(s) <= n else (text[s[-n][0] :].strip() if n > 0 else "")
+
+    def head(self, text: str, n: int) -> str:
+        s = self.spans(text)
+        return text if len(s) <= n else (text[: s[n - 1][1]].strip() if n > 0 else "")
+
+    def split_hard(self, text: str, n: int) -> list[str]:
+        """Windows of n tokens."""
+        s = self.spans(text)
+        out = [text[s[i][0] : s[min(i + n, len(s)) - 1][1]] for i in range(0, len(s), n)]
+        return [x for x in out if x.strip()] or [text]
+
+    def pack(self, parts: list[str], n: int, glue: str, oversize: Callable[[str, int], list[str]]) -> list[str]:
+        """Greedy: neighbours share a chunk while they fit; a part that is too long is split on its own."""
+        out, held = [], ""
+        for part in parts:
+            joined = held + glue + part if held else part
+            if self.count(joined) <= n:
+                held = joined
+                continue
+            if held:
+                out.append(held)
+            held = ""
+            if self.count(part) <= n:
+                held = part
+            else:
+                out += oversize(part, n)
+        return out + [held] if held else out
+
+    def split_punctuation(self, text: str, n: int) -> list[str]:
+        parts = [p for p in PUNCTUATION.split(text) if p.strip()]
+        return self.split_hard(text, n) if len(parts) <= 1 else self.pack(parts, n, " ", self.split_hard)
+
+    def split_lines(self, text: str, n: int) -> list[str]:
+        parts = [p for p in (line.strip() for line in text.split("\n")) if p]
+        return self.pack(parts, n, "\n", self.split_punctuation) or [text]
+
+    def split_sentences(self, text: str, n: int) -> list[str]:
+        return self.pack([p for p in self.sentences(text) if p.strip()], n, " ", self.split_punctuation) or [text]
+
+    def split_rows(self, text: str, n: int) -> list[str]:
+        """Table rows, the header on every piece; a row that is too long is split by lines, without the header."""
+        lines = [line for line in text.split("\n") if line.strip()]
+        rule = next((i for i, line in enumerate(lines) if _ruled(line)), None)
+        if rule is None:
+            return self.split_lines(text, n)
+        top = "\n".join(lines[: rule + 1])
+        room = n - self.count(top)
+        if room <= 0:
+            return self.split_lines(text, n)
+        out, held = [], []
+        for row in lines[rule + 1 :]:
+            if self.count("\n".join([*held, row])) <= room:
+                held.append(row)
+                continue
+            if held:
+                out.append("\n".join([top, *held]))
+            held = []
+            if self.count(row) <= room:
+                held = [row]
+            else:
+                out += self.split_lines(row, n)
         if held:
             out.append("\n".join([top, *held]))
-        held = []
-        if count(row) <= room:
-            held = [row]
-        else:
-            out += split_lines(row, n)
-    if held:
-        out.append("\n".join([top, *held]))
-    return out or [text]
-
-
-SPLITTERS = {"table": split_rows, "list": split_lines, "code": split_lines, "paragraph": split_sentences, "caption": split_sentences}
-
-
-def split_block(text: str, kind: str, n: int) -> list[str]:
-    return [text] if count(text) <= n else SPLITTERS.get(kind, split_lines)(text, n)
-
-
-def section_chunks(blocks: list[dict], n: int) -> list[tuple[list[str], str]]:
-    """(breadcrumbs, body) of one section: its heading goes to the crumbs; a heading alone gives a chunk of its own text."""
-    first = blocks[0]
-    crumbs = list(first["breadcrumbs"]) + ([first["text"]] if first["type"] == "heading" else [])
-    body = blocks[1:] if first["type"] == "heading" else blocks
-    if not body:
-        return [(crumbs, first["text"])]
-    out, held = [], ""
-    for b in body:
-        if not b["text"].strip():
-            continue
-        joined = held + "\n\n" + b["text"] if held else b["text"]
-        if count(joined) <= n:
-            held = joined
-            continue
+        return out or [text]
+
+    def split_block(self, text: str, kind: str, n: int) -> list[str]:
+        return [text] if self.count(text) <= n else self.splitters.get(kind, self.split_lines)(text, n)
+
+    def section_chunks(self, blocks: list[dict], n: int) -> list[tuple[list[str], str]]:
+        """(breadcrumbs, body) of one section: its heading goes to the crumbs; a heading alone gives a chunk of its own text."""
+        first = blocks[0]
+        crumbs = list(first["breadcrumbs"]) + ([first["text"]] if first["type"] == "heading" else [])
+        body = blocks[1:] if first["type"] == "heading" else blocks
+        if not body:
+            return [(crumbs, first["text"])]
+        out, held = [], ""
+        for b in body:
+            if not b["text"].strip():
+                continue
+            joined = held + "\n\n" + b["text"] if held else b["text"]
+            if self.count(joined) <= n:
+                held = joined
+                continue
+            if held:
+                out.append(held)
+            held = ""
+            if self.count(b["text"]) <= n:
+                held = b["text"]
+            else:
+                out += self.split_block(b["text"], b["type"], n)
         if held:
             out.append(held)
-        held = ""
-        if count(b["text"]) <= n:
-            held = b["text"]
-        else:
-            out += split_block(b["text"], b["type"], n)
-    if held:
-        out.append(held)
-    return [(crumbs, t) for t in out]
-
-
-def build_chunks(blocks: list[dict], max_tokens: int = 500, overlap: int = 100, model_max: int = MODEL_MAX) -> list[dict]:
-    """Chunks of one document's blocks (with breadcrumbs), in order."""
-    n, limit = budget(max_tokens, overlap, model_max)
-    groups: list[list[dict]] = []
-    for b in blocks:
-        if b["type"] == "heading" or not groups:
-            groups.append([])
-        groups[-1].append(b)
-    raw = [c for g in groups for c in section_chunks(g, n)]
-    out = []
-    for i, (crumbs, text) in enumerate(raw):
-        own = text
-        if overlap > 0 and i:
-            text = tail(raw[i - 1][1], overlap) + "\n\n" + own
-        lead = "\n".join(crumbs[-3:]) + "\n\n"
-        if count(lead + text) > limit:
-            text = own
-            if count(lead + text) > limit:
-                text = head(own, max(limit - count(lead), LEAST_BUDGET))
-        out.append({"position": i, "breadcrumbs": crumbs, "text": text, "token_count": count(text), "embedding_input": lead + text})
-    return out
-
-
-def chunks(blocks: DataFrame, id_col: str = "id", max_tokens: int = 500, overlap: int = 100) -> DataFrame:
+        return [(crumbs, t) for t in out]
+
+    def overlapped(self, raw: list[str], overlap: int) -> list[str]:
+        """Each text after the end of the one before it."""
+        return [self.tail(raw[i - 1], overlap) + "\n\n" + t if overlap > 0 and i else t for i, t in enumerate(raw)]
+
+    def build_chunks(self, blocks: list[dict], max_tokens: int = 500, overlap: int = 100, model_max: int = MODEL_MAX) -> list[dict]:
+        """Chunks of one document's blocks (with breadcrumbs), in order."""
+        n, limit = budget(max_tokens, overlap, model_max)
+        groups: list[list[dict]] = []
+        for b in blocks:
+            if b["type"] == "heading" or not groups:
+                groups.append([])
+            groups[-1].append(b)
+        raw = [c for g in groups for c in self.section_chunks(g, n)]
+        out = []
+        for i, ((crumbs, own), text) in enumerate(zip(raw, self.overlapped([t for _, t in raw], overlap))):
+            lead = "\n".join(crumbs[-3:]) + "\n\n"
+            if self.count(lead + text) > limit:
+                text = own
+                if self.count(lead + text) > limit:
+                    text = self.head(own, max(limit - self.count(lead), LEAST_BUDGET))
+            out.append({"position": i, "breadcrumbs": crumbs, "text": text, "token_count": self.count(text), "embedding_input": lead + text})
+        return out
+
+
+DEFAULT = Chunker()
+
+
+def chunks(blocks: DataFrame, id_col: str = "id", max_tokens: int = 500, overlap: int = 100, chunker: Chunker = DEFAULT, model_max: int = MODEL_MAX) -> DataFrame:
     """(id, position, breadcrumbs, text, token_count, embedding_input) of blocks with breadcrumbs."""
 
     @F.pandas_udf(T.ArrayType(CHUNK))
     def run(s: pd.Series) -> pd.Series:
         def one(rows):
             plain = [{k: (list(v) if k == "breadcrumbs" else v) for k, v in (r if isinstance(r, dict) else r.asDict()).items()} for r in rows]
-            return build_chunks(plain, max_tokens, overlap)
+            return chunker.build_chunks(plain, max_tokens, overlap, model_max)
 
         return s.map(one)
 
@@ -192,11 +219,32 @@ def chunks(blocks: DataFrame, id_col: str = "id", max_tokens: int = 500, overlap
     return per_doc.select(id_col, F.explode(run("b")).alias("c")).select(id_col, "c.*")
 
 
-def split_udf(kind: str, n: int):
-    """Column function: pieces of a text of that block type with at most n tokens."""
+def split_udf(kind: str, n: int, chunker: Chunker = DEFAULT):
+    """Column function: pieces of a text of that block type with at most n tokens; kind `hard`: windows of n tokens."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        split = (lambda t: chunker.split_hard(t, n)) if kind == "hard" else (lambda t: chunker.split_block(t, kind, n))
+        return s.map(lambda t: None if t is None else split(t))
+
+    return run
+
+
+def count_udf(chunker: Chunker = DEFAULT):
+    """Column function: the number of tokens; null for a null text."""
+
+    @F.pandas_udf(T.LongType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else chunker.count(t)).astype("Int64")
+
+    return run
+
+
+def overlap_udf(overlap: int, chunker: Chunker = DEFAULT):
+    """Column function: the texts of an array, each after the end of the one before it."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else split_block(t, kind, n))
+        return s.map(lambda a: None if a is None else chunker.overlapped(list(a), overlap))
 
     return run

@@ -22,11 +22,11 @@ def search(
     retrieval_k: int = 200,
     scorer=None,
 ) -> DataFrame:
-    """Hits in the columns of HIT, best first; a blank query gives none."""
+    """Hits in the columns of HIT, best first; a blank query gives none.  Where the full-text index can not be read, vectors search alone."""
     if not (query or "").strip():
         return chunks.sparkSession.createDataFrame([], HIT)
     near = fusion.ranked(vectors.knn(vector_table, query_vector, retrieval_k, "chunk_id", "vector"), F.asc("distance"), F.asc("id"))
-    text = fusion.ranked(fts.bm25(index, query, retrieval_k), F.asc("score"), F.asc("id"))
+    text = fusion.ranked(fts.bm25_or_none(index, query, retrieval_k), F.asc("score"), F.asc("id"))
     pool = fusion.reciprocal_rank_fusion(near, text)
     best = fusion.rerank(fusion.fetch(pool, chunks, documents), query, top_k, scorer)
     return best.select(

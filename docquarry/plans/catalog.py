@@ -7,14 +7,17 @@ means nothing beyond testing; ids without a partner drop out at the metadata joi
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from docquarry.functions import text as X
-from docquarry.operators import access, breadcrumbs, chunking, fts, fusion, pdf_spans, search, store, vectors
-from docquarry.sources import corpora, parsers
+from docquarry.operators import access, breadcrumbs, chunking, fts, fusion, indexing, pdf_spans, search, store, vectors
+from docquarry.sources import corpora, parsers, storage
 
 QUERY_WORDS, QUERY_ONE, QUERY_PHRASE, QUERY_TWICE = "the and", "worthless", "of-the", "that that"
 
@@ -121,12 +124,12 @@ def _store(spark, sf) -> store.Store:
 _GONE = "SELECT doc_id FROM labels WHERE toxic = 1"
 
 
-@register(f"""SELECT 'documents' AS tab, count(*) AS n FROM documents WHERE doc_id NOT IN ({_GONE}) UNION ALL
-SELECT 'chunks', count(*) FROM documents WHERE doc_id NOT IN ({_GONE}) UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id NOT IN ({_GONE})""")
+@register(f"""SELECT 'documents' AS tab, doc_id AS id FROM documents WHERE doc_id NOT IN ({_GONE}) UNION ALL
+SELECT 'chunks', doc_id FROM documents WHERE doc_id NOT IN ({_GONE}) UNION ALL SELECT 'vectors', vec_id FROM embeddings WHERE vec_id NOT IN ({_GONE})""")
 def delete_cascade(spark, sf):
     gone = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
     s = _store(spark, sf).delete(gone)
-    parts = [getattr(s, t).agg(F.lit(t).alias("tab"), F.count("*").alias("n")) for t in ("documents", "chunks", "vectors")]
+    parts = [t.select(F.lit(n).alias("tab"), F.col(c).alias("id")) for n, t, c in (("documents", s.documents, "id"), ("chunks", s.chunks, "id"), ("vectors", s.vectors, "chunk_id"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -136,15 +139,16 @@ def purge_vectors(spark, sf):
     return table(spark, sf, "embeddings").join(gone, "vec_id", "left_anti").select("vec_id", "label")
 
 
-@register(f"""WITH {_DOCS_SQL}, old AS (SELECT * FROM docs WHERE id % 2 = 0), new AS (SELECT document_path, name FROM docs)
-SELECT document_path, name, false AS is_indexed FROM new""")
+@register(f"""WITH {_DOCS_SQL}, top AS (SELECT greatest((SELECT max(doc_id) FROM documents), (SELECT max(vec_id) FROM embeddings)) AS id)
+SELECT top.id + row_number() OVER (ORDER BY document_path) AS id, document_path, name, false AS is_indexed FROM docs, top""")
 def register_documents(spark, sf):
+    """Every path is registered, half of them for the second time: all have new ids."""
     d = documents(spark, sf)
     s = store.Store(d.filter("id % 2 = 0"), chunk_rows(spark, sf), _store(spark, sf).vectors)
-    return s.register(d.select("document_path", "name")).documents.select("document_path", "name", "is_indexed")
+    return s.register(d.select("document_path", "name")).documents
 
 
-@register("""SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, floor((row_number() OVER (ORDER BY doc_id) - 1) / 100)::bigint AS batch FROM documents""".replace(", row_number() OVER (ORDER BY doc_id) - 1 AS place", ""))
+@register("SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 100)::bigint AS batch FROM documents")
 def flat_batches(spark, sf):
     return store.flat_batches(table(spark, sf, "documents"), 100, "doc_id")
 
@@ -152,16 +156,23 @@ def flat_batches(spark, sf):
 _CHUNKS_N = "greatest(1, ceil(n_chars / 1000))"
 
 
-@register(f"""WITH RECURSIVE c AS (SELECT doc_id, {_CHUNKS_N}::bigint AS chunks, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+_BATCHES_SQL = f"""WITH RECURSIVE c AS (SELECT doc_id, {_CHUNKS_N}::bigint AS chunks, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
 f(i, doc_id, chunks, batch, fill) AS (SELECT i, doc_id, chunks, 0::bigint, chunks FROM c WHERE i = 1 UNION ALL
   SELECT c.i, c.doc_id, c.chunks, f.batch + (f.fill > 0 AND f.fill + c.chunks > 100)::bigint,
-         CASE WHEN f.fill > 0 AND f.fill + c.chunks > 100 THEN c.chunks ELSE f.fill + c.chunks END FROM f JOIN c ON c.i = f.i + 1)
-SELECT doc_id, chunks, batch FROM f""")
+         CASE WHEN f.fill > 0 AND f.fill + c.chunks > 100 THEN c.chunks ELSE f.fill + c.chunks END FROM f JOIN c ON c.i = f.i + 1)"""
+
+
+@register(f"{_BATCHES_SQL} SELECT doc_id, chunks, batch FROM f")
 def doc_batches(spark, sf):
     n = F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 1000)).cast("long")
     return store.batches_by_document(table(spark, sf, "documents").select("doc_id", n.alias("chunks")), 100)
 
 
+@register(f"{_BATCHES_SQL} SELECT batch, count(*) AS documents, sum(chunks)::bigint AS chunks FROM f GROUP BY batch")
+def batch_sums(spark, sf):
+    return store.chunks_per_batch(doc_batches(spark, sf))
+
+
 @register(r"""WITH f AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '/in/a.TXT' WHEN 1 THEN '/in/b.md' WHEN 2 THEN '/in/c.odt' WHEN 3 THEN '/in/' WHEN 4 THEN '/in/d.tar.docx'
   WHEN 5 THEN '/in/noext' ELSE '/in/e.html' END AS path, n_chars * 40 - 400 AS length FROM documents),
 n AS (SELECT *, regexp_extract(path, '[^/]*$') AS base, lower(regexp_extract(path, '[^/](\.[^./\\]+)$', 1)) AS suffix FROM f)
@@ -190,7 +201,15 @@ def fts_tokens(spark, sf):
 
 
 def _index(spark, sf) -> fts.Index:
-    return fts.build_index(table(spark, sf, "documents"), "doc_id", "text")
+    """The stored index of the documents table: built by the first query that needs it, read by all that follow in this application."""
+    source = f"{sf}/documents.parquet"
+    name = hashlib.sha256(f"{spark.sparkContext.applicationId} {source} {storage.version(spark, source)}".encode()).hexdigest()[:24]
+    path = f"{storage.shared_dir(spark)}/fts-{name}"
+    if not storage.found(spark, f"{path}/COMPLETE"):
+        draft = f"{path}/{uuid.uuid4().hex}"
+        fts.build_index(table(spark, sf, "documents"), "doc_id", "text").write(draft)
+        storage.put(spark, f"{path}/COMPLETE", draft)
+    return fts.Index.read(spark, storage.get(spark, f"{path}/COMPLETE"))
 
 
 @register(f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS_SQL}) AS token FROM documents) GROUP BY token")
@@ -203,7 +222,7 @@ def fts_doc_len(spark, sf):
     return _index(spark, sf).lengths
 
 
-def _bm25_sql(phrases: list[list[str]], k: int = 200) -> str:
+def _bm25_sql(phrases: list[list[str]], k: int = 200, rows: str = "documents") -> str:
     """Phrase counts by position, then the formula; one CTE for each phrase."""
     ctes, joins, parts = [], [], []
     for i, p in enumerate(phrases):
@@ -212,7 +231,7 @@ def _bm25_sql(phrases: list[list[str]], k: int = 200) -> str:
         ctes.append(f"i{i} AS (SELECT CASE WHEN ln((n - c + 0.5::double) / (c + 0.5::double)) <= 0 THEN 1e-6::double ELSE ln((n - c + 0.5::double) / (c + 0.5::double)) END AS idf FROM st, (SELECT count(*)::double AS c FROM f{i}))")
         joins.append(f"JOIN f{i} ON f{i}.doc_id = d.doc_id CROSS JOIN i{i}")
         parts.append(f"i{i}.idf * f{i}.tf * 2.2::double / (f{i}.tf + 1.2::double * (0.25::double + 0.75::double * d.dl / st.avgdl))")
-    return f"""WITH d AS (SELECT doc_id, {_TOKENS_SQL} AS t, len({_TOKENS_SQL}) AS dl FROM documents),
+    return f"""WITH d AS (SELECT doc_id, {_TOKENS_SQL} AS t, len({_TOKENS_SQL}) AS dl FROM {rows}),
 tok AS (SELECT doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM d), st AS (SELECT count(*)::double AS n, avg(dl)::double AS avgdl FROM d),
 {", ".join(ctes)} SELECT d.doc_id AS id, round(-({" + ".join(parts)}), 9) AS score FROM d CROSS JOIN st {" ".join(joins)} ORDER BY score, id LIMIT {k}"""
 
@@ -357,7 +376,7 @@ def section_ids(spark, sf):
 
 
 @register(f"""WITH c AS ({_crumbs_sql()}), {_LINES} SELECT c.id, c.position, array_to_string(breadcrumbs[-3:], chr(10)) || chr(10) || chr(10) || text AS embedding_input
-FROM c JOIN l ON l.id = c.id AND l.position = c.position""".replace("WITH c AS (WITH", "WITH c AS (WITH"))
+FROM c JOIN l ON l.id = c.id AND l.position = c.position""")
 def embedding_inputs(spark, sf):
     b = breadcrumbs.breadcrumbs(_line_blocks(spark, sf))
     return b.select("id", F.col("position").cast("long").alias("position"), breadcrumbs.embedding_input(F.col("breadcrumbs"), F.col("text")).alias("embedding_input"))
@@ -374,45 +393,134 @@ def escaped_view(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.html_escape(F.col("text")).alias("html"))
 
 
-@register(r"""WITH t AS (SELECT conv_id, turn, regexp_split_to_array(trim(text), ' +') AS w FROM conversations),
-o AS (SELECT conv_id, turn, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t)
-SELECT conv_id, turn, array_to_string(before[greatest(len(before) - 19, 1):], ' ') AS overlap FROM o""")
+_TOK = r"(?:[\p{L}\p{N}]+|[^\p{L}\p{N}\s])"
+_COUNT = f"len(regexp_extract_all(text, '{_TOK}'))::bigint"
+
+
+_WITH_SPACE = f"regexp_extract_all(text, '{_TOK}\\s*')"
+_BLANK = "chr(32) || chr(9) || chr(10)"
+
+
+def _tail_sql(text: str, n: int) -> str:
+    tokens = _WITH_SPACE.replace("text", text, 1)
+    return f"CASE WHEN len({tokens}) <= {n} THEN {text} ELSE rtrim(array_to_string(({tokens})[-{n}:], ''), {_BLANK}) END"
+
+
+def _windows_sql(n: int) -> str:
+    """List of the windows of n tokens of `text`."""
+    return f"list_transform(range(0, (len({_WITH_SPACE}) + {n - 1}) // {n}), lambda k: rtrim(array_to_string(({_WITH_SPACE})[k * {n} + 1 : k * {n} + {n}], ''), {_BLANK}))"
+
+
+@register(f"""WITH o AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+  CASE WHEN before IS NULL THEN text ELSE {_tail_sql("before", 20)} || chr(10) || chr(10) || text END AS text FROM o""")
 def overlap_lag(spark, sf):
-    c = table(spark, sf, "conversations").withColumn("w", F.split(F.trim("text"), " +"))
-    before = F.lag("w").over(W.partitionBy("conv_id").orderBy("turn"))
-    return c.withColumn("before", before).select("conv_id", "turn", F.array_join(X.last_n(F.col("before"), 20), " ").alias("overlap"))
+    """The chunker's overlap, over the turns of a conversation."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    return c.select("conv_id", F.posexplode(chunking.overlap_udf(20)("t")).alias("position", "text")).select("conv_id", F.col("position").cast("long").alias("position"), "text")
 
 
-@register(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]'))::bigint AS tokens FROM documents")
+@register(f"SELECT doc_id, {_COUNT} AS tokens, {_COUNT} AS in_plan FROM documents")
 def token_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", chunking.token_count(F.col("text")).cast("long").alias("tokens"))
+    """By the chunker, and in the form for a plan."""
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", chunking.count_udf()(text).alias("tokens"), chunking.token_count(text).cast("long").alias("in_plan"))
+
+
+def _pieces_sql(cut: str, glue: str, n: int, rows: str, whole: bool = True) -> str:
+    """CTEs ending in pieces(doc, piece, text): rows(doc, text) in parts by `cut`, greedily joined, long parts by punctuation and then by windows."""
 
+    def fold(name: str, parts: str) -> str:  # parts(doc, a, i, text, n), i from 1 for each (doc, a); the result has one row for each joined group
+        return f"""{name}_f(doc, a, i, text, n, g, fill) AS (SELECT doc, a, i, text, n, 1::bigint, n FROM {parts} WHERE i = 1 UNION ALL
+  SELECT p.doc, p.a, p.i, p.text, p.n, f.g + (f.fill + p.n > {n})::bigint, CASE WHEN f.fill + p.n > {n} THEN p.n ELSE f.fill + p.n END
+  FROM {name}_f f JOIN {parts} p ON p.doc = f.doc AND p.a = f.a AND p.i = f.i + 1)"""
 
-@register(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)
-SELECT doc_id, unnest(range(0, (len(w) + 63) // 64))::bigint AS piece, unnest([array_to_string(w[64 * i + 1 : 64 * i + 64], ' ') for i in range(0, (len(w) + 63) // 64)]) AS text FROM w""")
-def split_hard(spark, sf):
-    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    d = table(spark, sf, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0)
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") + 63) / 64).cast("int") - 1), lambda i: F.array_join(F.slice("w", i * 64 + 1, 64), " "))
-    return d.select("doc_id", F.posexplode(pieces).alias("piece", "text")).select("doc_id", F.col("piece").cast("long").alias("piece"), "text")
+    def numbered(parts: str, a: str) -> str:  # lists to rows, blank ones left out
+        kept = f"list_filter({parts}, lambda x: regexp_matches(x, '\\S'))"
+        return f"SELECT doc, {a} AS a, unnest({kept}) AS text, unnest(range(1, len({kept}) + 1)) AS i"
 
+    joined = lambda name, glue: f"SELECT doc, a, g, string_agg(text, {glue} ORDER BY i) AS text, sum(n) AS n, count(*) AS parts FROM {name}_f GROUP BY doc, a, g"
+    short = f"SELECT doc, 0::bigint AS a, 0::bigint AS b, 0::bigint AS c, text FROM r WHERE n <= {n} UNION ALL" if whole else ""
+    return f"""r AS (SELECT doc, text, {_COUNT} AS n FROM ({rows})),
+p1 AS (SELECT *, {_COUNT} AS n FROM ({numbered(cut, "0::bigint")} FROM r WHERE n > {n})), {fold("p1", "p1")}, g1 AS ({joined("p1", glue)}),
+p2 AS (SELECT *, {_COUNT} AS n FROM ({numbered("string_split(regexp_replace(text, '([.;:,])\\s+', '\\1' || chr(1), 'g'), chr(1))", "g")} FROM g1 WHERE n > {n})),
+{fold("p2", "p2")}, g2 AS ({joined("p2", "' '")}),
+h AS (SELECT doc, a, g, {_windows_sql(n)} AS w FROM g2 WHERE n > {n}),
+every AS ({short} SELECT doc, g, 0, 0, text FROM g1 WHERE n <= {n} UNION ALL SELECT doc, a, g, 0, text FROM g2 WHERE n <= {n}
+  UNION ALL SELECT doc, a, g, unnest(range(1, len(w) + 1)), unnest(w) FROM h),
+pieces AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY a, b, c) - 1 AS piece, text FROM every)"""
 
-def _split(kind: str, n: int = 64):
+
+_BY_LINE = r"list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
+_BY_SENTENCE = r"string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_TEXTS = "SELECT doc_id AS doc, text FROM documents WHERE text IS NOT NULL"
+
+
+def _split(kind: str, text="text", n: int = 64):
     def run(spark, sf):
-        pieces = table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.split_udf(kind, n)("text")).alias("piece", "text"))
+        pieces = table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.split_udf(kind, n)(text)).alias("piece", "text"))
         return pieces.select("doc_id", F.col("piece").cast("long").alias("piece"), "text")
 
     run.__name__ = f"split_{kind}"
     return run
 
 
-for _kind in ("paragraph", "list", "table"):
-    register()(_split(_kind))
+register(f"WITH RECURSIVE {_pieces_sql(_BY_SENTENCE, "' '", 64, _TEXTS)} SELECT doc AS doc_id, piece, text FROM pieces")(_split("paragraph"))
+register(f"WITH RECURSIVE {_pieces_sql(_BY_LINE, 'chr(10)', 64, _TEXTS)} SELECT doc AS doc_id, piece, text FROM pieces")(_split("list"))
+register(f"""WITH w AS (SELECT doc_id, text, {_windows_sql(64)} AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, unnest(range(0, greatest(len(w), 1)))::bigint AS piece, unnest(CASE WHEN len(w) = 0 THEN [text] ELSE w END) AS text FROM w""")(_split("hard"))
 
+#: A table made from each document: a head of two lines and 30 rows of words of its text.
+_ROWS = 30
 
-@register()
+
+def _table_text():
+    words = F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+")
+    word = lambda i: F.regexp_replace(F.coalesce(F.get(words, i), F.lit("")), r"[^\p{L}\p{N}]", "")
+    row = lambda i: F.concat(F.lit("| r"), i.cast("string"), F.lit(" "), word(i), F.lit(" | "), word(i + 1), F.lit(" x |"))
+    rows = F.transform(F.sequence(F.lit(1), F.lit(_ROWS)), row)
+    return F.concat(F.lit("| one | two |\n|:---|---:|\n"), F.array_join(rows, "\n"))
+
+
+_PER_PIECE = 64
+
+
+@register(rf"""WITH RECURSIVE t AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\s+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, {_ROWS + 1})) AS i, w FROM t),
+c AS (SELECT doc_id, i, '| r' || i || ' ' || regexp_replace(coalesce(w[i + 1], ''), '[^\p{{L}}\p{{N}}]', '', 'g') || ' | ' || regexp_replace(coalesce(w[i + 2], ''), '[^\p{{L}}\p{{N}}]', '', 'g') || ' x |' AS text FROM x),
+n AS (SELECT *, {_COUNT} AS n FROM c), f(doc_id, i, text, g, fill) AS (SELECT doc_id, i, text, 0::bigint, n FROM n WHERE i = 1 UNION ALL
+  SELECT n.doc_id, n.i, n.text, f.g + (f.fill + n.n > {_PER_PIECE} - 16)::bigint, CASE WHEN f.fill + n.n > {_PER_PIECE} - 16 THEN n.n ELSE f.fill + n.n END FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1)
+SELECT doc_id, g AS piece, '| one | two |' || chr(10) || '|:---|---:|' || chr(10) || string_agg(text, chr(10) ORDER BY i) AS text FROM f GROUP BY doc_id, g""")
+def split_table(spark, sf):
+    return _split("table", _table_text(), _PER_PIECE)(spark, sf)
+
+
+# -- parsers, over marked texts made from the documents' columns
+
+
+def _plain_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks without nulls: no level is 0, no language is empty."""
+    return blocks.select("id", "position", "type", "text", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("metadata.language", F.lit("")).alias("language"))
+
+
+_MARKED = "'# About ' || source || ' ##' || chr(10) || 'Word of ' || doc_id || chr(10) || '====' || chr(10) || chr(10) || 'first ' || n_chars || chr(10) || 'second' || chr(10) || '- a ' || doc_id || chr(10) || '  more' || chr(10) || '2. b' || chr(10) || chr(10) || '~~~py' || chr(10) || '# no heading ' || doc_id || chr(10) || '~~~' || chr(10) || '| x | y |' || chr(10) || '|---|---|' || chr(10) || '#### Deep' || chr(10) || coalesce(lang, 'none')"
+
+
+@register("""WITH d AS (SELECT doc_id AS id, source, n_chars, coalesce(lang, 'none') AS lang FROM documents)
+SELECT id, 0 AS position, 'heading' AS type, 'About ' || source AS text, 1 AS level, '' AS language FROM d
+UNION ALL SELECT id, 1, 'heading', 'Word of ' || id, 1, '' FROM d UNION ALL SELECT id, 2, 'paragraph', 'first ' || n_chars || chr(10) || 'second', 0, '' FROM d
+UNION ALL SELECT id, 3, 'list', '- a ' || id || chr(10) || '  more' || chr(10) || '2. b', 0, '' FROM d UNION ALL SELECT id, 4, 'code', '# no heading ' || id, 0, 'py' FROM d
+UNION ALL SELECT id, 5, 'paragraph', '| x | y |' || chr(10) || '|---|---|', 0, '' FROM d UNION ALL SELECT id, 6, 'heading', 'Deep', 4, '' FROM d UNION ALL SELECT id, 7, 'paragraph', lang, 0, '' FROM d""")
+def txt_blocks_marked(spark, sf):
+    text = F.expr(_MARKED.replace("chr(10)", "char(10)"))
+    b = parsers.blocks(table(spark, sf, "documents").select("doc_id", text.alias("text")), "doc_id", "text", "txt")
+    return _plain_blocks(b)
+
+
+@register(r"SELECT doc_id AS id, 0 AS position, 'paragraph' AS type, text, 0 AS level FROM documents WHERE regexp_matches(text, '\S')")
 def txt_blocks(spark, sf):
-    return parsers.blocks(table(spark, sf, "documents"), "doc_id", "text", "txt").drop("metadata")
+    return _plain_blocks(parsers.blocks(table(spark, sf, "documents"), "doc_id", "text", "txt")).drop("language")
 
 
 @register()
@@ -420,16 +528,35 @@ def html_blocks(spark, sf):
     return parsers.blocks(table(spark, sf, "pages"), "page_id", "html", "html").drop("metadata")
 
 
+_PAGE = "'<html><head><title>t</title></head><body><nav><p>menu</p></nav><h2>About &amp; ' || source || '</h2><div>bare<p>One <b>' || n_chars || '</b> word<p>Two</div><ul><li>a ' || doc_id || '<ol><li>b</li></ol></li><li>c</ul><table><tr><th>x<th>y<tr><td>' || doc_id || '<td>2</table><pre><code class=\"language-py\">a ' || doc_id || char(10) || ' b</code></pre><figcaption>Fig</figcaption><script>no()</script></body></html>'"
+
+
+@register("""WITH d AS (SELECT doc_id AS id, source, n_chars FROM documents)
+SELECT id, 0 AS position, 'heading' AS type, 'About & ' || source AS text, 2 AS level, '' AS language FROM d
+UNION ALL SELECT id, 1, 'paragraph', 'One ' || n_chars || ' word', 0, '' FROM d UNION ALL SELECT id, 2, 'paragraph', 'Two', 0, '' FROM d
+UNION ALL SELECT id, 3, 'list', '- a ' || id || chr(10) || '  - b' || chr(10) || '- c', 0, '' FROM d UNION ALL SELECT id, 4, 'table', 'x | y' || chr(10) || id || ' | 2', 0, '' FROM d
+UNION ALL SELECT id, 5, 'code', 'a ' || id || chr(10) || ' b', 0, 'py' FROM d UNION ALL SELECT id, 6, 'caption', 'Fig', 0, '' FROM d""")
+def html_blocks_marked(spark, sf):
+    b = parsers.blocks(table(spark, sf, "documents").select("doc_id", F.expr(_PAGE).alias("html")), "doc_id", "html", "html")
+    return _plain_blocks(b)
+
+
 @register(r"""SELECT page_id AS id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', ' ', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&amp;', '&')) AS text FROM pages WHERE regexp_matches(html, '<h1')""")
 def html_headings(spark, sf):
     b = parsers.blocks(table(spark, sf, "pages"), "page_id", "html", "html")
     return b.filter("type = 'heading' AND level = 1").select("id", "text")
 
 
-@register()
+_BODY = chunking.budget()[0]
+
+
+@register(rf"""WITH RECURSIVE {_pieces_sql(_BY_SENTENCE, "' '", _BODY, _TEXTS + r" AND regexp_matches(text, '\S')")},
+o AS (SELECT doc, piece, text AS own, lag(text) OVER (PARTITION BY doc ORDER BY piece) AS before FROM pieces),
+c AS (SELECT doc AS id, piece AS position, CASE WHEN before IS NULL THEN own ELSE {_tail_sql("before", 100)} || chr(10) || chr(10) || own END AS text FROM o)
+SELECT id, position, []::varchar[] AS breadcrumbs, text, {_COUNT} AS token_count, chr(10) || chr(10) || text AS embedding_input FROM c""")
 def chunk_documents(spark, sf):
     b = breadcrumbs.breadcrumbs(parsers.blocks(table(spark, sf, "documents"), "doc_id", "text", "txt"))
-    return chunking.chunks(b)
+    return chunking.chunks(b).withColumns({c: F.col(c).cast("long") for c in ("position", "token_count")})
 
 
 @register()
@@ -458,6 +585,54 @@ def crumbs_json(spark, sf):
     return d.withColumn("back", F.from_json("crumbs", T.ArrayType(T.StringType())))
 
 
+# -- from files to hits
+
+
+_LETTERS = "aeioutns"
+_FIND = "the of"
+
+
+def _letters(text):
+    """An embedder that SQL can say as well: how often some letters occur."""
+    low = F.lower(text)
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(ch), F.lit("")))).cast("double") for ch in _LETTERS])
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"(len(lower({text})) - len(replace(lower({text}), '{ch}', '')))::double" for ch in _LETTERS) + "]"
+
+
+@register(f"""WITH d AS (SELECT item_id, text, row_number() OVER (ORDER BY '/bench/' || item_id || '.md') AS document_id FROM benchmark),
+rows AS (SELECT document_id << 20 AS doc_id, document_id, item_id, 'Item ' || item_id AS crumb, text FROM d),
+f AS (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM ({_bm25_sql(X.query_phrases(_FIND), rows="rows")})),
+v AS (SELECT doc_id AS id, row_number() OVER (ORDER BY distance, doc_id) AS rank FROM (SELECT doc_id,
+  round(1 - list_cosine_similarity({_letters_sql("crumb || chr(10) || chr(10) || text")}, {_letters_sql(f"'{_FIND}'")}), 5) AS distance FROM rows)),
+b AS (SELECT coalesce(v.id, f.id) AS id, v.rank AS vr, f.rank AS fr, round(coalesce(1::double / (60 + v.rank), 0) + coalesce(1::double / (60 + f.rank), 0), 9) AS rrf
+  FROM v FULL OUTER JOIN f ON v.id = f.id),
+pool AS (SELECT id, row_number() OVER (ORDER BY rrf DESC, vr ASC NULLS LAST, fr ASC NULLS LAST) AS rrf_rank FROM b QUALIFY rrf_rank <= 50),
+s AS (SELECT pool.id AS chunk_id, document_id, item_id || '.md' AS document_name, '/bench/' || item_id || '.md' AS document_path,
+  {_lexical_sql(sorted(_FIND.split()))} AS score, text[1:320] AS snippet, [crumb] AS breadcrumbs, rrf_rank FROM pool JOIN rows ON rows.doc_id = pool.id)
+SELECT * EXCLUDE rrf_rank FROM s ORDER BY score DESC, rrf_rank LIMIT 20""")
+def index_then_search(spark, sf):
+    """Marked files of the benchmark items: parsed, chunked, embedded, stored, indexed, searched."""
+    b = table(spark, sf, "benchmark")
+    body = corpora.titled_text(F.concat(F.lit("Item "), F.col("item_id").cast("string")), F.col("text"))
+    files = b.select(F.concat(F.lit("/bench/"), F.col("item_id").cast("string"), F.lit(".md")).alias("path"), F.lit("txt").alias("kind"), F.lit(None).cast("binary").alias("content"), body.alias("text"))
+    path = f"{storage.shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    corpus, _ = indexing.index_files(files, path, embed=_letters)
+    return corpus.search(_FIND, embed=_letters)
+
+
+@register("SELECT p_partkey, printf('%.3f', p_retailprice) AS price FROM part")
+def fixed_decimals(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.fixed(F.col("p_retailprice")).alias("price"))
+
+
+@register(r"""SELECT doc_id::varchar AS name, '# ' || source || chr(10) || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents ORDER BY doc_id LIMIT 100""")
+def corpus_connector(spark, sf):
+    return corpora.connector(table(spark, sf, "documents"), 100, "doc_id", "source")
+
+
 # -- access, streams
 
 
@@ -476,13 +651,9 @@ def password_hash(spark, sf):
 @register("SELECT doc_id, true AS is_indexed FROM documents")
 def stream_threshold(spark, sf):
     """The documents table as a file stream through the threshold indexer."""
-    import tempfile
-    import uuid
-
     from docquarry.streaming import threshold
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docquarry-")
-    state = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    state = f"{storage.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType())])
     # a glob, since a stream takes no single file by its plain name
     threshold.run(spark, f"{sf}/documents.parque[t]", schema, state, 10).awaitTermination()

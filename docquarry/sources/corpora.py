@@ -19,9 +19,30 @@ def titled_text(title: Column, text: Column) -> Column:
     return F.when(t != "", F.concat(F.lit("# "), t, F.lit("\n\n"), body)).otherwise(body)
 
 
-def export(rows: DataFrame, path: str, text_col: str = "text") -> None:
-    """One text record a row, in as many files as the rows have partitions."""
-    rows.select(F.col(text_col).cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\u001e").text(path)
+def connector(rows: DataFrame, limit: int, id_col: str, title_col: str = "title", text_col: str = "text") -> DataFrame:
+    """(name, body): the first `limit` rows of a corpus table in order of id; a file's name is its row's id."""
+    return rows.orderBy(id_col).limit(limit).select(F.col(id_col).cast("string").alias("name"), titled_text(F.col(title_col), F.col(text_col)).alias("body"))
+
+
+def export(rows: DataFrame, folder: str, name_col: str = "name", text_col: str = "body", suffix: str = ".txt") -> int:
+    """One file a row, written by the executors; a row that is written again replaces its file.  Returns the number of files.
+
+    The folder is a local or mounted path that all executors share; characters of a name that part paths become underscores.
+    """
+    import os
+
+    def write(batches):
+        os.makedirs(folder, exist_ok=True)
+        for pdf in batches:
+            for name, body in zip(pdf["name"], pdf["body"]):
+                at = os.path.join(folder, "".join("_" if ch in "/\\:" else ch for ch in name) + suffix)
+                with open(f"{at}.draft", "w", encoding="utf-8", newline="") as f:
+                    f.write(body or "")
+                os.replace(f"{at}.draft", at)
+            yield pdf[["name"]]
+
+    plain = rows.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("body"))
+    return plain.mapInPandas(write, "name string").count()
 
 
 def cached(spark: SparkSession, path: str, limit: int, make: Callable[[], DataFrame], order: str = "document_path") -> DataFrame:

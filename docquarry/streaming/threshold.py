@@ -2,43 +2,55 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.sources import storage
 
-def run(spark: SparkSession, source: str, schema, state: str, threshold: int = 10, trigger: dict | None = None):
-    """Start a stream over Parquet files in `source`; the pending table and the index live below `state`.
 
-    Each micro-batch joins the pending documents as a whole.  With `threshold` or more pending all of them move to the index
-    in one step, otherwise they wait.  A batch writes a snapshot named by its id and then the name of that snapshot, so a
-    batch that runs again gives the same result.  trigger: availableNow=True by default, processingTime="..." for a clock.
-    """
+def run(spark: SparkSession, source: str, schema, state: str, threshold: int = 10, trigger: dict | None = None, index: Callable[[DataFrame, int], None] | None = None):
+    """Start a stream over Parquet files in `source`.
 
-    def path(batch: int) -> str:
-        return f"{state}/snapshot-{batch}"
+    A micro-batch writes its own rows, once, to `state`/arrived.  Then it counts the documents that wait, from the counts that the batch
+    before it noted; with `threshold` or more, all of them go to index(documents, batch) in one call and count as indexed.  What is
+    indexed is told by one number, the last batch that is, in a note that each batch leaves: no row is written again.  A batch that runs
+    again replaces its rows and calls index() again with the same ones, which must bear it.
+    trigger: availableNow=True by default, processingTime="..." for a clock.
+    """
 
     def step(df: DataFrame, batch: int) -> None:
-        fresh = df.withColumn("batch", F.lit(batch).cast("long"))
-        if batch:
-            before = spark.read.parquet(path(batch - 1))
-            all_ = before.unionByName(fresh.withColumn("is_indexed", F.lit(False)))
-        else:
-            all_ = fresh.withColumn("is_indexed", F.lit(False))
-        due = all_.agg(F.count_if(~F.col("is_indexed")) >= threshold).first()[0]
-        out = all_.withColumn("is_indexed", F.lit(True)) if due else all_
-        out.write.mode("overwrite").parquet(path(batch))
+        last = _note(spark, state, batch - 1) or {"indexed": -1, "waiting": {}}
+        df.write.mode("overwrite").parquet(f"{state}/arrived/batch={batch}")
+        waiting = last["waiting"] | {str(batch): spark.read.schema(schema).parquet(f"{state}/arrived/batch={batch}").count()}
+        before, done = sum(waiting.values()), last["indexed"]
+        if before >= threshold:
+            if index:
+                index(spark.read.schema(schema).parquet(*[f"{state}/arrived/batch={b}" for b in waiting]), batch)
+            waiting, done = {}, batch
+        after = sum(waiting.values())
+        note = {"indexed": done, "waiting": waiting, "indexed_now": not waiting, "pending_before": before, "pending_after": after, "reindexed_count": before - after}
+        storage.put(spark, f"{state}/notes/{batch}.json", json.dumps(note))
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _note(spark: SparkSession, state: str, batch: int) -> dict | None:
+    path = f"{state}/notes/{batch}.json"
+    return json.loads(storage.get(spark, path)) if batch >= 0 and storage.found(spark, path) else None
+
+
 def latest(spark: SparkSession, state: str) -> DataFrame:
-    """The newest snapshot: documents with is_indexed."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(state)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
-    names = [f.getPath().getName() for f in files]
-    last = max(int(n.split("-")[1]) for n in names if n.startswith("snapshot-"))
-    return spark.read.parquet(f"{state}/snapshot-{last}")
+    """All documents that have arrived, with their batch and is_indexed."""
+    notes = [int(n.removesuffix(".json")) for n in storage.names(spark, f"{state}/notes") if n.endswith(".json")]
+    if not notes:
+        raise FileNotFoundError(state)
+    done = _note(spark, state, max(notes))["indexed"]
+    rows = spark.read.parquet(f"{state}/arrived").filter(F.col("batch") <= max(notes))
+    return rows.withColumn("batch", F.col("batch").cast("long")).withColumn("is_indexed", F.col("batch") <= done)
 
 
 def with_delta(main: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:

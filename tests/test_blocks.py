@@ -98,6 +98,30 @@ def test_files(spark, tmp_path):
     assert [r.error for r in parsers.unsupported(spark, str(tmp_path)).collect()] == ["Unsupported file type: .odt"]
 
 
+def test_missing_and_broken_files(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        parsers.get_blocks(spark, str(tmp_path / "none"))
+    (tmp_path / "a.docx").write_bytes(b"PK broken")
+    (tmp_path / "b.txt").write_text("fine")
+    assert [r.text for r in parsers.get_blocks(spark, str(tmp_path)).collect()] == ["fine"]
+    assert [r.error.split(":")[0] for r in parsers.problems(spark, str(tmp_path)).collect()] == ["BadZipFile"]
+
+
+@pytest.mark.parametrize("line, want", [("# a #", (1, "a")), ("###### b", (6, "b")), ("####### c", None), ("#d", None), ("# #", (1, "#")), ("## e #f", (2, "e #f")), ("#\tg  ## ", (1, "g"))])
+def test_heading_lines(line, want):
+    assert parsers.atx(line) == want
+
+
+@pytest.mark.parametrize("line, want", [("- a", True), ("-a", False), ("  12. b", True), ("12) c", False), ("+ ", False), ("*", False), ("1.x", False), ("\t* d", True)])
+def test_item_lines(line, want):
+    assert parsers.item(line) is want
+
+
+@pytest.mark.parametrize("line, want", [("```py x", ("```", "py")), ("~~~~", ("~~~~", "")), ("``` py", ("```", "")), ("``", None), (" ```", None)])
+def test_fence_lines(line, want):
+    assert parsers.fence(line) == want
+
+
 def crumbs(rows):
     """Reference rule: a heading replaces its level and ends deeper ones."""
     out, live = [], {}
@@ -121,14 +145,14 @@ def test_breadcrumbs(spark):
 @pytest.mark.parametrize("kind", ["paragraph", "list", "table", "code"])
 def test_splits_fit_and_keep_text(kind):
     text = "\n".join(f"Sentence {i} has; several, parts: and more words." * (1 + i % 3) for i in range(30)) + "\n" + "w " * 200
-    parts = chunking.split_block(text, kind, 40)
-    assert all(chunking.count(p) <= 40 for p in parts)
+    parts = chunking.DEFAULT.split_block(text, kind, 40)
+    assert all(chunking.DEFAULT.count(p) <= 40 for p in parts)
     assert "".join("".join(parts).split()) == "".join(text.split())
 
 
 def test_table_header_repeats():
     rows = "| a | b |\n|---|---|\n" + "\n".join(f"| {i} | some cell text |" for i in range(30))
-    parts = chunking.split_rows(rows, 40)
+    parts = chunking.DEFAULT.split_rows(rows, 40)
     assert len(parts) > 2 and all(p.startswith("| a | b |\n|---|---|\n") for p in parts)
 
 
@@ -137,9 +161,9 @@ def test_chunks(spark):
     blocks = parsers.parse_txt(text)
     for b, c in zip(blocks, crumbs([(b["type"], b["level"], b["text"]) for b in blocks])):
         b["breadcrumbs"] = c
-    out = chunking.build_chunks(blocks)
+    out = chunking.DEFAULT.build_chunks(blocks)
     assert [c["position"] for c in out] == list(range(len(out)))
     assert out[-1]["text"].endswith("Alone") and out[-1]["breadcrumbs"] == ["T", "Alone"]
-    assert all(chunking.count(c["embedding_input"]) <= chunking.MODEL_MAX for c in out)
+    assert all(chunking.DEFAULT.count(c["embedding_input"]) <= chunking.MODEL_MAX for c in out)
     assert chunking.budget() == (338, 512)
-    assert chunking.build_chunks([{"type": "heading", "level": 1, "text": "h", "breadcrumbs": []}, {"type": "paragraph", "level": None, "text": " ", "breadcrumbs": []}]) == []
+    assert chunking.DEFAULT.build_chunks([{"type": "heading", "level": 1, "text": "h", "breadcrumbs": []}, {"type": "paragraph", "level": None, "text": " ", "breadcrumbs": []}]) == []

@@ -7,9 +7,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
-from docquarry.operators import access, fts, fusion, pdf_spans, search, store, vectors
+from docquarry.operators import access, chunking, fts, fusion, indexing, pdf_spans, search, store, vectors
 from docquarry.plans import catalog, schemas
-from docquarry.sources import corpora
+from docquarry.sources import corpora, parsers
 from docquarry.streaming import threshold
 
 TEXTS = ["the cat sat on the mat", "cats and dogs", "élan vital: the CAT's élan", "don't stop", "do not stop the cat", "", "dog dog dog cat", "the the the"]
@@ -151,6 +151,16 @@ def test_threshold_stream(spark, tmp_path):
     assert threshold.latest(spark, str(tmp_path / "st")).filter("is_indexed").count() == 11
 
 
+def test_threshold_hands_over_pending(spark, tmp_path):
+    src, calls = str(tmp_path / "in"), []
+    for lo, hi in ((0, 6), (6, 11), (11, 13)):
+        spark.range(lo, hi).coalesce(1).write.mode("append").parquet(src)
+        threshold.run(spark, src, spark.range(1).schema, str(tmp_path / "st"), 10, index=lambda df, b: calls.append(sorted(r.id for r in df.collect()))).awaitTermination()
+    assert calls == [list(range(11))]
+    rows = threshold.latest(spark, str(tmp_path / "st"))
+    assert rows.count() == 13 and rows.filter("is_indexed").count() == 11
+
+
 def test_delta(spark):
     main, delta = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string"), spark.createDataFrame([(2, "c")], "id long, x string")
     assert sorted(map(tuple, threshold.with_delta(main, delta).collect())) == [(1, "a"), (2, "c")]
@@ -184,3 +194,123 @@ def test_cached_corpus(spark, tmp_path):
     for _ in range(2):
         assert [r.document_path for r in corpora.cached(spark, str(tmp_path / "c"), 3, make).collect()] == ["/0", "/1", "/2"]
     assert len(made) == 1
+
+
+def test_new_ids(spark):
+    """A document that is registered again has an id that nothing ever had."""
+    s = make_store(spark)
+    paths = spark.createDataFrame([("/a", "x")], "document_path string, name string")
+    one = s.register(paths)
+    two = one.register(paths)
+    ids = [t.documents.filter("document_path = '/a'").first().id for t in (s, one, two)]
+    assert len(set(ids)) == 3 and ids[1] > 2
+
+
+def test_document_without_chunks_is_indexed(spark):
+    s = make_store(spark)
+    done = s.put_chunks(s.chunks.limit(0), s.vectors.limit(0), spark.createDataFrame([(2,)], "id long"))
+    assert [r.document_id for r in done.chunks.collect()] == [1] and done.documents.filter("is_indexed").count() == 2
+
+
+def test_snapshots(spark, tmp_path):
+    path = str(tmp_path / "s")
+    with pytest.raises(FileNotFoundError):
+        store.Store.read(spark, path)
+    s = make_store(spark).write(path)
+    more = s.register(spark.createDataFrame([("/c", "c")], "document_path string, name string")).write(path)  # reads the first, writes the second
+    assert (s.documents.count(), more.documents.count(), store.Store.read(spark, path).documents.count()) == (2, 3, 3)
+    (tmp_path / "s" / "snapshot-3").mkdir()  # a writer that died
+    assert store.Store.read(spark, path).documents.count() == 3
+    assert more.write(path).documents.count() == 3
+    store.Store.vacuum(spark, path, 1)
+    assert store.Store.read(spark, path).documents.count() == 3 and not (tmp_path / "s" / "snapshot-1").exists()
+
+
+@pytest.mark.parametrize("per_range", [7, 1000])
+def test_numbering_and_batches_over_ranges(spark, per_range):
+    import random
+
+    rng = random.Random(4)
+    ids = rng.sample(range(1000), 150)
+    sizes = {i: rng.choice([0, 1, 5, 30, 99, 100, 101, 250]) for i in ids}
+    d = spark.createDataFrame(sorted(sizes.items(), key=lambda x: rng.random()), "doc_id long, chunks long")
+    assert [r.place for r in store.numbered(d, "doc_id", per_range=per_range).orderBy("doc_id").collect()] == list(range(150))
+    names = d.select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("n"))
+    assert [r.n for r in store.numbered(names, "n", per_range=per_range).orderBy("place").collect()] == sorted(f"n{i}" for i in ids)
+    want, batch, fill = {}, 0, 0
+    for i in sorted(ids):
+        if fill > 0 and fill + sizes[i] > 100:
+            batch, fill = batch + 1, 0
+        fill += sizes[i]
+        want[i] = batch
+    assert {r.doc_id: r.batch for r in store.batches_by_document(d, 100, per_range=per_range).collect()} == want
+
+
+def test_upload(spark, tmp_path):
+    files = lambda rows: spark.createDataFrame(rows, "path string, content binary")
+    good = ("/x/a.txt", bytearray(b"one"))
+    for bad in ([good, ("/x/b.exe", bytearray(b"z"))], [good, ("/x/b.txt", bytearray(b""))], [(f"/x/{i}.txt", bytearray(b"z")) for i in range(11)]):
+        with pytest.raises(ValueError):
+            store.upload(files(bad), str(tmp_path / "up"))
+        assert not (tmp_path / "up").exists()
+    store.upload(files([good]), str(tmp_path / "up"))
+    assert (tmp_path / "up" / "a.txt").read_bytes() == b"one"
+
+
+def test_stored_index(spark, index, tmp_path):
+    kept = index.write(str(tmp_path / "i"), buckets=8)
+    for query in ("the cat", "don't", "absent", "!!!"):
+        assert fts.bm25(kept, query).collect() == fts.bm25(index, query).collect()
+    plan = kept.of(["cat"])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "IN" not in plan.split("PartitionFilters")[1].split("\n")[0]
+    again = fts.refresh_index(kept, spark.createDataFrame([Row(id=0, text="zebra")]), spark.createDataFrame([Row(id=1)]))
+    assert [r.id for r in fts.bm25(again, "zebra").collect()] == [0] and fts.bm25(again, "cats").count() == 0
+
+
+def test_search_without_index(spark, index, tmp_path):
+    import shutil
+
+    kept = index.write(str(tmp_path / "i"))
+    shutil.rmtree(tmp_path / "i" / "postings")
+    assert fts.bm25_or_none(kept, "cat").count() == 0
+
+
+def test_index_folder(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.md").write_text("# Ponds\n\nStill water warms in the sun.\n")
+    (src / "b.html").write_text("<body><h1>Rivers</h1><p>Running water is cold.</p></body>")
+    (src / "c.docx").write_bytes(b"not a zip file")
+    (src / "d.odt").write_text("x")
+    (src / "e.txt").write_text(" \n")
+    corpus, errors = indexing.index_folder(spark, str(src), out)
+    assert {r.document_path.rsplit("/", 1)[1]: r.error.split(":")[0] for r in errors.collect()} == {"c.docx": "BadZipFile", "d.odt": "Unsupported file type"}
+    s = corpus.store
+    assert {r.name: r.is_indexed for r in s.documents.collect()} == {"a.md": True, "b.html": True, "c.docx": False, "d.odt": False, "e.txt": True}
+    assert s.chunks.count() == s.vectors.count() == 2
+    schemas.verify_schema(s.chunks, schemas.CHUNKS), schemas.verify_schema(s.vectors, schemas.VECTORS)
+    hits = indexing.Corpus.read(spark, out).search("still water").collect()
+    assert hits[0].document_name == "a.md" and hits[0].breadcrumbs == ["Ponds"] and len(hits) == 2
+    assert corpus.search("  ").count() == 0
+    # a file that changes is registered anew; its old chunk can not be found any more
+    (src / "a.md").write_text("# Ponds\n\nFrogs croak.\n")
+    new, _ = indexing.index_files(parsers.read_files(spark, str(src / "a.md")), out, s)
+    assert fts.bm25(new.index, "sun").count() == 0 and fts.bm25(new.index, "frogs").count() == 1 and fts.bm25(new.index, "cold").count() == 1
+    assert new.store.documents.count() == 5 and new.store.chunks.count() == 2
+
+
+def test_tokenizer_and_sentence_hooks():
+    letters = chunking.Chunker(spans=lambda t: [(i, i + 1) for i, ch in enumerate(t) if ch != " "], sentences=lambda t: t.split("/"))
+    assert letters.count("ab cd") == 4 and letters.split_block("abcde/fg/hij", "paragraph", 5) == ["abcde", "fg hij"]
+    assert letters.split_hard("abcde", 2) == ["ab", "cd", "e"] and letters.overlapped(["abcd", "ef"], 2) == ["abcd", "cd\n\nef"]
+
+
+def test_connector_and_export(spark, tmp_path):
+    rows = spark.createDataFrame([("b", " T ", " x "), ("a", None, "y"), ("c", "", "z")], "_id string, title string, text string")
+    assert corpora.export(corpora.connector(rows, 2, "_id"), str(tmp_path / "o")) == 2
+    assert {p.name: p.read_text() for p in (tmp_path / "o").iterdir()} == {"a.txt": "y", "b.txt": "# T\n\nx"}
+
+
+def test_unit_vectors(spark):
+    v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(vectors.normalise(F.col("v")).alias("u"))
+    assert [r.u for r in v.collect()] == [[0.6, 0.8], [0.0, 0.0]]
