@@ -212,6 +212,12 @@ def _index(spark, sf) -> fts.Index:
     return fts.Index.read(spark, storage.get(spark, f"{path}/COMPLETE"))
 
 
+@register(f"""WITH x AS (SELECT doc_id, unnest({_TOKENS_SQL}) AS token, unnest(range(0, len({_TOKENS_SQL})))::int AS pos, len({_TOKENS_SQL})::bigint AS dl FROM documents)
+SELECT doc_id AS id, token, list(pos ORDER BY pos) AS positions, dl FROM x GROUP BY doc_id, token, dl""")
+def fts_postings(spark, sf):
+    return _index(spark, sf).postings.select("id", "token", "positions", "dl")
+
+
 @register(f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS_SQL}) AS token FROM documents) GROUP BY token")
 def fts_df(spark, sf):
     return fts.document_frequency(_index(spark, sf))
