@@ -302,7 +302,7 @@ def chosen_paths(reps: DataFrame, *, k: int, trees: int, node_size: int, depth:
                 break
             rows = large.select("node", "rep").join(sketch, "rep").select("node", "rep", "sketch")
     pairs = blocked(made.select("node", "rep"), "node", F.lit(1), block).join(sketch, "rep")
-    return _by_key(pairs, ["node", "i", "j", "rep", "sketch"], compare).distinct()
+    return _by_key(pairs, ["node", "i", "j", "rep", "sketch"], compare)
 
 
 def near_duplicates(
