@@ -16,6 +16,9 @@ MODULES = {
     "op8_decontamination": "decontaminate",
     "op9_sharding": "sharding",
     "op10_quality": "quality",
+    "op11_whitening": "whitening",
+    "op12_neighbours": "neighbours",
+    "op13_prefix_trie": "prefixtrie",
 }
 
 
