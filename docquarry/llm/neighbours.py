@@ -93,7 +93,7 @@ def fit(entries: DataFrame, n: int, length: int) -> Lists:
     rng = np.random.default_rng(SEED)
     rotation = np.linalg.qr(rng.standard_normal((length + 1, length + 1)))[0]
     out = Lists(longest, np.empty((0, length + 1)), rotation)
-    x = out.lifted(_sampled(entries, n, FIT_ROWS, 1)) if n > ENTRIES else out.lifted(np.array([r[0] for r in entries.select("vector").collect()], float))
+    x = out.lifted(_sampled(entries, n, FIT_ROWS, 1))
     lists = max(1, min(int(n**0.5), MOST_LISTS, len(x)))
     centres = x[rng.choice(len(x), lists, replace=False)]
     for _ in range(10):

@@ -172,3 +172,38 @@ def trie(conversations: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH turn AS (
+  SELECT conv_id, turn AS number, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+         strlen(coalesce(text, ''))::BIGINT AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'x': x, 'n': n} ORDER BY number NULLS FIRST, x) AS s FROM turn GROUP BY conv_id
+), bits AS (
+  SELECT conv_id, s, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: list_transform(range(0, 8), lambda i: (ord(c)::BIGINT >> i) & 1))) AS b FROM own
+), shared AS (
+  SELECT conv_id, s, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda a, i: xor(a >> 1, 3988292384 * (xor(a, i) & 1))), 4294967295::BIGINT) % 9 AS h FROM bits
+), conv AS (
+  SELECT c.conv_id, list_concat(coalesce(list_slice(f.s, 1, c.h), []), list_slice(c.s, c.h + 1, len(c.s))) AS s
+  FROM shared c LEFT JOIN own f ON f.conv_id = c.conv_id - c.conv_id % 5
+), member AS (
+  SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM conv
+), node AS (
+  SELECT d, list_slice(s, 1, d) AS p, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = len(s)), '')) AS ends_sha256
+  FROM member GROUP BY d, list_slice(s, 1, d)
+), children AS (
+  SELECT d - 1 AS d, list_slice(p, 1, d - 1) AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL
+), own_sums AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN n.d > 0 THEN (n.n_convs - 1) * n.p[n.d].n ELSE 0 END AS saved
+  FROM node n LEFT JOIN children c ON c.d = n.d AND c.p = n.p
+), up AS (
+  SELECT p, n_children, saved, unnest(range(0, d + 1)) AS a FROM own_sums
+), sums AS (
+  SELECT a AS d, list_slice(p, 1, a) AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY ALL
+)
+SELECT o.conv_id, o.d::BIGINT AS depth, q.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens, o.ends_sha256
+FROM own_sums o JOIN sums s ON s.d = o.d AND s.p = o.p LEFT JOIN node q ON q.d = o.d - 1 AND q.p = list_slice(o.p, 1, o.d - 1)
+"""
