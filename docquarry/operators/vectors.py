@@ -1,4 +1,4 @@
-"""Vector search: exact cosine top-k, batch top-k, an inverted-file index, and a hashed embedder."""
+"""Vector search: exact cosine top-k, batch top-k, and a hashed embedder."""
 
 from __future__ import annotations
 
@@ -52,11 +52,6 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     Larger query sets are taken in blocks.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), doubles(F.col(vector_col)).alias("v"))
-    return _by_blocks(v, queries, k, id_col, vector_col, most_bytes)
-
-
-def _by_blocks(v: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, most_bytes: int, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
-    """The k nearest rows of v(id, v); with centres v has a cell too, and a query sees the rows of its `probes` nearest cells."""
     q = queries.select(F.col(id_col).cast("long").alias("query_id"), doubles(F.col(vector_col)).alias("q"))
     spark = v.sparkSession
     n, dim = q.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
@@ -69,8 +64,7 @@ def _by_blocks(v: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col
             continue
         m = np.array([r[1] for r in rows], float)
         m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        cells = None if centres is None else nearest_cells(m, centres)[:, :probes]
-        sent = spark.sparkContext.broadcast((ids, m, cells))
+        sent = spark.sparkContext.broadcast((ids, m))
         part = v.mapInPandas(_nearest(sent, k), "query_id long, id long, distance double")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -94,71 +88,19 @@ def _nearest(sent, k: int):
             yield pd.DataFrame({"query_id": ids[i], "id": own[near], "distance": row[near]})
 
     def run(batches):
-        ids, q, cells = sent.value
+        ids, q = sent.value
         for pdf in batches:
             if not len(pdf) or not len(ids):
                 continue
             x = np.stack(pdf["v"].to_numpy())
             length = np.linalg.norm(x, axis=1)
             ok = length > 0
-            x, own = x[ok] / length[ok, None], pdf["id"].to_numpy()[ok]
-            if cells is None:
-                if len(x):
-                    yield from ranked(ids, q, own, x)
-                continue
-            cell = pdf["cell"].to_numpy()[ok]
-            for c in np.unique(cell).tolist():
-                asks, there = (cells == c).any(axis=1), cell == c
-                yield from ranked(ids[asks], q[asks], own[there], x[there])
+            if ok.any():
+                yield from ranked(ids, q, pdf["id"].to_numpy()[ok], x[ok] / length[ok, None])
 
     return run
 
 
-class InvertedFile:
-    """k-means cells; a query reads the `probes` nearest cells only, so a table partitioned by cell is pruned."""
-
-    def __init__(self, cells: DataFrame, centres: np.ndarray):
-        self.cells, self.centres = cells, centres
-
-    @classmethod
-    def build(cls, vectors: DataFrame, n: int = 16, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", minimum: int = 256):
-        """None if there are fewer than `minimum` rows: search is exact then."""
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        if vectors.count() < minimum:
-            return None
-        unit = normalise(doubles(F.col(vector_col)))
-        rows = vectors.select(F.col(id_col).alias(id_col), F.col(vector_col), array_to_vector(unit).alias("unit"))
-        model = KMeans(k=n, seed=seed, featuresCol="unit", predictionCol="cell", maxIter=10).fit(rows)
-        return cls(model.transform(rows).select(id_col, vector_col, "cell"), np.array(model.clusterCenters()))
-
-    def search(self, query: list[float], k: int = 200, probes: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-        q = np.array(query) / (np.linalg.norm(query) or 1)
-        near = np.argsort(((self.centres - q) ** 2).sum(1))[:probes].tolist()
-        return knn(self.cells.filter(F.col("cell").isin(near)), query, k, id_col, vector_col)
-
-    def probes_for(self, k: int, recall: float = 0.9, margin: float = 0.03, queries: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
-        """The fewest cells to read for this recall at k and a margin, measured on rows of the table as queries against exact search."""
-        asked = self.cells.select(id_col, vector_col).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(queries).persist()
-        unit = {r[0]: np.array(r[1], float) for r in asked.collect()}
-        unit = {i: x / np.linalg.norm(x) for i, x in unit.items() if i is not None and x.any()}
-        true = knn_batch(self.cells, asked, k, id_col, vector_col).select("query_id", "id")
-        found = true.join(self.cells.select(F.col(id_col).alias("id"), "cell"), "id").collect()
-        asked.unpersist()
-        place = {i: np.argsort(nearest_cells(x[None], self.centres)[0]) for i, x in unit.items()}
-        at = np.array([place[r["query_id"]][r["cell"]] for r in found if r["query_id"] in place], np.int64)
-        if not len(at):
-            return len(self.centres)
-        share = np.cumsum(np.bincount(at, minlength=len(self.centres))) / len(at)
-        return min(int(np.searchsorted(share, min(1.0, recall + margin))) + 1, len(self.centres))
-
-    def search_batch(self, queries: DataFrame, k: int = 10, probes: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", most_bytes: int = 64 << 20) -> DataFrame:
-        """(query_id, id, distance, rank) as by knn_batch, of the rows in the `probes` nearest cells of each query."""
-        v = self.cells.select(F.col(id_col).cast("long").alias("id"), doubles(F.col(vector_col)).alias("v"), "cell")
-        return _by_blocks(v, queries, k, id_col, vector_col, most_bytes, self.centres, probes)
-
-
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Deterministic bag of tokens: each token adds 1 or -1 at a hashed place; unit length."""
     t = X.tokens(text)

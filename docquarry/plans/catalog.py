@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from docquarry.functions import text as X
-from docquarry.operators import access, breadcrumbs, chunking, fts, fusion, indexing, pdf_spans, search, store, vectors
+from docquarry.operators import access, ann, breadcrumbs, chunking, fts, fusion, indexing, pdf_spans, search, store, vectors
 from docquarry.sources import corpora, parsers, storage
 
 QUERY_WORDS, QUERY_ONE, QUERY_PHRASE, QUERY_TWICE = "the and", "worthless", "of-the", "that that"
@@ -200,16 +200,21 @@ def fts_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "token")).select("doc_id", "token", F.col("pos").cast("long").alias("pos"))
 
 
-def _index(spark, sf) -> fts.Index:
-    """The stored index of the documents table: built by the first query that needs it, read by all that follow in this application."""
-    source = f"{sf}/documents.parquet"
+def _stored(spark, source: str, kind: str, make) -> str:
+    """The folder of what make(folder) wrote for a source: made by the first query that needs it, read by all that follow in this application."""
     name = hashlib.sha256(f"{spark.sparkContext.applicationId} {source} {storage.version(spark, source)}".encode()).hexdigest()[:24]
-    path = f"{storage.shared_dir(spark)}/fts-{name}"
+    path = f"{storage.shared_dir(spark)}/{kind}-{name}"
     if not storage.found(spark, f"{path}/COMPLETE"):
         draft = f"{path}/{uuid.uuid4().hex}"
-        fts.build_index(table(spark, sf, "documents"), "doc_id", "text").write(draft)
+        make(draft)
         storage.put(spark, f"{path}/COMPLETE", draft)
-    return fts.Index.read(spark, storage.get(spark, f"{path}/COMPLETE"))
+    return storage.get(spark, f"{path}/COMPLETE")
+
+
+def _index(spark, sf) -> fts.Index:
+    """The stored index of the documents table."""
+    path = _stored(spark, f"{sf}/documents.parquet", "fts", lambda at: fts.build_index(table(spark, sf, "documents"), "doc_id", "text").write(at))
+    return fts.Index.read(spark, path)
 
 
 @register(f"""WITH x AS (SELECT doc_id, unnest({_TOKENS_SQL}) AS token, unnest(range(0, len({_TOKENS_SQL})))::int AS pos, len({_TOKENS_SQL})::bigint AS dl FROM documents)
@@ -292,10 +297,28 @@ def vector_norms(spark, sf):
 
 @register()
 def knn_ivf(spark, sf):
+    """Approximate search in the stored index; every id divisible by 100 is asked."""
     v = table(spark, sf, "embeddings")
     queries = v.filter("vec_id % 100 = 0")
-    index = vectors.InvertedFile.build(v)
-    return index.search_batch(queries, 50, index.probes_for(50)) if index else vectors.knn_batch(v, queries, 50)
+    path = _stored(spark, f"{sf}/embeddings.parquet", "ann", lambda at: ann.VectorIndex.build(v, at))
+    if not storage.found(spark, f"{path}/model.json"):
+        return vectors.knn_batch(v, queries, 50)  # too few rows for an index
+    return ann.VectorIndex.read(spark, path).search_batch(queries, 50)
+
+
+@register("""WITH live AS (SELECT * FROM embeddings WHERE vec_id % 7 <> 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(1 - list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 5) AS distance
+  FROM embeddings q, live v WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) SELECT query_id, rank, distance FROM r WHERE rank <= 10""")
+def ann_after_changes(spark, sf):
+    """The stored index after an addition and a removal, all cells and rows walked, so that it must find what exact search does."""
+    v = table(spark, sf, "embeddings")
+    path = f"{storage.shared_dir(spark)}/ann-{uuid.uuid4().hex}"
+    index = ann.VectorIndex.build(v.filter("vec_id % 2 = 0 OR vec_id < 300"), path)
+    index.add(v.filter("vec_id % 2 <> 0 AND vec_id >= 300"))
+    index.remove(v.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("id")))
+    found = index.search_batch(v.filter("vec_id % 100 = 0"), 10, probes=len(index.centres), width=ann.PART_ROWS)
+    return found.select("query_id", "rank", F.round("distance", 5).alias("distance"))
 
 
 @register()
