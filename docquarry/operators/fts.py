@@ -11,6 +11,7 @@ import logging
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -69,10 +70,26 @@ def totals(lengths: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Index:
-    t = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t").cast("long"))
-    words = t.select("id", "dl", F.posexplode("t").alias("pos", "token"))
-    postings = words.groupBy("id", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("dl").alias("dl"))
-    return Index(postings, t.select("id", "dl"))
+    """Postings are made row by row, as a document is one row: no token is shuffled before it is stored."""
+    t = docs.select(F.col(id_col).cast("long").alias("id"), X.tokens(F.col(text_col)).alias("t"))
+    return Index(t.mapInPandas(_postings, "id long, token string, positions array<int>, dl long"), t.select("id", F.size("t").cast("long").alias("dl")))
+
+
+def _postings(batches, most: int = 100_000):
+    columns = ("id", "token", "positions", "dl")
+    out: tuple = ([], [], [], [])
+    for pdf in batches:
+        for id_, tokens in zip(pdf["id"], pdf["t"]):
+            at: dict = {}
+            for i, token in enumerate(tokens):
+                at.setdefault(token, []).append(i)
+            for column, values in zip(out, ([id_] * len(at), at, at.values(), [len(tokens)] * len(at))):
+                column.extend(values)
+            if len(out[0]) >= most:
+                yield pd.DataFrame(dict(zip(columns, out)))
+                out = ([], [], [], [])
+    if out[0]:
+        yield pd.DataFrame(dict(zip(columns, out)))
 
 
 def refresh_index(index: Index, changed: DataFrame, removed: DataFrame) -> Index:

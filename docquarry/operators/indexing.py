@@ -1,7 +1,8 @@
-"""From files to a searchable corpus in one call: blocks, breadcrumbs, chunks, ids, vectors, store and full-text index."""
+"""From files to a searchable corpus in one call: blocks, breadcrumbs, chunks, ids, vectors, segments with their full-text index."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,17 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import breadcrumbs, chunking, fts, search, store, vectors
+from docquarry.operators.segments import Segments
 from docquarry.plans import schemas
-from docquarry.sources import parsers, storage
+from docquarry.sources import parsers
 from docquarry.sources.corpora import Config
 
 Embedder = Callable[[Column], Column]  # text -> array of numbers; may wrap a pandas UDF around a model
 
 
-def empty_store(spark: SparkSession) -> store.Store:
-    return store.Store(*[spark.createDataFrame([], s) for s in (schemas.DOCUMENTS, schemas.CHUNKS, schemas.VECTORS)])
-
-
 def chunk_blocks(blocks: DataFrame, config: Config, chunker: chunking.Chunker = chunking.DEFAULT) -> DataFrame:
     """Rows of the chunk table, and their embedding_input, of blocks(id, position, type, text, level): id is the document's."""
     c = chunking.chunks(breadcrumbs.breadcrumbs(blocks), "id", config.chunk_tokens, config.overlap_tokens, chunker)
@@ -35,38 +33,51 @@ def embed_chunks(chunks: DataFrame, embed: Embedder, column: str = "embedding_in
 
 @dataclass
 class Corpus:
-    """A store with its full-text index, below one folder."""
+    """One state of a stored corpus: documents, chunks, vectors and full-text index of the same manifest."""
 
-    store: store.Store
-    index: fts.Index
-    path: str
+    segments: Segments
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> "Corpus":
-        s = store.Store.read(spark, f"{path}/store")
-        last = max(int(n.removeprefix("index-")) for n in storage.names(spark, path) if n.startswith("index-") and storage.found(spark, f"{path}/{n}/COMPLETE"))
-        return cls(s, fts.Index.read(spark, f"{path}/index-{last}"), path)
+    def read(cls, spark: SparkSession, path: str, version: int | None = None) -> "Corpus":
+        """The newest state, or an earlier one; FileNotFoundError where there is none."""
+        s = Segments.open(spark, path, version)
+        if not s.head.version:
+            raise FileNotFoundError(path)
+        return cls(s)
+
+    @property
+    def store(self) -> store.Store:
+        return self.segments.store
+
+    @property
+    def index(self) -> fts.Index:
+        return self.segments.index
+
+    @property
+    def path(self) -> str:
+        return self.segments.path
 
     def search(self, query: str, top_k: int = 20, retrieval_k: int = 200, embed: Embedder = vectors.hashed_embedding, scorer=None) -> DataFrame:
         """Hits for a text alone: it is embedded as the chunks were."""
-        spark = self.store.documents.sparkSession
+        s = self.store
         blank = not (query or "").strip()
-        vector = [] if blank else spark.range(1).select(vectors.doubles(embed(F.lit(query)))).first()[0]
-        return search.search(query, vector, self.index, self.store.vectors, self.store.chunks, self.store.documents, top_k, retrieval_k, scorer)
+        vector = [] if blank else self.segments.spark.range(1).select(vectors.doubles(embed(F.lit(query)))).first()[0]
+        return search.search(query, vector, self.index, s.vectors, s.chunks, s.documents, top_k, retrieval_k, scorer)
 
 
 def index_pending(
-    s: store.Store, parsed: DataFrame, path: str, config: Config | None = None, embed: Embedder = vectors.hashed_embedding, chunker: chunking.Chunker = chunking.DEFAULT
+    corpus: Corpus, parsed: DataFrame, config: Config | None = None, embed: Embedder = vectors.hashed_embedding, chunker: chunking.Chunker = chunking.DEFAULT
 ) -> tuple[Corpus, DataFrame]:
-    """(corpus, errors): all pending documents of the store are chunked, embedded, stored and put into the index below `path`.
+    """(corpus, errors): all pending documents are chunked, embedded and put into the corpus as one segment.
 
     parsed(document_path, blocks, error), as by parsers.parse_files.  Documents with an error, or without a parsed row, stay pending and are
-    told in errors(document_path, error); a document without text counts as indexed and has no chunks.  Each table is written once: the
-    chunks are made, then read again for the vectors and the postings.
+    told in errors(document_path, error); a document without text counts as indexed and has no chunks.  What is written is what the new chunks
+    need; neighbouring small segments are merged from time to time.
     """
-    spark, config = s.documents.sparkSession, config or Config()
+    s, config = corpus.segments, config or Config()
+    spark = s.spark
     due = store.pending(s.documents).select("id", "document_path").join(parsed.select("document_path", "blocks", "error"), "document_path", "left")
-    made = f"{path}/parsed-{1 + max([int(n.removeprefix('parsed-')) for n in storage.names(spark, path) if n.startswith('parsed-')], default=0)}"
+    made = f"{s.path}/parsed/{uuid.uuid4().hex}"
     due.write.parquet(f"{made}/blocks")
     due = spark.read.parquet(f"{made}/blocks")
     fine = due.filter("error IS NULL AND blocks IS NOT NULL")
@@ -74,36 +85,43 @@ def index_pending(
     rows = fine.select("id", F.explode("blocks").alias("b")).select("id", "b.*")
     chunk_blocks(rows, config, chunker).write.parquet(f"{made}/chunks")
     new = spark.read.parquet(f"{made}/chunks")
-    table = new.select(*[f.name for f in schemas.CHUNKS])
-    out = s.put_chunks(table, embed_chunks(new, embed), fine.select("id")).write(f"{path}/store")
-    number = 1 + max([int(n.removeprefix("index-")) for n in storage.names(spark, path) if n.startswith("index-")], default=0)
-    index = _refreshed(spark, path, out, number)
-    storage.put(spark, f"{path}/index-{number}/COMPLETE", "")
-    return Corpus(out, index, path), errors
+    if not fine.isEmpty():
+        s = s.put_chunks(new.select(*[f.name for f in schemas.CHUNKS]), embed_chunks(new, embed), fine.select("id")).merge()
+    return Corpus(s), errors
 
 
-def _refreshed(spark: SparkSession, path: str, s: store.Store, number: int) -> fts.Index:
-    """The index of the store's chunks, stored: postings of chunks that the last index has are taken over, only new chunks are tokenised.
+def index_files(files: DataFrame, path: str, config: Config | None = None, embed: Embedder = vectors.hashed_embedding, chunker: chunking.Chunker = chunking.DEFAULT) -> tuple[Corpus, DataFrame]:
+    """(corpus, errors): register files(path, kind, content, text), as by parsers.read_files, in the corpus below path and index what is pending."""
+    s = Segments.open(files.sparkSession, path).register(_registered(files))
+    return index_pending(Corpus(s), _parsed(files), config, embed, chunker)
 
-    An id stands for one text as long as its document's id does, and a document that is registered again has a new id.
-    """
-    live = s.chunks.select("id")
-    done = [n for n in range(1, number) if storage.found(spark, f"{path}/index-{n}/COMPLETE")]
-    if not done:
-        return fts.build_index(s.chunks, "id", "raw_text").write(f"{path}/index-{number}")
-    old = fts.Index.read(spark, f"{path}/index-{max(done)}")
-    changed = s.chunks.join(old.lengths.select("id"), "id", "left_anti").select("id", F.col("raw_text").alias("text"))
-    return fts.refresh_index(old, changed, old.lengths.select("id").join(live, "id", "left_anti")).write(f"{path}/index-{number}")
 
+def _registered(files: DataFrame) -> DataFrame:
+    return files.select(F.col("path").alias("document_path"), F.substring_index("path", "/", -1).alias("name"))
 
-def index_files(files: DataFrame, path: str, s: store.Store | None = None, config: Config | None = None, embed: Embedder = vectors.hashed_embedding, chunker: chunking.Chunker = chunking.DEFAULT) -> tuple[Corpus, DataFrame]:
-    """(corpus, errors): register files(path, kind, content, text), as by parsers.read_files, and index what is pending."""
-    spark = files.sparkSession
-    new = (s or empty_store(spark)).register(files.select(F.col("path").alias("document_path"), F.substring_index("path", "/", -1).alias("name")))
-    # what is pending is decided once, before chunks are put
-    registered = new.write(f"{path}/store")
-    return index_pending(registered, parsers.parse_files(files).withColumnRenamed("id", "document_path"), path, config, embed, chunker)
+
+def _parsed(files: DataFrame) -> DataFrame:
+    return parsers.parse_files(files).withColumnRenamed("id", "document_path")
 
 
 def index_folder(spark: SparkSession, folder: str, path: str, **more) -> tuple[Corpus, DataFrame]:
     return index_files(parsers.read_files(spark, folder), path, **more)
+
+
+def upload(files: DataFrame, folder: str, path: str, config: Config | None = None, embed: Embedder = vectors.hashed_embedding, chunker: chunking.Chunker = chunking.DEFAULT) -> tuple[Corpus, dict, DataFrame]:
+    """(corpus, outcome, errors) of an upload of files(path, content): stored in the folder, registered, and indexed if enough documents wait.
+
+    Either all files are stored or, if one is refused, none.  Whether to index is decided once, after all files are registered: with the configured
+    threshold of pending documents or more, all of them are indexed in one call, those of earlier uploads as well.  outcome has uploaded, indexed_now,
+    pending_before, pending_after, threshold and reindexed_count, where documents that their parsers refuse still wait.
+    """
+    spark, config = files.sparkSession, config or Config()
+    stored = store.upload(files, folder)
+    s = Segments.open(spark, path).register(_registered(parsers.read_files(spark, stored)))
+    before = s.documents.filter("NOT is_indexed").count()
+    corpus, errors = Corpus(s), spark.createDataFrame([], "document_path string, error string")
+    if now := before >= config.reindex_threshold:
+        waiting = parsers.read_files(spark, folder).join(s.documents.filter("NOT is_indexed").select(F.col("document_path").alias("path")), "path", "left_semi")
+        corpus, errors = index_pending(corpus, _parsed(waiting), config, embed, chunker)
+    after = corpus.segments.documents.filter("NOT is_indexed").count() if now else before
+    return corpus, {"uploaded": len(stored), "indexed_now": now, "pending_before": before, "pending_after": after, "threshold": config.reindex_threshold, "reindexed_count": before - after}, errors

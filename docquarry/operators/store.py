@@ -1,4 +1,4 @@
-"""Documents, chunks and vectors as immutable snapshots: every change is a new table, published by a marker."""
+"""Documents, chunks and vectors as tables: scans, numbering, batches, and changes as new tables (segments.py keeps them on disk)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -30,7 +30,8 @@ def page(documents: DataFrame, skip: int = 0, limit: int = 100) -> DataFrame:
 
 
 def pending(documents: DataFrame) -> DataFrame:
-    return documents.filter(~F.col("is_indexed"))
+    """Documents that wait, in order of id."""
+    return documents.filter(~F.col("is_indexed")).orderBy("id")
 
 
 def pending_count(documents: DataFrame) -> DataFrame:
@@ -184,34 +185,6 @@ class Store:
         swap = lambda old, more: old.join(key, "document_id", "left_anti").select(*old.columns).unionByName(more.select(*old.columns))
         return Store(docs, swap(self.chunks, new), swap(self.vectors, vectors))
 
-    def write(self, path: str) -> "Store":
-        """The next snapshot below path, read back.  Readers see it when its marker is there, which is set when all tables are; one writer at a time."""
-        spark = self.documents.sparkSession
-        at = f"{path}/snapshot-{1 + max(_snapshots(spark, path), default=0)}"
-        for name in ("documents", "chunks", "vectors"):
-            getattr(self, name).write.parquet(f"{at}/{name}")
-        storage.put(spark, f"{at}/COMPLETE", "")
-        return Store.read(spark, path)
-
-    @classmethod
-    def read(cls, spark: SparkSession, path: str) -> "Store":
-        """The newest complete snapshot."""
-        done = [n for n in _snapshots(spark, path) if storage.found(spark, f"{path}/snapshot-{n}/COMPLETE")]
-        if not done:
-            raise FileNotFoundError(path)
-        return cls(*[spark.read.parquet(f"{path}/snapshot-{max(done)}/{name}") for name in ("documents", "chunks", "vectors")])
-
-    @staticmethod
-    def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:
-        """Remove all but the `keep` newest complete snapshots, once no reader needs them."""
-        done = [n for n in _snapshots(spark, path) if storage.found(spark, f"{path}/snapshot-{n}/COMPLETE")]
-        for n in done[: -max(1, keep)]:
-            storage.remove(spark, f"{path}/snapshot-{n}")
-
-
-def _snapshots(spark: SparkSession, path: str) -> list[int]:
-    return sorted(int(n.removeprefix("snapshot-")) for n in storage.names(spark, path) if n.startswith("snapshot-"))
-
 
 #: Upload rules (fixed values).
 UPLOAD_SUFFIXES = (".txt", ".md", ".docx", ".pdf", ".html", ".htm")

@@ -82,7 +82,7 @@ def doc_page(spark, sf):
     return store.page(documents(spark, sf), 100, 50)
 
 
-@register(f"WITH {_DOCS_SQL} SELECT * FROM docs WHERE NOT is_indexed")
+@register(f"WITH {_DOCS_SQL} SELECT * FROM docs WHERE NOT is_indexed ORDER BY id")
 def pending_docs(spark, sf):
     return store.pending(documents(spark, sf))
 
@@ -135,8 +135,9 @@ def delete_cascade(spark, sf):
 
 @register(f"SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN ({_GONE})")
 def purge_vectors(spark, sf):
-    gone = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("vec_id")).distinct()
-    return table(spark, sf, "embeddings").join(gone, "vec_id", "left_anti").select("vec_id", "label")
+    gone = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    left = _store(spark, sf).delete(gone).vectors.select(F.col("chunk_id").alias("vec_id"))
+    return table(spark, sf, "embeddings").join(left, "vec_id").select("vec_id", "label")
 
 
 @register(f"""WITH {_DOCS_SQL}, top AS (SELECT greatest((SELECT max(doc_id) FROM documents), (SELECT max(vec_id) FROM embeddings)) AS id)
@@ -652,6 +653,28 @@ def index_then_search(spark, sf):
     return corpus.search(_FIND, embed=_letters)
 
 
+@register(f"""WITH rows AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'the second ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id NOT IN ({_GONE}))
+SELECT '/corpus/' || id AS document_path, round(score, 6) AS score FROM ({_bm25_sql(X.query_phrases(QUERY_WORDS), k=100_000, rows="rows")})""")
+def corpus_after_changes(spark, sf):
+    """A corpus in segments: an addition, documents registered again with other texts, a removal and a merge, then a search.  The twin indexes what is left at once."""
+    from docquarry.operators.segments import Segments
+
+    d = table(spark, sf, "documents").select(F.concat(F.lit("/corpus/"), "doc_id").alias("document_path"), "doc_id", "text")
+    s = Segments.open(spark, f"{storage.shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
+    again = d.filter("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("the second "), F.coalesce("text", F.lit(""))))
+    for part in (d, again):
+        s = s.register(part.select("document_path", F.col("document_path").alias("name")))
+        new = s.documents.filter("NOT is_indexed").join(part, "document_path").withColumn("position", F.lit(0))
+        chunks = new.select(store.chunk_id("id", "position").alias("id"), F.col("id").alias("document_id"), "position", F.array().cast("array<string>").alias("breadcrumbs"), F.lit(0).alias("token_count"), F.lit("none").alias("embedding_model"), F.col("text").alias("raw_text"))
+        s = s.put_chunks(chunks, chunks.select(F.col("id").alias("chunk_id"), "document_id", F.array(F.lit(1.0)).cast("array<float>").alias("vector")))
+    gone = d.join(table(spark, sf, "labels").filter("toxic = 1"), "doc_id", "left_semi").select("document_path")
+    s = s.delete(s.documents.join(gone, "document_path", "left_semi").select("id"))
+    s = s.merge(list(s.head.segments))
+    hits = fts.bm25(s.index, QUERY_WORDS, 100_000)
+    paths = s.documents.select(F.col("id").alias("document_id"), "document_path")
+    return hits.withColumn("document_id", F.shiftright("id", store.POSITION_BITS)).join(paths, "document_id").select("document_path", F.round("score", 6).alias("score"))
+
+
 @register("SELECT p_partkey, printf('%.3f', p_retailprice) AS price FROM part")
 def fixed_decimals(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.fixed(F.col("p_retailprice")).alias("price"))

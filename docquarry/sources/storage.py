@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -53,8 +55,32 @@ def put(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(draft, p)
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Like put, but says whether this call made the file: of several writers of one path only one does."""
+    fs, p = _at(spark, path)
+    draft = p.suffix(f".{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    try:  # this rename does not replace
+        none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        hadoop.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, p, none)
+        return True
+    except Py4JJavaError as e:
+        fs.delete(draft, False)
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            return False
+        raise
+
+
 def get(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]
+    """The text of a small file."""
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
 
 
 def remove(spark: SparkSession, path: str) -> None:

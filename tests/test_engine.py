@@ -188,20 +188,6 @@ def test_document_without_chunks_is_indexed(spark):
     assert [r.document_id for r in done.chunks.collect()] == [1] and done.documents.filter("is_indexed").count() == 2
 
 
-def test_snapshots(spark, tmp_path):
-    path = str(tmp_path / "s")
-    with pytest.raises(FileNotFoundError):
-        store.Store.read(spark, path)
-    s = make_store(spark).write(path)
-    more = s.register(spark.createDataFrame([("/c", "c")], "document_path string, name string")).write(path)  # reads the first, writes the second
-    assert (s.documents.count(), more.documents.count(), store.Store.read(spark, path).documents.count()) == (2, 3, 3)
-    (tmp_path / "s" / "snapshot-3").mkdir()  # a writer that died
-    assert store.Store.read(spark, path).documents.count() == 3
-    assert more.write(path).documents.count() == 3
-    store.Store.vacuum(spark, path, 1)
-    assert store.Store.read(spark, path).documents.count() == 3 and not (tmp_path / "s" / "snapshot-1").exists()
-
-
 @pytest.mark.parametrize("per_range", [7, 1000])
 def test_numbering_and_batches_over_ranges(spark, per_range):
     import random
@@ -270,7 +256,7 @@ def test_index_folder(spark, tmp_path):
     assert corpus.search("  ").count() == 0
     # a file that changes is registered anew; its old chunk can not be found any more
     (src / "a.md").write_text("# Ponds\n\nFrogs croak.\n")
-    new, _ = indexing.index_files(parsers.read_files(spark, str(src / "a.md")), out, s)
+    new, _ = indexing.index_files(parsers.read_files(spark, str(src / "a.md")), out)
     assert fts.bm25(new.index, "sun").count() == 0 and fts.bm25(new.index, "frogs").count() == 1 and fts.bm25(new.index, "cold").count() == 1
     assert new.store.documents.count() == 5 and new.store.chunks.count() == 2
 
