@@ -577,6 +577,31 @@ def html_headings(spark, sf):
     return b.filter("type = 'heading' AND level = 1").select("id", "text")
 
 
+_PDF_TEXT = [(22, 60, 780, "F1", "'About ' || source"), (11, 60, 740, "F1", "'Word ' || doc_id"), (11, 60, 724, "F1", "'of ' || n_chars"), (11, 60, 690, "F2", "'Bold ' || coalesce(lang, 'none')"),
+  (10, 64, 636, "F1", "'one'"), (10, 164, 636, "F1", "doc_id::string"), (10, 64, 616, "F1", "source"), (10, 164, 616, "F1", "'two'"), (11, 60, 560, "F1", "'under ' || doc_id"), (11, 60, 400, "F1", "'apart'")]
+_PDF_RULES = " ".join([f"60 {y} m 260 {y} l S" for y in (650, 630, 610)] + [f"{x} 650 m {x} 610 l S" for x in (60, 160, 260)])
+
+
+def _pdf_sql() -> str:
+    """A PDF file of one page, without cross references, in SQL."""
+    shown = " || ' ' || ".join(f"'BT /{font} {size} Tf {x} {y} Td (' || {said} || ') Tj ET'" for size, x, y, font, said in _PDF_TEXT)
+    head = "%PDF-1.4 1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [3 0 R] /MediaBox [0 0 595 842] >> endobj 3 0 obj << /Type /Page /Contents 4 0 R /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >> endobj"
+    fonts = "5 0 obj << /Type /Font /BaseFont /Helvetica >> endobj 6 0 obj << /Type /Font /BaseFont /Helvetica-Bold >> endobj trailer << /Root 1 0 R >>"
+    return f"'{head} 4 0 obj << >> stream' || char(10) || '{_PDF_RULES} ' || {shown} || char(10) || 'endstream endobj {fonts}'"
+
+
+@register("""WITH d AS (SELECT doc_id AS id, source, n_chars, coalesce(lang, 'none') AS lang FROM documents)
+SELECT id, 0 AS position, 'heading' AS type, 'About ' || source AS text, 1 AS level, 1 AS page, 22::double AS font_size FROM d
+UNION ALL SELECT id, 1, 'paragraph', 'Word ' || id || chr(10) || 'of ' || n_chars, 0, 1, 11 FROM d UNION ALL SELECT id, 2, 'heading', 'Bold ' || lang, 5, 1, 11 FROM d
+UNION ALL SELECT id, 3, 'table', 'one | ' || id || chr(10) || source || ' | two', 0, 1, 0 FROM d
+UNION ALL SELECT id, 4, 'paragraph', 'under ' || id, 0, 1, 11 FROM d UNION ALL SELECT id, 5, 'paragraph', 'apart', 0, 1, 11 FROM d""")
+def pdf_blocks(spark, sf):
+    """PDF files made of the documents' columns, from bytes to blocks: text state, rules, table, headings by size and weight, reading order."""
+    files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.expr(_pdf_sql()).cast("binary").alias("content"), F.lit("pdf").alias("kind"), F.lit(None).cast("string").alias("text"))
+    b = parsers.parse_files(files).select(F.col("id").cast("long").alias("id"), F.explode("blocks").alias("b")).select("id", "b.*")
+    return b.select("id", "position", "type", "text", F.coalesce("level", F.lit(0)).alias("level"), F.col("metadata.page").alias("page"), F.coalesce("metadata.font_size", F.lit(0.0)).alias("font_size"))
+
+
 _BODY = chunking.budget()[0]
 
 
