@@ -52,11 +52,26 @@ def _at(levels: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.abs(values[:, None] - levels).argmin(axis=1)
 
 
+def _joined(rules: np.ndarray) -> np.ndarray:
+    """Rules (from, to, across) with those that go on in one line as one: a sweep along each line."""
+    if not len(rules):
+        return rules
+    lines = _levels(rules[:, 2])
+    at, out = _at(lines, rules[:, 2]), []
+    for k in np.lexsort((rules[:, 0], at)):
+        a, b, _ = rules[k]
+        if out and out[-1][2] == lines[at[k]] and a <= out[-1][1] + TOUCH:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b, lines[at[k]]])
+    return np.array(out)
+
+
 def _tables(level: np.ndarray, upright: np.ndarray) -> np.ndarray:
-    """Which rules belong together: those that touch, and what they touch.  A number for each rule, level ones first."""
+    """Which rules (from, to, across) belong together: those that touch, and what they touch.  A number for each rule, level ones first."""
     n, m = len(level), len(upright)
-    # a sweep would do; rules of a page are few enough for one matrix of who crosses whom
-    cross = (level[:, None, 0] - TOUCH <= upright[:, 0]) & (upright[:, 0] <= level[:, None, 1] + TOUCH) & (upright[:, 1] - TOUCH <= level[:, None, 2]) & (level[:, None, 2] <= upright[:, 2] + TOUCH)
+    meets = lambda a, b: (a[:, None, 0] - TOUCH <= b[:, 2]) & (b[:, 2] <= a[:, None, 1] + TOUCH)
+    cross = meets(level, upright) & meets(upright, level).T
     up = np.arange(n + m)
 
     def root(i: int) -> int:
@@ -78,15 +93,15 @@ def grid_cells(rules: np.ndarray) -> list[tuple]:
     is named by its first.
     """
     flat = np.abs(rules[:, 3] - rules[:, 1]) < np.abs(rules[:, 2] - rules[:, 0])
-    level = np.column_stack((rules[flat, 0], rules[flat, 2], (rules[flat, 1] + rules[flat, 3]) / 2))  # x from, x to, y
-    upright = np.column_stack(((rules[~flat, 0] + rules[~flat, 2]) / 2, rules[~flat, 1], rules[~flat, 3]))  # x, y from, y to
+    level = _joined(np.column_stack((rules[flat, 0], rules[flat, 2], (rules[flat, 1] + rules[flat, 3]) / 2)))
+    upright = _joined(np.column_stack((rules[~flat, 1], rules[~flat, 3], (rules[~flat, 0] + rules[~flat, 2]) / 2)))
     if not len(level) or not len(upright):
         return []
     part, out, tab = _tables(level, upright), [], 0
     tops = {g: level[part[: len(level)] == g, 2].min() for g in set(part[: len(level)].tolist()) & set(part[len(level) :].tolist())}
     for g in sorted(tops, key=tops.get):
         own, side = level[part[: len(level)] == g], upright[part[len(level) :] == g]
-        ys, xs = _levels(np.concatenate((own[:, 2], side[:, 1], side[:, 2]))), _levels(np.concatenate((side[:, 0], own[:, 0], own[:, 1])))
+        ys, xs = _levels(np.concatenate((own[:, 2], side[:, 0], side[:, 1]))), _levels(np.concatenate((side[:, 2], own[:, 0], own[:, 1])))
         rows, cols = len(ys) - 1, len(xs) - 1
         if rows < 1 or cols < 1 or rows * cols < 2:
             continue
@@ -94,7 +109,7 @@ def grid_cells(rules: np.ndarray) -> list[tuple]:
         above, left = np.zeros((rows + 1, cols), bool), np.zeros((rows, cols + 1), bool)
         for a, b, y in zip(_at(xs, own[:, 0]), _at(xs, own[:, 1]), _at(ys, own[:, 2])):
             above[y, a:b] = True
-        for x, a, b in zip(_at(xs, side[:, 0]), _at(ys, side[:, 1]), _at(ys, side[:, 2])):
+        for x, a, b in zip(_at(xs, side[:, 2]), _at(ys, side[:, 0]), _at(ys, side[:, 1])):
             left[a:b, x] = True
         seen, found = np.zeros((rows, cols), bool), []
         for r in range(rows):
