@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they fold to (fixed values; Spark has no function that removes marks).
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśšťūůűźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorsstuuuzzz"
+def _marked() -> dict[str, tuple[str, str]]:
+    """Letters that are one ASCII letter with one mark, as (letter, mark), by their public decomposition; a letter with two marks is one of its own."""
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x1F00)}
+    return {ch: (d[0], d[1]) for ch, d in parts.items() if len(d) == 2 and d[0].isascii() and d[0].isalpha() and d[0].islower() and unicodedata.category(d[1]) == "Mn"}
+
+
+_PARTS = _marked()
+#: Letters with a mark and what they fold to (Spark has no function that removes marks), and forms of letters that count as others (fixed values).
+MARKED = "".join(_PARTS) + "ςſϐϑϕϖϰϱϵ"
+PLAIN = "".join(x for x, _ in _PARTS.values()) + "σsβθφπκρε"
+#: Marks that belong to the letter before and are dropped; other marks part words.
+MARKS = "".join(sorted({m for _, m in _PARTS.values()}))
 
 #: Characters that a full-text query must not pass on as syntax (fixed values).
 QUERY_SYNTAX = '"^*():-+'
@@ -17,7 +27,7 @@ QUERY_SYNTAX = '"^*():-+'
 
 def fold(c: Column) -> Column:
     """Lower case without marks."""
-    return F.translate(F.lower(c), MARKED, PLAIN)
+    return F.translate(F.lower(c), MARKED + MARKS, PLAIN)
 
 
 def tokens(c: Column) -> Column:
@@ -26,7 +36,7 @@ def tokens(c: Column) -> Column:
 
 
 def fold_python(text: str) -> str:
-    return text.lower().translate(str.maketrans(MARKED, PLAIN))
+    return text.lower().translate(str.maketrans(MARKED, PLAIN, MARKS))
 
 
 def tokens_python(text: str) -> list[str]:

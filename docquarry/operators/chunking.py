@@ -41,27 +41,10 @@ def token_count(c: Column) -> Column:
 #: Places where a text may be cut after punctuation (fixed value).
 PUNCTUATION = re.compile(r"(?<=[.;:,])\s+")
 
-_token = re.compile(TOKEN)
-
-
-def default_spans(text: str) -> list[tuple[int, int]]:
-    """The default tokenizer: places of the tokens of a text."""
-    return [m.span() for m in _token.finditer(text)]
-
-
-def default_sentences(text: str) -> list[str]:
-    """The default sentence splitter: sentences end with . ! or ? before white space."""
-    return [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p]
-
-
 def _ruled(line: str) -> bool:
-    """Whether a line parts a table's head from its rows: pipes at both ends, and only pipes, hyphens (one at least), colons and spaces."""
+    """Whether a line parts a table's head from its rows: pipes at both ends and between them, once at least, pipes, hyphens, colons or spaces alone."""
     text = line.strip()
-    return len(text) > 2 and text[0] == text[-1] == "|" and "-" in text and all(ch in "|-:" or ch.isspace() for ch in text)
-
-
-def token_count(c: Column) -> Column:
-    return F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"), F.lit(0)))
+    return len(text) > 2 and text[0] == text[-1] == "|" and set(text) <= set("|-: ")
 
 
 def budget(max_tokens: int = 500, overlap: int = 100, model_max: int = MODEL_MAX) -> tuple[int, int]:
@@ -78,7 +61,7 @@ class Chunker:
         self.splitters = {"table": self.split_rows, "list": self.split_lines, "code": self.split_lines, "paragraph": self.split_sentences, "caption": self.split_sentences}
 
     def count(self, text: str) -> int:
-        return len(self.spans(text))
+        return len(_token.findall(text)) if self.spans is default_spans else len(self.spans(text))
 
     def tail(self, text: str, n: int) -> str:
         s = self.spans(text)
@@ -95,21 +78,19 @@ class Chunker:
         return [x for x in out if x.strip()] or [text]
 
     def pack(self, parts: list[str], n: int, glue: str, oversize: Callable[[str, int], list[str]]) -> list[str]:
-        """Greedy: neighbours share a chunk while they fit; a part that is too long is split on its own."""
-        out, held = [], ""
+        """Greedy: neighbours share a chunk while their counts, and that of the glue between them, add up to n; a part that is too long is split on its own."""
+        out, held, sum_, between = [], [], 0, self.count(glue)
         for part in parts:
-            joined = held + glue + part if held else part
-            if self.count(joined) <= n:
-                held = joined
-                continue
-            if held:
-                out.append(held)
-            held = ""
-            if self.count(part) <= n:
-                held = part
-            else:
-                out += oversize(part, n)
-        return out + [held] if held else out
+            own = self.count(part)
+            if held and sum_ + between + own > n or not held and own > n:
+                out += [glue.join(held)] if held else []
+                held, sum_ = [], 0
+                if own > n:
+                    out += oversize(part, n)
+                    continue
+            sum_ += own + (between if held else 0)
+            held.append(part)
+        return out + [glue.join(held)] if held else out
 
     def split_punctuation(self, text: str, n: int) -> list[str]:
         parts = [p for p in PUNCTUATION.split(text) if p.strip()]
@@ -123,30 +104,15 @@ class Chunker:
         return self.pack([p for p in self.sentences(text) if p.strip()], n, " ", self.split_punctuation) or [text]
 
     def split_rows(self, text: str, n: int) -> list[str]:
-        """Table rows, the header on every piece; a row that is too long is split by lines, without the header."""
-        lines = [line for line in text.split("\n") if line.strip()]
-        rule = next((i for i, line in enumerate(lines) if _ruled(line)), None)
-        if rule is None:
-            return self.split_lines(text, n)
-        top = "\n".join(lines[: rule + 1])
+        """Table rows, the header on every piece; a row that is too long for one is a piece of its own, whole and under the header."""
+        lines = text.splitlines()
+        rule = next((i for i, line in enumerate(lines) if _ruled(line)), len(lines))
+        top, rows = "\n".join(lines[: rule + 1]), [line.rstrip() for line in lines[rule + 1 :]]
         room = n - self.count(top)
-        if room <= 0:
+        if not any(rows) or room <= 0:
             return self.split_lines(text, n)
-        out, held = [], []
-        for row in lines[rule + 1 :]:
-            if self.count("\n".join([*held, row])) <= room:
-                held.append(row)
-                continue
-            if held:
-                out.append("\n".join([top, *held]))
-            held = []
-            if self.count(row) <= room:
-                held = [row]
-            else:
-                out += self.split_lines(row, n)
-        if held:
-            out.append("\n".join([top, *held]))
-        return out or [text]
+        pieces = self.pack([r for r in rows if r], room, "\n", lambda row, _: [row])
+        return [f"{top}\n{piece}" for piece in pieces]
 
     def split_block(self, text: str, kind: str, n: int) -> list[str]:
         return [text] if self.count(text) <= n else self.splitters.get(kind, self.split_lines)(text, n)
@@ -158,23 +124,22 @@ class Chunker:
         body = blocks[1:] if first["type"] == "heading" else blocks
         if not body:
             return [(crumbs, first["text"])]
-        out, held = [], ""
+        out: list[str] = []
+        held: list[str] = []
+
+        def flush():
+            out.extend(self.pack(held, n, "\n\n", lambda x, _: [x]))
+            held.clear()
+
         for b in body:
             if not b["text"].strip():
                 continue
-            joined = held + "\n\n" + b["text"] if held else b["text"]
-            if self.count(joined) <= n:
-                held = joined
-                continue
-            if held:
-                out.append(held)
-            held = ""
-            if self.count(b["text"]) <= n:
-                held = b["text"]
-            else:
+            if self.count(b["text"]) > n:
+                flush()
                 out += self.split_block(b["text"], b["type"], n)
-        if held:
-            out.append(held)
+            else:
+                held.append(b["text"])
+        flush()
         return [(crumbs, t) for t in out]
 
     def overlapped(self, raw: list[str], overlap: int) -> list[str]:

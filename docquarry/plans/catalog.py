@@ -501,15 +501,15 @@ register(f"WITH RECURSIVE {_pieces_sql(_BY_LINE, 'chr(10)', 64, _TEXTS)} SELECT
 register(f"""WITH w AS (SELECT doc_id, text, {_windows_sql(64)} AS w FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, unnest(range(0, greatest(len(w), 1)))::bigint AS piece, unnest(CASE WHEN len(w) = 0 THEN [text] ELSE w END) AS text FROM w""")(_split("hard"))
 
-#: A table made from each document: a head of two lines and 30 rows of words of its text.
-_ROWS = 30
+#: A table made from each document: a head of two lines and 30 rows of words of its text, one of them too long for a piece.
+_ROWS, _LONG_ROW = 30, 7
 
 
 def _table_text():
     words = F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+")
     word = lambda i: F.regexp_replace(F.coalesce(F.get(words, i), F.lit("")), r"[^\p{L}\p{N}]", "")
     row = lambda i: F.concat(F.lit("| r"), i.cast("string"), F.lit(" "), word(i), F.lit(" | "), word(i + 1), F.lit(" x |"))
-    rows = F.transform(F.sequence(F.lit(1), F.lit(_ROWS)), row)
+    rows = F.transform(F.sequence(F.lit(1), F.lit(_ROWS)), lambda i: F.when(i == _LONG_ROW, F.lit("| " + "long " * 60 + "|")).otherwise(row(i)))
     return F.concat(F.lit("| one | two |\n|:---|---:|\n"), F.array_join(rows, "\n"))
 
 
@@ -518,7 +518,7 @@ _PER_PIECE = 64
 
 @register(rf"""WITH RECURSIVE t AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\s+') AS w FROM documents),
 x AS (SELECT doc_id, unnest(range(1, {_ROWS + 1})) AS i, w FROM t),
-c AS (SELECT doc_id, i, '| r' || i || ' ' || regexp_replace(coalesce(w[i + 1], ''), '[^\p{{L}}\p{{N}}]', '', 'g') || ' | ' || regexp_replace(coalesce(w[i + 2], ''), '[^\p{{L}}\p{{N}}]', '', 'g') || ' x |' AS text FROM x),
+c AS (SELECT doc_id, i, CASE WHEN i = {_LONG_ROW} THEN '| ' || repeat('long ', 60) || '|' ELSE '| r' || i || ' ' || regexp_replace(coalesce(w[i + 1], ''), '[^\p{{L}}\p{{N}}]', '', 'g') || ' | ' || regexp_replace(coalesce(w[i + 2], ''), '[^\p{{L}}\p{{N}}]', '', 'g') || ' x |' END AS text FROM x),
 n AS (SELECT *, {_COUNT} AS n FROM c), f(doc_id, i, text, g, fill) AS (SELECT doc_id, i, text, 0::bigint, n FROM n WHERE i = 1 UNION ALL
   SELECT n.doc_id, n.i, n.text, f.g + (f.fill + n.n > {_PER_PIECE} - 16)::bigint, CASE WHEN f.fill + n.n > {_PER_PIECE} - 16 THEN n.n ELSE f.fill + n.n END FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1)
 SELECT doc_id, g AS piece, '| one | two |' || chr(10) || '|:---|---:|' || chr(10) || string_agg(text, chr(10) ORDER BY i) AS text FROM f GROUP BY doc_id, g""")

@@ -276,3 +276,23 @@ def test_connector_and_export(spark, tmp_path):
 def test_unit_vectors(spark):
     v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(vectors.normalise(F.col("v")).alias("u"))
     assert [r.u for r in v.collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+@pytest.mark.parametrize("text", ["Cafe\u0301 au lait", "tie\u0302\u0301ng Vi\u1ec7t \u1ebf", "a\u0323b", "Stra\u00dfe \u00d8re", "\u0130stanbul", "o\u0308ne-two_three", "\u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2", "\u0439\u043e\u0433", "x\u20d0y", "\u017ft", "\u1e0d\u0121"])
+def test_tokens_like_fts5(spark, text):
+    c = sqlite3.connect(":memory:")
+    c.execute("CREATE VIRTUAL TABLE t USING fts5(x)")
+    c.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, instance)")
+    c.execute("INSERT INTO t(x) VALUES (?)", (text,))
+    want = [r[0] for r in c.execute("SELECT term FROM v ORDER BY offset")]
+    assert X.tokens_python(text) == want
+    assert spark.createDataFrame([(text,)], "t string").select(X.tokens(F.col("t")).alias("x")).first().x == want
+
+
+def test_long_table_rows():
+    c = chunking.Chunker()
+    long = "| " + "word " * 30 + "|"
+    top = "| a | b |\n|::  |"
+    assert c.split_rows(f"{top}\n| 1 | 2 |\n{long}\n\n| 3 | 4 |\n| 5 | 6 |", 25) == [f"{top}\n| 1 | 2 |", f"{top}\n{long}", f"{top}\n| 3 | 4 |\n| 5 | 6 |"]
+    assert c.split_rows(f"{top}\n\n", 4) == c.split_lines(f"{top}\n\n", 4)  # no rows
+    assert c.split_rows("| a |\n|\t|\n" + long, 12) == c.split_lines("| a |\n|\t|\n" + long, 12)  # a tab parts nothing
