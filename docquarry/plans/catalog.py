@@ -571,6 +571,20 @@ def html_blocks_marked(spark, sf):
     return _plain_blocks(b)
 
 
+_BROKEN = "'<h2>About ' || source || '</h2><p><b>' || doc_id || '<p>n ' || n_chars || '</b> tail<table><p>stray ' || doc_id || '<tr><td>a<td>' || source || '<tr><td>b</table><ul><li>x ' || doc_id || '<li>y</ul></div><pre>' || char(10) || 'z'"
+
+
+@register("""WITH d AS (SELECT doc_id AS id, source, n_chars FROM documents)
+SELECT id, 0 AS position, 'heading' AS type, 'About ' || source AS text, 2 AS level, '' AS language FROM d UNION ALL SELECT id, 1, 'paragraph', id::varchar, 0, '' FROM d
+UNION ALL SELECT id, 2, 'paragraph', 'n ' || n_chars || ' tail', 0, '' FROM d UNION ALL SELECT id, 3, 'paragraph', 'stray ' || id, 0, '' FROM d
+UNION ALL SELECT id, 4, 'table', 'a | ' || source || chr(10) || 'b', 0, '' FROM d UNION ALL SELECT id, 5, 'list', '- x ' || id || chr(10) || '- y', 0, '' FROM d
+UNION ALL SELECT id, 6, 'code', 'z', 0, '' FROM d""")
+def html_blocks_broken(spark, sf):
+    """Pages without a body, with open formatting across paragraphs, a paragraph in a table, rows and items that nothing closes."""
+    b = parsers.blocks(table(spark, sf, "documents").select("doc_id", F.expr(_BROKEN).alias("html")), "doc_id", "html", "html")
+    return _plain_blocks(b)
+
+
 @register(r"""SELECT page_id AS id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', ' ', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&amp;', '&')) AS text FROM pages WHERE regexp_matches(html, '<h1')""")
 def html_headings(spark, sf):
     b = parsers.blocks(table(spark, sf, "pages"), "page_id", "html", "html")
