@@ -49,6 +49,31 @@ def lexical_score(text: Column, query: str) -> Column:
     return F.round(held + F.size(hits) / (F.lit(100.0) + F.size(hits)), 9)
 
 
+#: Weight of the proximity of the query's words beside how many there are.
+NEARNESS = 0.5
+
+
+def smallest_window(text: Column, words: list[str]) -> Column:
+    """Tokens in the smallest stretch of the text that holds all the words; null if there is none.  One sweep over the tokens keeps the last place of each word."""
+    start = F.struct(F.array(*[F.lit(-1)] * len(words)).alias("last"), F.lit(None).cast("int").alias("best"))
+
+    def step(state, x):
+        last = F.array(*[F.when(x["t"] == w, x["i"]).otherwise(F.get(state["last"], F.lit(k))) for k, w in enumerate(words)])
+        width = F.when(F.array_min(last) >= 0, x["i"] - F.array_min(last) + 1)
+        return F.struct(last.alias("last"), F.least(state["best"], width).alias("best"))
+
+    hits = F.filter(F.transform(X.tokens(text), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin(words))
+    return F.aggregate(hits, start, step, lambda s: s["best"])
+
+
+def proximity_score(text: Column, query: str) -> Column:
+    """A reranker: lexical_score, and more the closer together the query's distinct words stand; NEARNESS where they are side by side."""
+    words = sorted({t for p in X.query_phrases(query) for t in p})
+    if not words:
+        return F.lit(0.0)
+    return F.round(lexical_score(text, query) + F.coalesce(F.lit(NEARNESS * len(words)) / smallest_window(text, words), F.lit(0.0)), 9)
+
+
 def rerank(pool: DataFrame, query: str, top_k: int = 20, scorer: Callable[[Column, str], Column] | None = None) -> DataFrame:
     """The top_k rows by score; equal scores keep the pool's order.  scorer may wrap a pandas UDF around a model."""
     if top_k < 1:

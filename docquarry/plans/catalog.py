@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from docquarry.functions import text as X
-from docquarry.operators import access, ann, breadcrumbs, chunking, fts, fusion, indexing, pdf_spans, search, store, vectors
+from docquarry.operators import access, ann, breadcrumbs, chunking, fts, fusion, indexing, pdf_spans, search, sentences, store, vectors
 from docquarry.sources import corpora, parsers, storage
 
 QUERY_WORDS, QUERY_ONE, QUERY_PHRASE, QUERY_TWICE = "the and", "worthless", "of-the", "that that"
@@ -372,6 +372,16 @@ def hybrid_search(spark, sf):
     return search.search(QUERY_WORDS, _vector(spark, sf), _index(spark, sf), s.vectors, s.chunks, s.documents, top_k=20)
 
 
+@register(f"""WITH t AS (SELECT doc_id, unnest({_TOKENS_SQL}) AS token, unnest(range(0, len({_TOKENS_SQL}))) AS pos FROM documents),
+h AS (SELECT doc_id, pos, max(CASE WHEN token = 'and' THEN pos END) OVER w AS a, max(CASE WHEN token = 'the' THEN pos END) OVER w AS b FROM t
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT doc_id, min(pos - least(a, b) + 1) AS width FROM h WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.width, 0)::int AS width, round({_lexical_sql(['and', 'the'])} + coalesce(0.5::double * 2 / n.width, 0), 9) AS score FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""")
+def rerank_proximity(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.coalesce(fusion.smallest_window(F.col("text"), ["and", "the"]), F.lit(0)).alias("width"), fusion.proximity_score(F.col("text"), QUERY_WORDS).alias("score"))
+
+
 # -- blocks, breadcrumbs, chunks
 
 
@@ -482,6 +492,18 @@ every AS ({short} SELECT doc, g, 0, 0, text FROM g1 WHERE n <= {n} UNION ALL SEL
 pieces AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY a, b, c) - 1 AS piece, text FROM every)"""
 
 
+@register(rf"""WITH w AS (SELECT unnest(regexp_extract_all(text, '{sentences.WORD}')) AS x FROM documents),
+c AS (SELECT lower(regexp_replace(x, '[.]$', '')) AS type, count(*)::double AS n, count(*) FILTER (x LIKE '%.')::double AS stopped FROM w GROUP BY 1),
+a AS (SELECT sum(n) AS every, sum(stopped) AS stops FROM c),
+s AS (SELECT type, n, stopped, least(stops / every, 0.999999::double) AS p, len(type) - len(replace(type, '.', '')) AS inside FROM c, a WHERE stopped > 0)
+SELECT type, n::bigint AS n, stopped::bigint AS stopped,
+  round(-2::double * (stopped * ln(p) + (n - stopped) * ln(1 - p) - stopped * ln(0.99::double) - (n - stopped) * ln((1 - 0.99::double))) * exp(-(len(type) - inside)::double) * (inside + 1)
+    * pow((len(type) - inside)::double, -(n - stopped)), 6) AS score FROM s""")
+def sentence_abbreviations(spark, sf):
+    """Words with a stop, and how much speaks for their being abbreviations."""
+    return sentences.abbreviations(sentences.words(table(spark, sf, "documents")))
+
+
 _BY_LINE = r"list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
 _BY_SENTENCE = r"string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 _TEXTS = "SELECT doc_id AS doc, text FROM documents WHERE text IS NOT NULL"
