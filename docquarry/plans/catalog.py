@@ -570,6 +570,18 @@ def txt_blocks_marked(spark, sf):
     return _plain_blocks(b)
 
 
+@register(_ORACLE["txt_blocks_marked"])
+def udtf_blocks(spark, sf):
+    """The marked texts through the table function of SQL."""
+    from docquarry.sources import udtfs
+
+    udtfs.register(spark)
+    marked = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.expr(_MARKED.replace("chr(10)", "char(10)")).alias("text"))
+    return spark.sql(
+        "SELECT f.id, b.position, b.type, b.text, coalesce(b.level, 0) AS level, coalesce(b.language, '') AS language FROM {files} f, LATERAL parse_blocks(f.text, 'txt') b", files=marked
+    )
+
+
 @register(r"SELECT doc_id AS id, 0 AS position, 'paragraph' AS type, text, 0 AS level FROM documents WHERE regexp_matches(text, '\S')")
 def txt_blocks(spark, sf):
     return _plain_blocks(parsers.blocks(table(spark, sf, "documents"), "doc_id", "text", "txt")).drop("language")
