@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -176,26 +177,28 @@ class VectorIndex:
 
     def remove(self, ids: DataFrame) -> None:
         """Rows of ids(id) are not found any more; only the ids of the parts are read."""
-        each = self.parts().select("part", "ids").mapInPandas(_ids, "part string, id long")
-        gone = each.join(ids.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi")
-        gone.groupBy("part").agg(F.collect_list("id").alias("removed")).write.mode("append").parquet(f"{self.path}/removed")
+        _named(self.parts(), ids).write.mode("append").parquet(f"{self.path}/removed")
 
     def parts(self, cells: list[int] | None = None) -> DataFrame:
         t = self.spark.read.schema(PART).parquet(f"{self.path}/parts")
         return t if cells is None else t.filter(F.col("cell").isin(cells))
 
-    def with_removed(self, parts: DataFrame) -> DataFrame:
-        if not storage.found(self.spark, f"{self.path}/removed"):
+    def with_removed(self, parts: DataFrame, dead: DataFrame | None = None) -> DataFrame:
+        """Parts with the ids that are not to be found: those that were removed, and of a search's own dead(id)."""
+        gone = [] if dead is None else [_named(parts, dead)]
+        if storage.found(self.spark, f"{self.path}/removed"):
+            gone.append(self.spark.read.schema("part string, removed array<long>").parquet(f"{self.path}/removed"))
+        if not gone:
             return parts.withColumn("removed", F.array().cast("array<long>"))
-        gone = self.spark.read.schema("part string, removed array<long>").parquet(f"{self.path}/removed")
-        return parts.join(gone.groupBy("part").agg(F.flatten(F.collect_list("removed")).alias("removed")), "part", "left")
+        named = reduce(DataFrame.unionByName, gone).groupBy("part").agg(F.flatten(F.collect_list("removed")).alias("removed"))
+        return parts.join(named, "part", "left")
 
-    def search(self, query: list[float], k: int = 200, probes: int | None = None, width: int | None = None) -> DataFrame:
-        """(id, distance) of the k nearest rows that a walk finds, nearest first; equal distances go by id."""
+    def search(self, query: list[float], k: int = 200, probes: int | None = None, width: int | None = None, dead: DataFrame | None = None) -> DataFrame:
+        """(id, distance) of the k nearest rows that a walk finds, nearest first; equal distances go by id.  Rows of dead(id) are passed over."""
         one = self.spark.createDataFrame([(0, [float(x) for x in query])], "vec_id long, embedding array<double>")
-        return self.search_batch(one, k, probes, width).select("id", "distance").orderBy("distance", "id")
+        return self.search_batch(one, k, probes, width, dead=dead).select("id", "distance").orderBy("distance", "id")
 
-    def search_batch(self, queries: DataFrame, k: int = 10, probes: int | None = None, width: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", most_bytes: int = 64 << 20) -> DataFrame:
+    def search_batch(self, queries: DataFrame, k: int = 10, probes: int | None = None, width: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", most_bytes: int = 64 << 20, dead: DataFrame | None = None) -> DataFrame:
         """(query_id, id, distance, rank) of the k nearest rows that are found for each query; larger sets of queries are taken in blocks."""
         if k < 1:
             raise ValueError("k must be positive")
@@ -213,13 +216,21 @@ class VectorIndex:
             m /= np.linalg.norm(m, axis=1, keepdims=True)
             cells = vectors.nearest_cells(m, self.centres)[:, :probes]
             sent = self.spark.sparkContext.broadcast((np.array([r["query_id"] for r in asked], np.int64), m, cells))
-            parts = self.with_removed(self.parts(np.unique(cells).tolist()))
+            parts = self.with_removed(self.parts(np.unique(cells).tolist()), dead)
             out = out.unionByName(parts.mapInPandas(_found(sent, k, width), "query_id long, id long, distance double"))
         rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
         return out.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
-def _ids(batches):
+def _named(parts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(part, removed): which of ids(id) each part holds; of the parts only ids are read."""
+    each = parts.select("part", "ids").mapInPandas(ids_of_parts, "part string, id long")
+    gone = each.join(ids.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi")
+    return gone.groupBy("part").agg(F.collect_list("id").alias("removed"))
+
+
+def ids_of_parts(batches):
+    """(part, id) of parts(part, ids)."""
     for pdf in batches:
         for part, raw in zip(pdf["part"], pdf["ids"]):
             yield pd.DataFrame({"part": part, "id": np.frombuffer(raw, np.int64)})

@@ -57,12 +57,16 @@ class Corpus:
     def path(self) -> str:
         return self.segments.path
 
+    def index_vectors(self) -> "Corpus":
+        """With a vector index of all chunks (none for few of them); chunks that come later are searched exactly beside it until it is made again."""
+        return Corpus(self.segments.index_vectors())
+
     def search(self, query: str, top_k: int = 20, retrieval_k: int = 200, embed: Embedder = vectors.hashed_embedding, scorer=None) -> DataFrame:
         """Hits for a text alone: it is embedded as the chunks were."""
         s = self.store
         blank = not (query or "").strip()
         vector = [] if blank else self.segments.spark.range(1).select(vectors.doubles(embed(F.lit(query)))).first()[0]
-        return search.search(query, vector, self.index, s.vectors, s.chunks, s.documents, top_k, retrieval_k, scorer)
+        return search.search(query, vector, self.index, s.vectors, s.chunks, s.documents, top_k, retrieval_k, scorer, self.segments.near)
 
 
 def index_pending(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,18 @@ def search(
     top_k: int = 20,
     retrieval_k: int = 200,
     scorer=None,
+    near: Callable[[list[float], int], DataFrame] | None = None,
 ) -> DataFrame:
-    """Hits in the columns of HIT, best first; a blank query gives none.  Where the full-text index can not be read, vectors search alone."""
+    """Hits in the columns of HIT, best first; a blank query gives none.  Where the full-text index can not be read, vectors search alone.
+
+    near(query vector, k) gives (id, distance) in place of exact search over the vector table, as from an index.
+    """
     if not (query or "").strip():
         return chunks.sparkSession.createDataFrame([], HIT)
-    near = fusion.ranked(vectors.knn(vector_table, query_vector, retrieval_k, "chunk_id", "vector"), F.asc("distance"), F.asc("id"))
+    hits = near(query_vector, retrieval_k) if near else vectors.knn(vector_table, query_vector, retrieval_k, "chunk_id", "vector")
+    by_vector = fusion.ranked(hits, F.asc("distance"), F.asc("id"))
     text = fusion.ranked(fts.bm25_or_none(index, query, retrieval_k), F.asc("score"), F.asc("id"))
-    pool = fusion.reciprocal_rank_fusion(near, text)
+    pool = fusion.reciprocal_rank_fusion(by_vector, text)
     best = fusion.rerank(fusion.fetch(pool, chunks, documents), query, top_k, scorer)
     return best.select(
         F.col("id").alias("chunk_id"), "document_id", "document_name", "document_path", "score", X.snippet(F.col("raw_text")).alias("snippet"), "breadcrumbs"

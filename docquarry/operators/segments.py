@@ -19,7 +19,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators import fts, store
+from docquarry.operators import ann, fts, store, vectors
 from docquarry.plans import schemas
 from docquarry.sources import storage
 
@@ -31,8 +31,8 @@ TABLES = {
     "postings": "id bigint, token string, positions array<int>, dl bigint",
     "lengths": "id bigint, dl bigint",
 }
-#: Segments of one size class that are merged; tokens of a postings file.
-FAN, PER_FILE = 8, 500_000
+#: Segments of one size class that are merged; tokens of a postings file; neighbours that the vector index is measured with.
+FAN, PER_FILE, NEIGHBOURS = 8, 500_000, 50
 
 
 class Conflict(RuntimeError):
@@ -49,6 +49,7 @@ class Manifest:
     removals: tuple = ()  # of {"name", "seq"}
     chunks: int = 0  # live rows of lengths, and their tokens
     tokens: int = 0
+    vectors: tuple = ()  # of {"name", "seq"}: the vector index and the newest segment that it covers
 
     def text(self) -> str:
         return json.dumps(self.__dict__)
@@ -56,7 +57,7 @@ class Manifest:
     @classmethod
     def of(cls, text: str) -> "Manifest":
         raw = json.loads(text)
-        return cls(**raw | {"segments": tuple(raw["segments"]), "removals": tuple(raw["removals"])})
+        return cls(**raw | {"segments": tuple(raw["segments"]), "removals": tuple(raw["removals"]), "vectors": tuple(raw.get("vectors", ()))})
 
 
 def document_of(chunk_id):
@@ -210,7 +211,7 @@ class Segments:
 
         return self._commit(change)
 
-    def put_chunks(self, chunks: DataFrame, vectors: DataFrame, refreshed: DataFrame | None = None) -> "Segments":
+    def put_chunks(self, chunks: DataFrame, vectors_: DataFrame, refreshed: DataFrame | None = None) -> "Segments":
         """Chunks, vectors and postings of some documents replace all that these had; the documents count as indexed.
 
         refreshed(id): the documents that were parsed, those without any chunk as well; by default the ones that have chunks.
@@ -220,7 +221,7 @@ class Segments:
         removal, n = self._remove(ids)
         done = self.spark.read.schema("document_id long").parquet(f"{self.path}/removed/removal={removal}").select(F.col("document_id").alias("id"))
         own["chunks"], _ = self._write("chunks", chunks, name)
-        own["vectors"], _ = self._write("vectors", vectors, name)
+        own["vectors"], _ = self._write("vectors", vectors_, name)
         made = fts.build_index(self.spark.read.schema(TABLES["chunks"]).parquet(f"{self.path}/chunks/segment={name}"), "id", "raw_text")
         own["lengths"], tokens = self._write("lengths", made.lengths, name)
         own["postings"], _ = self._write("postings", made.postings, name, max(1, -(-tokens // PER_FILE)))
@@ -238,6 +239,36 @@ class Segments:
 
         return self._commit(change)
 
+    # -- vectors
+
+    def index_vectors(self, least: int = ann.LEAST_ROWS) -> "Segments":
+        """A vector index of all live vectors, in place of an older one; with fewer than `least` rows there is none, and search stays exact."""
+        rows, name = self.rows("vectors"), uuid.uuid4().hex
+        built = ann.VectorIndex.build(rows, f"{self.path}/ann/{name}", k=NEIGHBOURS, id_col="chunk_id", vector_col="vector") if rows.count() >= least else None
+        made = ({"name": name, "seq": self.head.seq},) if built else ()
+        return self._commit(lambda at: replace(at.head, kind="vectors", vectors=made))
+
+    def near(self, query: list[float], k: int = 200) -> DataFrame:
+        """(id, distance) of the k nearest chunks: from the index where there is one, and exactly from the segments that it does not cover.
+
+        What was removed since the index was made, and what was merged into newer segments, is passed over in it and found in those.
+        """
+        made = next(iter(self.head.vectors), None)
+        covered = [s for s in self.head.segments if made and s["seq"] <= made["seq"]]
+        if not covered:  # no index, or a merge has made all that it knows anew
+            return vectors.knn(self.rows("vectors"), query, k, "chunk_id", "vector")
+        index = ann.VectorIndex.read(self.spark, f"{self.path}/ann/{made['name']}")
+        newer, later = [s for s in self.head.segments if s["seq"] > made["seq"]], [r for r in self.head.removals if r["seq"] > made["seq"]]
+        if not newer and not later:
+            return index.search(query, k)
+        fresh = self.rows("vectors", newer)
+        dead = fresh.select(F.col("chunk_id").alias("id"))
+        if later:  # none of them can have been dropped while an older segment stands
+            known = index.parts().select("part", "ids").mapInPandas(ann.ids_of_parts, "part string, id long")
+            dead = dead.unionByName(known.withColumn("document_id", document_of("id")).join(self._removed(later), "document_id", "left_semi").select("id"))
+        found = index.search(query, k, dead=dead).unionByName(vectors.knn(fresh, query, k, "chunk_id", "vector"))
+        return found.orderBy("distance", "id").limit(k)
+
     # -- merging
 
     def due(self, fan: int = FAN) -> list[dict]:
@@ -284,8 +315,8 @@ class Segments:
         """Remove what only older states than the `keep` newest name, once no reader needs it and no writer is at work."""
         known = sorted(int(n.removesuffix(".json")) for n in storage.names(self.spark, f"{self.path}/manifests") if n.endswith(".json"))
         kept = [Segments.open(self.spark, self.path, v).head for v in known[-max(1, keep) :]]
-        named = {s["name"] for h in kept for s in h.segments} | {r["name"] for h in kept for r in h.removals}
-        for folder in (*TABLES, "removed"):
+        named = {x["name"] for h in kept for x in (*h.segments, *h.removals, *h.vectors)}
+        for folder in (*TABLES, "removed", "ann"):
             for n in storage.names(self.spark, f"{self.path}/{folder}"):
                 if n.split("=")[-1] not in named:
                     storage.remove(self.spark, f"{self.path}/{folder}/{n}")

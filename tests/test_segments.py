@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import fts, indexing, store
+from docquarry.operators import ann, fts, indexing, store, vectors
 from docquarry.operators.segments import TABLES, Conflict, Segments
 from docquarry.sources import parsers, storage
 from docquarry.sources.corpora import Config
@@ -154,6 +154,43 @@ def test_small_segments_are_merged(spark, tmp_path):
     same_as_rebuilt(s, "text")
 
 
+def test_vector_index_of_a_corpus(spark, tmp_path):
+    """Search through the index, with all of it walked, is exact search, whatever was added, refreshed, removed or merged since."""
+    import random
+
+    rng = random.Random(2)
+    unit = lambda: [rng.gauss(0, 1) for _ in range(8)]
+    s = Segments.open(spark, str(tmp_path / "c"))
+
+    def more(s, names):
+        s = s.register(paths(spark, *names))
+        ids = {r["name"]: r.id for r in s.documents.collect()}
+        rows = [((ids[n] << 20) + i, ids[n], i, [], 1, "m", f"text {n}") for n in names for i in range(2)]
+        return s.put_chunks(spark.createDataFrame(rows, TABLES["chunks"]), spark.createDataFrame([(r[0], r[1], unit()) for r in rows], TABLES["vectors"]))
+
+    s = more(s, [f"d{i}" for i in range(150)])
+    assert s.index_vectors(least=10**6).head.vectors == ()
+    s = s.index_vectors()
+    q, wide = unit(), 10**6
+    exact = lambda s: [r.id for r in vectors.knn(s.rows("vectors"), q, 500, "chunk_id", "vector").collect()]
+    near = lambda s: [r.id for r in s.near(q, 500).collect()]
+    ann.VectorIndex.read(spark, f"{s.path}/ann/{s.head.vectors[0]['name']}")
+    old = ann.VectorIndex.search
+    ann.VectorIndex.search = lambda self, v, k, dead=None: old(self, v, k, probes=wide, width=ann.PART_ROWS, dead=dead)
+    try:
+        assert near(s) == exact(s) and len(near(s)) == 300
+        s = more(s, ["d0", "d1", "x", "y"])  # two of them for the second time
+        s = s.delete(s.documents.filter("name IN ('d5', 'y')").select("id"))
+        assert near(s) == exact(s) and len(near(s)) == 300
+        merged = s.merge(list(s.head.segments))
+        assert near(merged) == exact(merged) == exact(s)
+        merged.vacuum(1)
+        assert near(merged.index_vectors()) == exact(merged)
+    finally:
+        ann.VectorIndex.search = old
+    assert indexing.Corpus.read(spark, s.path).search("text", embed=lambda t: F.array(*[F.lit(float(x)) for x in q])).count() == 20
+
+
 def test_upload_in_one_call(spark, tmp_path):
     """Below the threshold files wait; then all that wait are indexed in one call."""
     folder, path, config = str(tmp_path / "files"), str(tmp_path / "c"), Config(reindex_threshold=3)
