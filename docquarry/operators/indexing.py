@@ -27,8 +27,9 @@ def chunk_blocks(blocks: DataFrame, config: Config, chunker: chunking.Chunker =
 
 def embed_chunks(chunks: DataFrame, embed: Embedder, column: str = "embedding_input") -> DataFrame:
     """Rows of the vector table: unit vectors of the chunks' inputs."""
-    v = vectors.normalise(vectors.doubles(embed(F.col(column))))
-    return chunks.select(F.col("id").alias("chunk_id"), "document_id", v.cast("array<float>").alias("vector"))
+    # a step of its own, as a function of a model can stand in no lambda and must run once
+    raw = chunks.select(F.col("id").alias("chunk_id"), "document_id", vectors.doubles(embed(F.col(column))).alias("v"))
+    return raw.select("chunk_id", "document_id", vectors.normalise(F.col("v")).cast("array<float>").alias("vector"))
 
 
 @dataclass
