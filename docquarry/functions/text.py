@@ -81,3 +81,13 @@ def last_n(a: Column, n: int) -> Column:
 def fixed(c: Column, digits: int = 3) -> Column:
     """A number with that many decimals and no grouping; null for null."""
     return F.format_string(f"%.{digits}f", c.cast("double"))
+
+
+def list_to_json(c: Column) -> Column:
+    """A list of texts as it is stored in a text column; null for null."""
+    return F.to_json(c)
+
+
+def list_from_json(c: Column) -> Column:
+    """The list that list_to_json wrote; what is no list of texts is null."""
+    return F.from_json(c, "array<string>")

@@ -650,6 +650,39 @@ def pdf_blocks(spark, sf):
     return b.select("id", "position", "type", "text", F.coalesce("level", F.lit(0)).alias("level"), F.col("metadata.page").alias("page"), F.coalesce("metadata.font_size", F.lit(0.0)).alias("font_size"))
 
 
+def _docx(rows):
+    """DOCX files of rows(path, source, doc_id): styled paragraphs, a table, lists and code."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda text, style="": f"<w:p>{f'<w:pPr><w:pStyle w:val=\"{style}\"/></w:pPr>' if style else ''}<w:r><w:t>{text}</w:t></w:r></w:p>"
+    cell = lambda text: f"<w:tc>{p(text)}</w:tc>"
+    for pdf in rows:
+        out = []
+        for source, doc_id in zip(pdf["source"], pdf["doc_id"]):
+            table_ = f"<w:tbl><w:tr>{cell('a')}{cell(doc_id)}</w:tr><w:tr>{cell('b')}{cell('c')}</w:tr></w:tbl>"
+            body = p(f"About {source}", "Heading1") + p(f"Word {doc_id}") + p("") + p("Part", "Heading3") + table_ + p("one", "ListBullet") + p("two", "ListBullet") + p("x = 1", "Code") + p(f"y = {doc_id}", "Code") + p("end")
+            styles = "".join(f'<w:style w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for i, n in (("Heading1", "heading 1"), ("Heading3", "Heading 3"), ("ListBullet", "List Bullet"), ("Code", "Code")))
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w") as z:
+                z.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
+                z.writestr("word/styles.xml", f"<w:styles {space}>{styles}</w:styles>")
+            out.append(raw.getvalue())
+        yield pd.DataFrame({"id": pdf["doc_id"], "content": out})
+
+
+@register("""WITH d AS (SELECT doc_id AS id, source FROM documents)
+SELECT id, 0 AS position, 'heading' AS type, 'About ' || source AS text, 1 AS level, '' AS language FROM d UNION ALL SELECT id, 1, 'paragraph', 'Word ' || id, 0, '' FROM d
+UNION ALL SELECT id, 2, 'heading', 'Part', 3, '' FROM d UNION ALL SELECT id, 3, 'table', 'a | ' || id || chr(10) || 'b | c', 0, '' FROM d
+UNION ALL SELECT id, 4, 'list', '- one' || chr(10) || '- two', 0, '' FROM d UNION ALL SELECT id, 5, 'code', 'x = 1' || chr(10) || 'y = ' || id, 0, '' FROM d UNION ALL SELECT id, 6, 'paragraph', 'end', 0, '' FROM d""")
+def docx_blocks(spark, sf):
+    files = table(spark, sf, "documents").select("doc_id", "source").mapInPandas(_docx, "id long, content binary")
+    return _plain_blocks(parsers.blocks(files, "id", "content", "docx"))
+
+
 _BODY = chunking.budget()[0]
 
 
@@ -684,8 +717,8 @@ def heading_level(spark, sf):
 
 @register("SELECT doc_id, to_json([lang, source])::varchar AS crumbs, [lang, source] AS back FROM documents")
 def crumbs_json(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.to_json(F.array("lang", "source")).alias("crumbs"))
-    return d.withColumn("back", F.from_json("crumbs", T.ArrayType(T.StringType())))
+    d = table(spark, sf, "documents").select("doc_id", X.list_to_json(F.array("lang", "source")).alias("crumbs"))
+    return d.withColumn("back", X.list_from_json(F.col("crumbs")))
 
 
 # -- from files to hits
@@ -773,13 +806,15 @@ def password_hash(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", access.hash_password(F.col("c_name"), F.col("c_mktsegment")).alias("password_hash"))
 
 
-@register("SELECT doc_id, true AS is_indexed FROM documents")
+@register("""SELECT doc_id, doc_id <= (SELECT max(doc_id) - 7 FROM documents) AS is_indexed FROM documents""")
 def stream_threshold(spark, sf):
-    """The documents table as a file stream through the threshold indexer."""
+    """The documents table as a stream of three files through the threshold indexer: four documents wait, all but seven come and are indexed with them, seven wait."""
     from docquarry.streaming import threshold
 
-    state = f"{storage.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType())])
-    # a glob, since a stream takes no single file by its plain name
-    threshold.run(spark, f"{sf}/documents.parque[t]", schema, state, 10).awaitTermination()
-    return threshold.latest(spark, state).select("doc_id", "is_indexed")
+    base = f"{storage.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    last = d.agg(F.max("doc_id")).first()[0]
+    for low, high in ((-1, 3), (3, last - 7), (last - 7, last)):
+        d.filter((F.col("doc_id") > low) & (F.col("doc_id") <= high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        threshold.run(spark, f"{base}/in", d.schema, f"{base}/state", 10).awaitTermination()
+    return threshold.latest(spark, f"{base}/state").select("doc_id", "is_indexed")
