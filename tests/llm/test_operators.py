@@ -755,11 +755,14 @@ def test_symbols_are_rejected(spark):
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_sql(spark, sf, name):
-    got = registry.queries()[name](spark, sf).toPandas()
-    want = duck(sf).execute(registry.oracle_sql()[name]).df()
-    columns = sorted(want.columns)
+    """Row by row as the engines give them: a frame would make numbers beside nulls into floats on one side alone."""
+    got = registry.queries()[name](spark, sf)
+    want = duck(sf).execute(registry.oracle_sql()[name])
+    columns = sorted(d[0] for d in want.description)
     assert sorted(got.columns) == columns
-    assert same_rows(got, columns) == same_rows(want, columns)
+    place = [[d[0] for d in want.description].index(c) for c in columns]
+    as_text = lambda rows: sorted(tuple(plain(v) for v in r) for r in rows)
+    assert as_text(got.select(*columns).collect()) == as_text([r[i] for i in place] for r in want.fetchall())
 
 
 def test_language_query_accuracy(spark, sf):
