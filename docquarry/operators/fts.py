@@ -11,7 +11,8 @@ import logging
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -72,24 +73,27 @@ def totals(lengths: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Index:
     """Postings are made row by row, as a document is one row: no token is shuffled before it is stored."""
     t = docs.select(F.col(id_col).cast("long").alias("id"), X.tokens(F.col(text_col)).alias("t"))
-    return Index(t.mapInPandas(_postings, "id long, token string, positions array<int>, dl long"), t.select("id", F.size("t").cast("long").alias("dl")))
-
-
-def _postings(batches, most: int = 100_000):
-    columns = ("id", "token", "positions", "dl")
-    out: tuple = ([], [], [], [])
-    for pdf in batches:
-        for id_, tokens in zip(pdf["id"], pdf["t"]):
-            at: dict = {}
-            for i, token in enumerate(tokens):
-                at.setdefault(token, []).append(i)
-            for column, values in zip(out, ([id_] * len(at), at, at.values(), [len(tokens)] * len(at))):
-                column.extend(values)
-            if len(out[0]) >= most:
-                yield pd.DataFrame(dict(zip(columns, out)))
-                out = ([], [], [], [])
-    if out[0]:
-        yield pd.DataFrame(dict(zip(columns, out)))
+    return Index(t.mapInArrow(_postings, "id long, token string, positions array<int>, dl long"), t.select("id", F.size("t").cast("long").alias("dl")))
+
+
+def _postings(batches):
+    """Each batch's tokens are numbered, ordered by row and token, and cut where these change; positions stay in order."""
+    for batch in batches:
+        tokens, ids = batch.column("t"), batch.column("id")
+        values = tokens.flatten()
+        if not len(values):
+            continue
+        starts = tokens.offsets.to_numpy()
+        lengths = np.diff(starts)
+        coded = values.dictionary_encode()
+        code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(tokens)), lengths)
+        place = np.arange(len(code)) - np.repeat(starts[:-1] - starts[0], lengths)
+        key = row * len(coded.dictionary) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+        row, code = row[order][first], code[order][first]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), coded.dictionary.take(pa.array(code)), positions, pa.array(lengths[row], pa.int64())], ["id", "token", "positions", "dl"])
 
 
 def refresh_index(index: Index, changed: DataFrame, removed: DataFrame) -> Index:
