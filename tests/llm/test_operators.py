@@ -602,12 +602,95 @@ def test_one_edited_copy_in_many_texts(spark, words, every, copies):
     assert {r.doc_id for r in got} == set(range(copies)) and all(0.6 < r.score < 0.8 for r in got)
 
 
-def test_most_score_bounds_alignment():
-    rng = np.random.default_rng(8)
-    for _ in range(200):
-        a, b = (rng.integers(1, 9, n).astype(np.uint64) for n in rng.integers(1, 20, 2))
-        best, _ = decontaminate.align([a], [b])
-        assert best[0] <= 2 * len(a) * decontaminate.most_score(np.sort(a), b) + 1e-9
+def plain_score(item, text):
+    """Best local alignment over that of the item with itself, by the plain table."""
+    row, top = [0] * (len(text) + 1), 0
+    for x in item:
+        new = [0] * (len(text) + 1)
+        for j, y in enumerate(text):
+            new[j + 1] = max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1)
+        top, row = max(top, *new), new
+    return round(top / (2 * len(item)), 6)
+
+
+def edited(rng, item, share):
+    """Words changed, left out and added, each with a third of the share."""
+    out = []
+    for w in item:
+        x = rng.random() / share * 3
+        out += ["other"] if x < 1 else [] if x < 2 else [w, rng.choice(EN_LONG)] if x < 3 else [w]
+    return out
+
+
+@pytest.mark.parametrize("threshold, hits", [(0.5, 3), (0.5, 1), (0.3, 2), (0.8, 50)])
+def test_no_copy_escapes(spark, threshold, hits):
+    """Against the plain table over all texts and items: long runs of edits, frequent words, copies that many texts hold."""
+    rng = random.Random(int(threshold * 10) + hits)
+    items = [[rng.choice(EN_LONG if k % 2 else EN_LONG[:6]) for _ in range(rng.choice([8, 9, 15, 38, 60]))] for k in range(16)]
+    fill = lambda n: [rng.choice(EN_LONG[: rng.choice([6, 110])]) for _ in range(n)]
+    texts = [fill(rng.choice([0, 5, 60])) + edited(rng, rng.choice(items), rng.choice([0.1, 0.4, 0.6, 0.9])) + fill(rng.choice([0, 7, 90])) for _ in range(150)] + [items[3] + fill(4)] * 20
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    score = {(i, k): plain_score(x, t) for i, t in enumerate(texts) for k, x in enumerate(items)}
+    want = {p: s for p, s in score.items() if s >= threshold}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, bench, threshold=threshold, hits=hits).collect()}
+    assert got == want and len(want) > 40
+
+
+@pytest.mark.parametrize("edit", ["change", "add", "leave out"])
+def test_regular_edits_at_the_threshold(spark, edit):
+    """A copy without any three, or two, words of its item in a row."""
+    item = [f"w{i}" for i in range(38)]
+    copy = {
+        "change": [f"new{i}" if i % 3 == 2 else w for i, w in enumerate(item)],
+        "add": [x for w in item for x in (w, "and")][:-1],
+        "leave out": [w for i, w in enumerate(item) if i % 3 != 2],
+    }[edit]
+    docs = spark.createDataFrame([(1, "before " + " ".join(copy) + " after"), (2, " ".join(item[:12]))], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in got] == [(1, 7, plain_score(item, copy))]
+
+
+def test_rare_seeds_are_looked_up(spark):
+    """Of an item the places that other texts hold too are not looked up; none is, where none is rare enough."""
+    item = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(item[:19])) for i in range(30)], "doc_id long, text string")
+    rule = decontaminate.Rule(0.5, 3, 8)
+    places = decontaminate.rare_places(docs, 1, spark.sparkContext.broadcast([" ".join(item)]), rule).collect()
+    # 40 points take 19 of 39 places; 3 of them are among any 23
+    assert sorted(r.place for r in places) == [0, 17, *range(18, 39)]
+
+
+def test_decontamination_odd_cases(spark):
+    """Repeated rows, null ids, items with equal texts, clashing columns, an empty benchmark, short items."""
+    text = " ".join(EN_LONG[:30])
+    schema = "doc_id long, text string, item_id string, score string, seed string, place string, m string"
+    docs = spark.createDataFrame([(1, text, *"abcde"), (1, text, *"abcde"), (None, text, *"abcde"), (3, "one of two words", *"abcde")], schema)
+    bench = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, text, "x"), (None, text, "x"), (4, "of two", "x"), (5, "one two", "x")], "item_id long, text string, doc_id string")
+    got = Counter((r.doc_id, r.item_id, r.score) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == Counter([(1, 1, 1.0), (1, 2, 1.0), (None, 1, 1.0), (None, 2, 1.0), (3, 4, 1.0)])
+    for d, b in ((docs, bench.limit(0)), (docs.limit(0), bench)):
+        assert decontaminate.contaminated(d, b).collect() == []
+
+
+def test_benchmark_table_like_the_plain_table(spark, sf):
+    texts = [(d, pattern_words(t)) for d, t in ((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())]
+    items = [(r.item_id, pattern_words(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    number = defaultdict(lambda: len(number) + 1)
+    as_ids = lambda ws: np.array([number[w] for w in ws], np.uint64)
+    texts, items = [(d, as_ids(w)) for d, w in texts], [(k, as_ids(w)) for k, w in items]
+    want = {}
+    for d, t in texts:
+        if len(t):
+            best, _ = decontaminate.align([x for _, x in items], [t] * len(items))
+            want |= {(d, k): s for (k, x), b in zip(items, best.tolist()) if (s := round(b / (2 * len(x)), 6)) >= 0.5}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.query(spark, sf).collect()}
+    assert got == want and want
+
+
+def pattern_words(text):
+    lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
+    return [w for w in "".join(c if not c.isascii() or c.isalnum() else " " for c in lowered).split(" ") if w]
 
 
 EN_LONG = [f"{a}{b}" for a in X.EN for b in ("", "ing", "er", "ly", "s")]
