@@ -27,6 +27,14 @@ def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     return docs.join(verdict.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
     return _keep(docs, neardup.near_duplicates(docs).filter("NOT kept").select("doc_id"))
@@ -46,7 +54,7 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that hold a copy of a benchmark item, edited or not, go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # judged by text, so rows that share an id, or have none, stand or fall by their own
-    key = "_text_key"
+    key = _free(docs, "text_key")
     keyed = docs.withColumn(key, F.xxhash64("text"))
     hit = decontaminate.contaminated(keyed, benchmark, id_col=key).select(F.col("doc_id").alias(key)).distinct()
     return keyed.join(hit, key, "left_anti").select(*docs.columns)
