@@ -4,6 +4,8 @@ import zlib
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
+
 from docquarry.llm import subwords
 from tests.llm import fixtures as X
 
@@ -67,6 +69,14 @@ def test_benchmark_copies_with_one_id(spark, world):
     assert got.columns == docs.columns and sorted(r.text for r in got.collect()) == ["a clean text with an id that is not its own", "another clean text"]
 
 
+def test_columns_with_clashing_names_are_kept(spark, world):
+    base, texts = world
+    docs = X.frame(spark, [(1, texts[6], "en"), (2, "a clean text of few words", "en")])
+    docs = docs.withColumn("text_key", F.concat(F.lit("own "), "doc_id")).withColumn("TEXT_KEY_", F.lit("own"))
+    got = P.drop_benchmark_copies(spark, docs, base)
+    assert got.columns == docs.columns and [(r.doc_id, r.text_key, r.TEXT_KEY_) for r in got.collect()] == [(2, "own 2", "own")]
+
+
 def test_run(spark, world):
     base, _ = world
     assert P.run(spark, base).count() > 0 and [n for n, _ in P.STAGES] == ["language", "near_duplicates", "substrings", "decontamination", "packing"]
