@@ -12,8 +12,9 @@ A coordinate is a 63-bit key: 16 bits of the dimension, 31 bits of a hash of the
 hashes part what a dimension cannot.  The weighted quantile is found by distributed radix descent: bytes are summed by
 (node, next digit), pre-aggregated before the shuffle, the cell in which the target lies is descended into until the bytes of that
 cell are within `tolerance` of the node's.  A group of equal texts is never parted, unless it is larger than `group_share` of
-a shard: then its rows are dealt out, so that bytes stay near equal.  The driver receives the sums of one digit, at most 1024 for
-each node and step.
+a shard: then its rows are dealt out, so that bytes stay near equal.  Where a group that stays whole makes the cut miss its goal by
+more than `miss_share` of a shard, the node is cut along its next widest dimension, in which the group stands elsewhere; if all
+of them miss, along the one that misses least.  The driver receives the sums of one digit, at most 1024 for each node and step.
 
 slot: rows of a shard are numbered in salted subgroups of about `slot_group` rows, whose offsets are sums of their counts.
 
@@ -105,7 +106,10 @@ def _node(n: int):
 
 
 def _descend(base: DataFrame, splits: dict, goals: dict, tolerance: float, group_bytes: float) -> dict:
-    """Boundary of each node: the key below which its bytes come closest to the goal.  goals: node -> (dimension, bytes left of the cut, bytes of the node)."""
+    """(boundary, bytes by which a group that stays whole makes it miss) of each node: the key below which its bytes come closest to the goal.
+
+    goals: node -> (dimension, bytes left of the cut, bytes of the node).
+    """
     found, prefix, before = {}, dict.fromkeys(goals, 0), dict.fromkeys(goals, 0)
     for above, shift in zip((BITS, *SHIFTS), SHIFTS):
         left = {n: g for n, g in goals.items() if n not in found}
@@ -126,14 +130,27 @@ def _descend(base: DataFrame, splits: dict, goals: dict, tolerance: float, group
                 if low + size >= goals[n][1]:
                     break
                 low += size
-            if size <= tolerance * goals[n][2] or shift == 0 or (shift == ROW_BITS and size <= group_bytes):
-                cell += abs(low + size - goals[n][1]) < abs(low - goals[n][1])
-                found[n] = min(cell << shift, (1 << BITS) - 1)
+            under, over = abs(low - goals[n][1]), abs(low + size - goals[n][1])
+            whole = shift == ROW_BITS and size <= group_bytes
+            if size <= tolerance * goals[n][2] or shift == 0 or whole:
+                found[n] = min((cell + (over < under)) << shift, (1 << BITS) - 1), min(under, over) if whole else 0
             else:
                 prefix[n], before[n] = cell, low
     return found
 
 
+def _cuts(base: DataFrame, splits: dict, nodes: dict, tolerance: float, group_bytes: float, miss_bytes: float) -> dict:
+    """node -> (dimension, boundary).  nodes: node -> (dimensions by falling width, bytes left of the cut, bytes of the node)."""
+    best: dict = {}  # node -> (miss, turn, dimension, boundary)
+    for turn in range(len(DIMENSIONS)):
+        goals = {n: (dims[turn], goal, size) for n, (dims, goal, size) in nodes.items() if turn < len(dims) and (n not in best or best[n][0] > miss_bytes)}
+        if not goals:
+            break
+        for n, (at, miss) in _descend(base, splits, goals, tolerance, group_bytes).items():
+            best[n] = min(best.get(n, (miss, turn, goals[n][0], at)), (miss, turn, goals[n][0], at))
+    return {n: cut[2:] for n, cut in best.items()}
+
+
 def partition(
     docs: DataFrame,
     *,
@@ -143,7 +160,8 @@ def partition(
     source_col: str = "source",
     shards: int = 24,
     tolerance: float = 0.0005,
-    group_share: float = 0.05,
+    group_share: float = 1.0,
+    miss_share: float = 0.025,
     slot_group: int = 10_000,
 ) -> DataFrame:
     """Shard and slot of every row; shards differ little in bytes."""
@@ -159,12 +177,13 @@ def partition(
         got = {r["node"]: r for r in stats.collect()}
         if rows is None:
             rows, total = sum(r["rows"] for r in got.values()), sum(r["bytes"] for r in got.values())
-        goals = {}
+        nodes = {}
         for n, r in got.items():
-            dim = max(DIMENSIONS, key=lambda k, r=r: r[f"w{k}"])
-            goals[n] = (dim, r["bytes"] * (leaves[n][1] // 2) // leaves[n][1], r["bytes"])
-        level = _descend(base, splits, goals, tolerance, group_share * total / shards)
-        splits |= {n: (goals[n][0], level[n]) for n in level}
+            dims = sorted(DIMENSIONS, key=lambda k, r=r: -r[f"w{k}"])
+            dims = [k for k in dims if r[f"w{k}"]] or dims[:1]
+            nodes[n] = (dims, r["bytes"] * (leaves[n][1] // 2) // leaves[n][1], r["bytes"])
+        level = _cuts(base, splits, nodes, tolerance, group_share * total / shards, miss_share * total / shards)
+        splits |= level
         for n in wide:
             first, k = leaves.pop(n)
             if n not in level:  # no rows

@@ -731,45 +731,55 @@ def test_sharding(spark, docs):
 def test_tree_like_brute_force(spark, sf, monkeypatch):
     """Shards of the whole query: widest dimension, weighted quantile and groups, from all coordinates sorted in one place."""
     monkeypatch.setattr(sharding, "HOT", 1e-9)
-    shards, share = 24, 0.05
+    shards = 24
     base = [r.asDict() for r in sharding.coordinates(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", "lang", "source").collect()]
-    most = share * sum(r["size"] for r in base) / shards
+    most = sum(r["size"] for r in base) / shards
     key = lambda r, k: r[f"v{k}"] << 47 | r["tail"]
-    want, used = {}, Counter()
+    want, used, later = {}, Counter(), Counter()
 
-    def split(rows, first, n):
-        if n == 1 or not rows:
-            want.update({r["doc_id"]: first for r in rows})
-            return
-        dim = max(sharding.DIMENSIONS, key=lambda k: max(r[f"v{k}"] for r in rows) - min(r[f"v{k}"] for r in rows))
-        used[dim] += 1
-        rows = sorted(rows, key=lambda r: key(r, dim))
-        goal, size = sum(r["size"] for r in rows) * (n // 2) // n, Counter()
+    def cut(rows, dim, goal):
+        """(bytes by which a whole group makes the cut miss, boundary)."""
+        size, low = Counter(), 0
         for r in rows:
             size[key(r, dim) >> 16] += r["size"]
-        low = 0
         for g in sorted(size):
             if low + size[g] >= goal:
                 break
             low += size[g]
+        under, over = abs(low - goal), abs(low + size[g] - goal)
         if size[g] <= most:
-            at = (g + (abs(low + size[g] - goal) < abs(low - goal))) << 16
-        else:
-            own = Counter()
-            for r in rows:
-                if key(r, dim) >> 16 == g:
-                    own[key(r, dim)] += r["size"]
-            for at in sorted(own):
-                if low + own[at] >= goal:
-                    break
-                low += own[at]
-            at += abs(low + own[at] - goal) < abs(low - goal)
+            return min(under, over), (g + (over < under)) << 16
+        own = Counter()
+        for r in rows:
+            if key(r, dim) >> 16 == g:
+                own[key(r, dim)] += r["size"]
+        for at in sorted(own):
+            if low + own[at] >= goal:
+                break
+            low += own[at]
+        return 0, at + (abs(low + own[at] - goal) < abs(low - goal))
+
+    def split(rows, first, n):
+        if n == 1 or not rows:
+            want.update({r["doc_id"]: first for r in rows})
+            return
+        width = {k: max(r[f"v{k}"] for r in rows) - min(r[f"v{k}"] for r in rows) for k in sharding.DIMENSIONS}
+        dims = sorted(width, key=lambda k: -width[k])
+        cuts = []
+        for dim in [k for k in dims if width[k]] or dims[:1]:
+            miss, at = cut(sorted(rows, key=lambda r: key(r, dim)), dim, sum(r["size"] for r in rows) * (n // 2) // n)
+            cuts.append((miss, len(cuts), dim, at))
+            if miss <= 0.025 * most:
+                break
+        _, turn, dim, at = min(cuts)
+        used[dim] += 1
+        later[turn] += 1
         split([r for r in rows if key(r, dim) < at], first, n // 2)
         split([r for r in rows if key(r, dim) >= at], first + n // 2, n - n // 2)
 
     split(base, 0, shards)
     got = {r.doc_id: r.shard for r in sharding.partition(spark.read.parquet(f"{sf}/documents.parquet"), tolerance=0.0).collect()}
-    assert got == want and len(used) >= 3
+    assert got == want and len(used) >= 3 and any(later[k] for k in range(1, 5))
     near = Counter()
     for r in registry.queries()["op9_sharding"](spark, sf).collect():
         near[r.shard] += r["size"]
@@ -781,9 +791,23 @@ def test_equal_texts_stay_together(spark):
     rows = [(i, " ".join(rng.choice(X.EN) for _ in range(rng.randrange(5, 60))), rng.choice(["en", "de", None])) for i in range(800)]
     rows += [(1000 + i, rows[i % 40][1], "fr") for i in range(120)]
     shard = defaultdict(set)
-    for r in sharding.partition(X.frame(spark, rows), shards=6, group_share=0.5).collect():
+    bytes_ = Counter()
+    for r in sharding.partition(X.frame(spark, rows), shards=6).collect():
         shard[dict((d, t) for d, t, _ in rows)[r.doc_id]].add(r.shard)
+        bytes_[r.shard] += r["size"]
+    assert all(len(x) == 1 for x in shard.values())
+    assert max(bytes_.values()) <= 1.05 * sum(bytes_.values()) / 6
+
+
+def test_groups_of_most_of_a_shard_stay_together(spark):
+    rows = [(i, f"text {i} of a plain kind {'x' * (i % 37)}", "en") for i in range(900)]
+    rows += [(1000 + i, f"group {i % 3} of many copies {'y' * 20 * (i % 3)}", ["en", "de", "fr"][i % 3]) for i in range(270)]
+    texts, shard, sizes = {d: t for d, t, _ in rows}, defaultdict(set), Counter()
+    for r in sharding.partition(X.frame(spark, rows), shards=6).collect():
+        shard[texts[r.doc_id]].add(r.shard)
+        sizes[r.shard] += r["size"]
     assert all(len(x) == 1 for x in shard.values())
+    assert max(sizes.values()) <= 1.2 * sum(sizes.values()) / 6
 
 
 def test_large_group_of_copies_is_dealt_out(spark):
