@@ -3,9 +3,11 @@
 import io
 import zipfile
 
+import duckdb
 import pytest
 
 from docquarry.operators import breadcrumbs, chunking
+from docquarry.plans import catalog
 from docquarry.sources import parsers
 
 TXT = """# Guide to Ponds
@@ -167,3 +169,13 @@ def test_chunks(spark):
     assert all(chunking.DEFAULT.count(c["embedding_input"]) <= chunking.MODEL_MAX for c in out)
     assert chunking.budget() == (338, 512)
     assert chunking.DEFAULT.build_chunks([{"type": "heading", "level": 1, "text": "h", "breadcrumbs": []}, {"type": "paragraph", "level": None, "text": " ", "breadcrumbs": []}]) == []
+
+
+def test_references_without_a_semicolon_in_titles(spark, tmp_path):
+    """They are text in html_headings, as in its twin; the parser itself reads them as browsers do."""
+    pages = [(1, "u", "<body><h1>a &amp; b &amp</h1><p>x"), (2, "u", "<body><h1>&&&lt;i&gt; &quot</h1>"), (3, "u", "<body><h1>R&D & more &amp;lt;</h1>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.id: r.text for r in catalog.queries()["html_headings"](spark, str(tmp_path)).collect()}
+    want = duckdb.sql(catalog.oracle_sql()["html_headings"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert got == {1: "a & b &amp", 2: "&&<i> &quot", 3: "R&D & more &lt;"} == dict(want)
+    assert parsers.parse_html("<h1>a &amp</h1>")[0]["text"] == "a &"
