@@ -120,10 +120,10 @@ def matches(index: Index, phrases: list[list[str]]) -> DataFrame:
     return by_doc.select("id", "dl", *tf)
 
 
-def bm25(index: Index, query: str, k: int = 200) -> DataFrame:
+def bm25(index: Index, query: str, k: int | None = 200) -> DataFrame:
     """(id, score): the k best documents that hold all words of the query; lower scores are better, ties go by id.
 
-    A word given twice counts twice.  A query without a word gives no rows.
+    A word given twice counts twice.  A query without a word gives no rows.  Without k all documents come, in no order.
     """
     phrases = X.query_phrases(query)
     if not phrases:
@@ -141,7 +141,8 @@ def bm25(index: Index, query: str, k: int = 200) -> DataFrame:
         tf = F.col(f"tf{i}")
         parts.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
     score = F.round(-reduce(lambda a, b: a + b, parts), 9)
-    return rows.select("id", score.alias("score")).orderBy("score", "id").limit(k)
+    scored = rows.select("id", score.alias("score"))
+    return scored if k is None else scored.orderBy("score", "id").limit(k)
 
 
 def bm25_or_none(index: Index, query: str, k: int = 200) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import threading
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import ann, fts, indexing, store, vectors
 from docquarry.operators.segments import TABLES, Conflict, Segments
+from docquarry.plans import catalog
 from docquarry.sources import parsers, storage
 from docquarry.sources.corpora import Config
 
@@ -218,3 +220,17 @@ def test_parsers_read_some_files(spark, tmp_path):
     assert parsers.read_files(spark, [f"{tmp_path}/a.txt", f"{tmp_path}/c.txt"]).count() == 2
     with pytest.raises(FileNotFoundError):
         parsers.read_files(spark, [f"{tmp_path}/a.txt", f"{tmp_path}/z.txt"])
+
+
+def test_a_cut_through_equal_scores(spark, tmp_path):
+    """More documents of one score than corpus_after_changes keeps: those of the smallest numbers stay, not those whose paths come first."""
+    n = 100_050
+    spark.range(1, n + 1).selectExpr("id AS doc_id", "CASE WHEN id % 10 = 0 THEN 'and' WHEN id % 1000 = 1 THEN 'the and and' ELSE 'the and so' END AS text").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(n + 1, n + 201).selectExpr("id AS doc_id", "'the and so' AS text").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["corpus_after_changes"](spark, str(tmp_path)).toPandas()
+    sql = catalog.oracle_sql()["corpus_after_changes"]
+    for t in ("documents", "labels"):
+        sql = sql.replace(f"FROM {t} ", f"FROM '{tmp_path}/{t}.parquet/*.parquet' ")
+    want = duckdb.sql(sql).df()
+    assert len(got) == 100_000 and set(got["document_path"]) == set(want["document_path"])
