@@ -18,6 +18,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.functions import slices
 from docquarry.functions import text as X
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -77,23 +78,29 @@ def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "text") ->
 
 
 def _postings(batches):
-    """Each batch's tokens are numbered, ordered by row and token, and cut where these change; positions stay in order."""
+    """Slices of the batches, so that the numbers of one slice's tokens are held at a time."""
     for batch in batches:
-        tokens, ids = batch.column("t"), batch.column("id")
-        values = tokens.flatten()
-        if not len(values):
-            continue
-        starts = tokens.offsets.to_numpy()
-        lengths = np.diff(starts)
-        coded = values.dictionary_encode()
-        code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(tokens)), lengths)
-        place = np.arange(len(code)) - np.repeat(starts[:-1] - starts[0], lengths)
-        key = row * len(coded.dictionary) + code
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
-        row, code = row[order][first], code[order][first]
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), coded.dictionary.take(pa.array(code)), positions, pa.array(lengths[row], pa.int64())], ["id", "token", "positions", "dl"])
+        for a, b in slices.slices(batch.column("t")):
+            yield from _posted(batch.slice(a, b - a))
+
+
+def _posted(batch):
+    """A slice's tokens are numbered, ordered by row and token, and cut where these change; positions stay in order."""
+    tokens, ids = batch.column("t"), batch.column("id")
+    values = tokens.flatten()
+    if not len(values):
+        return
+    starts = tokens.offsets.to_numpy()
+    lengths = np.diff(starts)
+    coded = values.dictionary_encode()
+    code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(tokens)), lengths)
+    place = np.arange(len(code)) - np.repeat(starts[:-1] - starts[0], lengths)
+    key = row * len(coded.dictionary) + code
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+    row, code = row[order][first], code[order][first]
+    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), coded.dictionary.take(pa.array(code)), positions, pa.array(lengths[row], pa.int64())], ["id", "token", "positions", "dl"])
 
 
 def refresh_index(index: Index, changed: DataFrame, removed: DataFrame) -> Index:

@@ -1,5 +1,6 @@
 """Work in slices: a worker makes objects and results of a slice at a time, not of a whole batch."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.functions import slices
-from docquarry.operators import chunking
+from docquarry.operators import chunking, fts
 from docquarry.sources import parsers
 
 
@@ -34,6 +35,16 @@ def test_results_are_handed_on_in_slices(make):
     assert sum(map(len, out)) == 2000 and max(map(len, out)) < 500
 
 
+def test_postings_in_slices():
+    texts = [["a", "b", "a"] * 2000 for _ in range(300)]  # 1.8 million tokens
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), pa.array(texts, pa.list_(pa.string()))], ["id", "t"])
+    out = list(fts._postings([batch]))
+    assert max(b.num_rows for b in out) < 200
+    got = {(r["id"], r["token"]): r for b in out for r in b.to_pylist()}
+    assert len(got) == 600 and all(r["dl"] == 6000 and len(r["positions"]) == (4000 if r["token"] == "a" else 2000) for r in got.values())
+    assert got[299, "b"]["positions"][:3] == [1, 4, 7]
+
+
 def test_chunks_of_rows_with_all_columns(spark):
     b = spark.createDataFrame([Row(id=1, position=0, type="paragraph", text="One. Two.", breadcrumbs=["x"])])
     assert chunking.chunks(b).collect()[0].embedding_input == "x\n\nOne. Two."
