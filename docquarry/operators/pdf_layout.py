@@ -7,11 +7,12 @@ crossings give a grid, a cell is what no rule parts, and every run goes to the c
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from docquarry.functions import slices
 from docquarry.operators import pdf_spans
 
 #: Lines of one block are at most this many sizes apart, base line to base line, and differ in size by less than SAME points.
@@ -139,18 +140,18 @@ def grid_cells(rules: np.ndarray) -> list[tuple]:
 
 
 def cells(items: DataFrame) -> DataFrame:
-    """CELL rows of the ruled tables: one group for each page."""
+    """CELL rows of the ruled tables: one group for each page, its rules gathered by Spark.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = grid_cells(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float))
-        return pd.DataFrame([(key[0], int(key[1]), *r) for r in rows], columns=[c.split()[0] for c in CELL.split(", ")])
-
-    return items.filter("kind = 'rule'").groupBy("doc", "page").applyInPandas(run, CELL)
+    The groups are small but cost time, so that they are dealt to all tasks of a shuffle, whatever their bytes.
+    """
+    found = slices.each(lambda rules: grid_cells(np.array(rules, float)), T.ArrayType(T.StructType(T.StructType.fromDDL(CELL).fields[2:])))
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = items.filter("kind = 'rule'").repartition(parts, "doc", "page").groupBy("doc", "page").agg(F.collect_list(F.array("x0", "y0", "x1", "y1")).alias("rules"))
+    return pages.select("doc", "page", F.explode(found("rules")).alias("c")).select("doc", "page", "c.*")
 
 
-def tables(items: DataFrame, spans_: DataFrame) -> DataFrame:
-    """(doc, page, tab, text, x0, y0, x1, y1): cells joined by ' | ' and rows by line breaks; a run goes to the cell that holds its centre."""
-    c = cells(items)
+def tables(c: DataFrame, spans_: DataFrame) -> DataFrame:
+    """(doc, page, tab, text, x0, y0, x1, y1) of cells c: cells joined by ' | ' and rows by line breaks; a run goes to the cell that holds its centre."""
     s = spans_.select("doc", "page", "line", "seq", "text", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     inside = (s["doc"] == c["doc"]) & (s["page"] == c["page"]) & (s["x"] >= c["x0"]) & (s["x"] < c["x1"]) & (s["y"] >= c["y0"]) & (s["y"] < c["y1"])
     told = c.join(s, inside, "left").select(*[c[n] for n in c.columns], "line", "seq", "text")
@@ -168,7 +169,7 @@ def tables(items: DataFrame, spans_: DataFrame) -> DataFrame:
     return whole.filter(F.regexp_replace("text", r"[\s|]", "") != "")
 
 
-def blocks(items: DataFrame) -> DataFrame:
-    """(id, position, type, text, level, metadata) of the items of readable files."""
+def blocks(items: DataFrame, cells_: DataFrame | None = None) -> DataFrame:
+    """(id, position, type, text, level, metadata) of the items of readable files; cells_: those of items, if they are at hand."""
     s = spans(items)
-    return pdf_spans.blocks(s, tables(items, s))
+    return pdf_spans.blocks(s, tables(cells(items) if cells_ is None else cells_, s))

@@ -1,6 +1,7 @@
 """What work grows with."""
 
 from docquarry.plans import catalog
+from docquarry.sources import pdf
 
 
 def test_a_table_splits_its_text_once(spark, sf):
@@ -8,3 +9,14 @@ def test_a_table_splits_its_text_once(spark, sf):
     assert plan.count("split(") == 1 and "lambdafunction(split(" not in plan
     inside = [line for line in plan.splitlines() if "transform(" in line]
     assert inside and all("split(" not in line for line in inside)
+
+
+def test_tables_of_pdf_files_are_found_once_and_without_a_call_a_page(spark, sf):
+    plan = catalog.queries()["pdf_blocks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_small_files_are_handed_on_together(spark):
+    files = spark.range(0, 50, 1, 1).selectExpr("CAST(id AS string) AS path", "CAST('no file' AS binary) AS content")
+    plan = pdf.read_items(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and pdf.read_items(files).filter("error IS NOT NULL").count() == 50
