@@ -36,3 +36,13 @@ def test_a_pass_is_the_mean_over_tasks(spark):
     assert seen == sum(len(x) - 1 for x in flat)
     for k in start:
         assert np.allclose(got[k], sum(p[k].astype(float) * n for p, n in each) / seen, atol=1e-4)
+
+
+def test_pads_are_hidden_where_they_stand():
+    model = attention.Model(50)
+    model.pad = 9
+    win = np.zeros((3, model.window), np.int32)
+    win[1, :5] = model.pad
+    a = np.zeros((3, model.stride, model.window), np.float32)
+    model._without_pads(a, win)
+    assert (a[1, :, :5] < -1e8).all() and not a[1, :, 5:].any() and not a[[0, 2]].any()
