@@ -15,8 +15,13 @@ BOLD = 16
 
 
 def body_size(spans: DataFrame) -> DataFrame:
-    """(doc, body): the most frequent size to one place; of equally frequent ones the first met."""
-    by_size = spans.groupBy("doc", F.bround("size", 1).alias("s")).agg(F.count("*").alias("n"), F.min(F.struct("page", "block", "line", "seq")).alias("first"))
+    """(doc, body): the most frequent size to one place; of equally frequent ones the first met.
+
+    Sizes of a document are nearly as many as its spans, so that counting before the shuffle would sort for nothing.  Spans are dealt by document once, to all
+    tasks of a shuffle whatever their bytes, and what follows stays there.
+    """
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_size = spans.select("doc", "page", "block", "line", "seq", "size").repartition(parts, "doc").groupBy("doc", F.bround("size", 1).alias("s")).agg(F.count("*").alias("n"), F.min(F.struct("page", "block", "line", "seq")).alias("first"))
     order = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("n"), "first", "s"))
     return by_size.withColumn("r", order).filter("r = 1").select("doc", F.col("s").alias("body"))
 

@@ -20,3 +20,10 @@ def test_small_files_are_handed_on_together(spark):
     files = spark.range(0, 50, 1, 1).selectExpr("CAST(id AS string) AS path", "CAST('no file' AS binary) AS content")
     plan = pdf.read_items(files)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and pdf.read_items(files).filter("error IS NOT NULL").count() == 50
+
+
+def test_sizes_are_counted_where_their_document_is(spark, sf):
+    plan = catalog.queries()["font_mode"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    below = plan[plan.index("Exchange") :]
+    assert "Aggregate" not in below and "Sort" not in below  # nothing is held before rows are dealt
