@@ -29,6 +29,8 @@ LEAST_ROWS = 256
 FIT_ROWS, MEASURE_ROWS, MOST_CELLS = 65_536, 256, 4096
 #: Rows of a part; links that a row makes when it is put in, and that it can hold; rows that a walk begins at.
 PART_ROWS, LINKS, MOST_LINKS, ENTRIES = 2048, 16, 32, 32
+#: Bytes that a search works on at a time, about: queries are taken as their number allows.
+AT_ONCE = 32 << 20
 
 
 def small_world(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +269,7 @@ def _placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
                 ok = length > 0
                 x = x[ok] / length[ok, None]
                 if len(x):
-                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "v": list(x.astype(np.float32)), "cell": vectors.nearest_cells(x, sent.value)[:, 0]})
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "v": list(x.astype(np.float32)), "cell": vectors.nearest_cell(x, sent.value)})
 
     return rows.mapInPandas(run, "id long, v array<float>, cell int")
 
@@ -295,21 +297,32 @@ def _found(sent, k: int, width: int):
                     continue
                 own, x, codes, links, entries = _unpack(row)
                 dead = np.isin(own, row.removed) if row.removed is not None and len(row.removed) else np.zeros(len(own), bool)
-                # removed rows are way points: the walk is wider by their number
-                found = walk(codes, links, entries, q[asks].astype(np.float32), width + int(dead.sum()))
-                i, c = np.nonzero(found >= 0)
-                j = found[i, c]
-                live = ~dead[j]
-                i, j = i[live], j[live]
-                d = np.round(1 - np.einsum("ij,ij->i", q[asks[i]], _unit(x)[j]), 9)
-                order = np.lexsort((own[j], d, i))
-                i, j, d = i[order], j[order], d[order]
-                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-                yield pd.DataFrame({"query_id": ids[asks[i[keep]]], "id": own[j[keep]], "distance": d[keep]})
+                unit, near = _unit(x), []
+                for a in range(0, len(asks), at_a_time := max(1, AT_ONCE // (64 * len(own)))):
+                    some = asks[a : a + at_a_time]
+                    # removed rows are way points: the walk is wider by their number
+                    found = walk(codes, links, entries, q[some].astype(np.float32), width + int(dead.sum()))
+                    each = max(1, AT_ONCE // (16 * found.shape[1] * x.shape[1]))
+                    near += [_nearest(own, unit, dead, some[i : i + each], q, found[i : i + each], k) for i in range(0, len(some), each)]
+                asked, at, d = (np.concatenate(c) for c in zip(*near))
+                yield pd.DataFrame({"query_id": ids[asked], "id": own[at], "distance": d})
 
     return run
 
 
+def _nearest(own, unit, dead, asks, q, found, k: int) -> tuple[np.ndarray, ...]:
+    """(query, row, distance) of the k nearest live rows of those found for each of some queries."""
+    i, c = np.nonzero(found >= 0)
+    j = found[i, c]
+    live = ~dead[j]
+    i, j = i[live], j[live]
+    d = np.round(1 - np.einsum("ij,ij->i", q[asks[i]], unit[j]), 9)
+    order = np.lexsort((own[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return asks[i[keep]], j[keep], d[keep]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(float)
     return x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -78,9 +78,19 @@ def nearest_cells(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argsort((centres**2).sum(1) - 2 * q @ centres.T, axis=1, kind="stable")
 
 
+def nearest_cell(q: np.ndarray, centres: np.ndarray, most_bytes: int = 16 << 20) -> np.ndarray:
+    """The nearest centre of each unit vector, some vectors at a time."""
+    n = max(1, most_bytes // (8 * len(centres)))
+    return np.concatenate([((centres**2).sum(1) - 2 * q[a : a + n] @ centres.T).argmin(axis=1) for a in range(0, len(q), n)])
+
+
 def _nearest(sent, k: int):
     def ranked(ids, q, own, x):
-        d = np.round(1 - q @ x.T, 9)
+        n = max(1, (2 << 20) // len(x))  # queries at a time: their distances to a batch take 16 MB
+        for a in range(0, len(q), n):
+            yield from some(ids[a : a + n], np.round(1 - q[a : a + n] @ x.T, 9), own)
+
+    def some(ids, d, own):
         for i, row in enumerate(d):
             # every row as near as the k-th, so that ties are settled by id in the end
             near = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1])
