@@ -100,8 +100,8 @@ class SentenceModel:
         word, low = first[1] if first else "", last[1].lower()
         if last[1].isdigit():
             return not word[:1].islower()  # an ordinal number goes on in lower case
-        if low in self.abbreviations or (len(low) == 1 and last[1].isupper()):
-            return word[:1].isupper() and word.lower() in self.starters and len(low) > 1
+        if low in self.abbreviations or len(low) == 1:  # no sentence ends after an initial; after a small letter one does where a starter follows
+            return word[:1].isupper() and word.lower() in self.starters and not (len(low) == 1 and last[1].isupper())
         return not word[:1].islower()
 
     def split(self, text: str) -> list[str]:

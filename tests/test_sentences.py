@@ -66,6 +66,12 @@ def test_a_chunker_with_the_model(model):
     assert model.split("") == [] and model.split("  no end ") == ["no end"] and "".join(model.split("a. b. C. d")) == "a. b. C. d"
 
 
+def test_a_small_letter_with_a_stop(model):
+    assert model.split("It is in part b. Weber said so.") == ["It is in part b. Weber said so."]
+    assert model.split("It is equal to x. They left.") == ["It is equal to x.", "They left."]
+    assert model.split("By J. They and A. Weber.") == ["By J. They and A. Weber."]
+
+
 def test_no_texts(spark):
     empty = SentenceModel.learn(spark.createDataFrame([], "text string"))
     assert empty.abbreviations == empty.starters == frozenset() and empty.split("One. Two.") == ["One.", "Two."]
