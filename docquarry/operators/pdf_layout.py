@@ -1,7 +1,8 @@
 """Lines, blocks and ruled tables of PDF pages, from text runs and ruling lines.
 
 Runs become lines, and lines blocks, by windows over a page in reading order; a window's group is one page.  Rules that touch are one table's: their ends and
-crossings give a grid, a cell is what no rule parts, and every run goes to the cell that holds its centre.
+crossings give a grid, a cell is what no rule parts, and every run goes to the cell that holds its centre.  Joins are sorted and merged: runs and cells take
+a few bytes a row as Parquet, and by the size of their files Spark would send them whole through the driver.
 """
 
 from __future__ import annotations
@@ -31,13 +32,17 @@ def spans(items: DataFrame) -> DataFrame:
     starts = before("base").isNull() | (F.abs(F.col("base") - before("base")) > 0.3 * F.col("size")) | (F.col("x0") < before("x0"))
     wide = F.col("x0") - before("x1") > 3 * F.col("size")
     runs = runs.withColumn("line", F.sum((starts | wide).cast("int")).over(order))
-    lines = runs.groupBy("doc", "page", "line").agg(F.max("size").alias("size"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("flags").alias("flags"))
-    down = W.partitionBy("doc", "page").orderBy("line")
-    last = lambda c: F.lag(c).over(down)
-    step = F.col("y1") - last("y1")
-    joined = (F.abs(F.col("size") - last("size")) < SAME) & (step > 0) & (step <= LEADING * F.col("size")) & (F.col("x0") < last("x1")) & (last("x0") < F.col("x1")) & (F.col("flags") == last("flags"))
-    lines = lines.withColumn("block", F.sum((~F.coalesce(joined, F.lit(False))).cast("int")).over(down)).select("doc", "page", "line", "block")
-    return runs.join(lines, ["doc", "page", "line"]).select("doc", "page", "block", "line", "seq", "size", "flags", "text", "x0", "y0", "x1", "y1")
+    # a line is as large, wide and bold as its runs are together; its first run stands after the last one of the line before
+    line = W.partitionBy("doc", "page", "line").orderBy("seq")
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    runs = runs.withColumns({"nth": F.row_number().over(line), **{f"line_{c}": f(c).over(whole) for f, c in ((F.max, "size"), (F.min, "x0"), (F.max, "x1"), (F.max, "y1"), (F.max, "flags"))}})
+    down = W.partitionBy("doc", "page").orderBy("line", "seq")
+    own = lambda c: F.col(f"line_{c}")
+    last = lambda c: F.lag(f"line_{c}").over(down)
+    step = own("y1") - last("y1")
+    joined = (F.abs(own("size") - last("size")) < SAME) & (step > 0) & (step <= LEADING * own("size")) & (own("x0") < last("x1")) & (last("x0") < own("x1")) & (own("flags") == last("flags"))
+    runs = runs.withColumn("opens", ((F.col("nth") == 1) & ~F.coalesce(joined, F.lit(False))).cast("int")).withColumn("block", F.sum("opens").over(down))
+    return runs.select("doc", "page", "block", "line", "seq", "size", "flags", "text", "x0", "y0", "x1", "y1")
 
 
 def _levels(values: np.ndarray) -> np.ndarray:
@@ -154,7 +159,7 @@ def tables(c: DataFrame, spans_: DataFrame) -> DataFrame:
     """(doc, page, tab, text, x0, y0, x1, y1) of cells c: cells joined by ' | ' and rows by line breaks; a run goes to the cell that holds its centre."""
     s = spans_.select("doc", "page", "line", "seq", "text", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     inside = (s["doc"] == c["doc"]) & (s["page"] == c["page"]) & (s["x"] >= c["x0"]) & (s["x"] < c["x1"]) & (s["y"] >= c["y0"]) & (s["y"] < c["y1"])
-    told = c.join(s, inside, "left").select(*[c[n] for n in c.columns], "line", "seq", "text")
+    told = c.hint("merge").join(s, inside, "left").select(*[c[n] for n in c.columns], "line", "seq", "text")
     line = told.groupBy(*c.columns, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("t"))
     cell = line.groupBy(*c.columns).agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n")).alias("t"))
     row = cell.groupBy("doc", "page", "tab", "row").agg(

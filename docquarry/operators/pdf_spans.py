@@ -46,7 +46,7 @@ def blocks(spans: DataFrame, tables: DataFrame) -> DataFrame:
     b, t = body.alias("b"), tables.alias("t")
     overlap = (F.col("b.doc") == F.col("t.doc")) & (F.col("b.page") == F.col("t.page"))
     overlap &= (F.col("b.x0") < F.col("t.x1")) & (F.col("t.x0") < F.col("b.x1")) & (F.col("b.y0") < F.col("t.y1")) & (F.col("t.y0") < F.col("b.y1"))
-    free = b.join(t, overlap, "left_anti").filter("text <> ''").join(body_size(spans), "doc", "left")
+    free = b.hint("merge").join(t, overlap, "left_anti").filter("text <> ''").join(body_size(spans).hint("merge"), "doc", "left")
     base = F.coalesce("body", F.lit(DEFAULT_SIZE))
     large = (F.col("top.size") > base + 1.0) | (F.col("top.flags").bitwiseAND(BOLD) == BOLD)
     is_heading = large & (F.length("text") < 200)

@@ -23,6 +23,14 @@ def test_tables_of_pdf_files_are_found_once_and_without_a_call_a_page(spark, sf)
     assert "FlatMapGroupsInPandas" not in plan and "PythonUDF" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_runs_and_cells_of_pdf_files_stay_with_the_executors(spark, sf):
+    frame = catalog.queries()["pdf_blocks"](spark, sf)
+    planned = frame._jdf.queryExecution().executedPlan()
+    assert "SortMergeJoin" in planned.toString() and "Broadcast" not in planned.toString()
+    assert len(frame.collect()) == 6 * catalog.table(spark, sf, "documents").count()
+    assert "Broadcast" not in planned.toString()  # nor as it was changed while it ran
+
+
 def test_small_files_are_handed_on_together(spark):
     files = spark.range(0, 50, 1, 1).selectExpr("CAST(id AS string) AS path", "CAST('no file' AS binary) AS content")
     plan = pdf.read_items(files)._jdf.queryExecution().optimizedPlan().toString()
