@@ -153,7 +153,10 @@ def bm25(index: Index, query: str, k: int | None = 200) -> DataFrame:
 
 
 def bm25_or_none(index: Index, query: str, k: int = 200) -> DataFrame:
-    """bm25; if the index can not be read, a warning and no hits, so that search goes on by vectors alone.  The hits, at most k, are taken now."""
+    """bm25; if the index can not be read, a warning and no hits.  The hits, at most k, are taken now.
+
+    No search here calls it, since its result does not tell a failure from a query without hits.
+    """
     spark = index.lengths.sparkSession
     try:
         hits = bm25(index, query, k)

@@ -25,7 +25,7 @@ def search(
     scorer=None,
     near: Callable[[list[float], int], DataFrame] | None = None,
 ) -> DataFrame:
-    """Hits in the columns of HIT, best first; a blank query gives none.  Where the full-text index can not be read, vectors search alone.
+    """Hits in the columns of HIT, best first; a blank query gives none.  An index that can not be read is an error: hits of vectors alone would look like all.
 
     near(query vector, k) gives (id, distance) in place of exact search over the vector table, as from an index.
     """
@@ -33,7 +33,7 @@ def search(
         return chunks.sparkSession.createDataFrame([], HIT)
     hits = near(query_vector, retrieval_k) if near else vectors.knn(vector_table, query_vector, retrieval_k, "chunk_id", "vector")
     by_vector = fusion.ranked(hits, F.asc("distance"), F.asc("id"))
-    text = fusion.ranked(fts.bm25_or_none(index, query, retrieval_k), F.asc("score"), F.asc("id"))
+    text = fusion.ranked(fts.bm25(index, query, retrieval_k), F.asc("score"), F.asc("id"))
     pool = fusion.reciprocal_rank_fusion(by_vector, text)
     best = fusion.rerank(fusion.fetch(pool, chunks, documents), query, top_k, scorer)
     return best.select(

@@ -3,6 +3,8 @@
 import sqlite3
 
 import pytest
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -235,6 +237,17 @@ def test_search_without_index(spark, index, tmp_path):
     assert fts.bm25_or_none(kept, "cat").count() == 0
 
 
+def test_a_search_fails_with_its_index(spark, index, tmp_path):
+    import shutil
+
+    s, kept = make_store(spark), index.write(str(tmp_path / "i"))
+    find = lambda: [r.chunk_id for r in search.search("cat", [1.0], kept, s.vectors, s.chunks, s.documents).collect()]
+    assert 10 in find()
+    shutil.rmtree(tmp_path / "i" / "postings")
+    with pytest.raises((PySparkException, Py4JError)):
+        find()
+
+
 def test_index_folder(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
